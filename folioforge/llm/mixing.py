@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import checkpoint
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,36 +66,50 @@ def balance(sized: DataFrame, goals: DataFrame, feature: str = "size", tolerance
     return {s: l if wanted[s] > 0 else -math.inf for s, l in at.items()}
 
 
+def _extras(f):
+    """How many documents of each size class of one source get one copy more, from the largest class down: what a class
+    misses or exceeds of its words is carried to the smaller ones. A source has a thousand classes or so."""
+    import pandas as pd
+
+    f = f.sort_values("_class", ascending=False)
+    carried, chosen = 0.0, []
+    for number, words, part in zip(f["_n"], f["_words"], f["_part"], strict=True):
+        wanted, mean = part * words + carried, words / number
+        n = min(number, max(0, round(wanted / mean))) if mean else round(part * number)
+        chosen.append(n)
+        carried = wanted - n * mean
+    return pd.DataFrame({"_key": f["_key"], "_class": f["_class"], "_extra": chosen, "_all": f["_n"]})
+
+
 def copies(sized: DataFrame, multipliers: dict[object, float], id_column: str = "doc_id", salts: int = 64) -> DataFrame:
     """Adds rate and copies: floor(rate) of each document and one more of some, so that a source's words come near its goal.
 
-    Those with one more are chosen at even steps among a source's documents in the order of size (in classes of an eighth of an
-    octave, within a class by salt and size), so the chosen have the sizes of all. Ranks come from the counts of (source,
-    class, salt), so neither a large source nor very many documents of one size meet in one task. The order holds only
-    the row itself, so reruns agree; rows that are equal in all of it are interchangeable.
+    Documents stand in classes of size, 64 to an octave; _extras() says how many of a class get one more, and those are chosen
+    at even steps in the order of salt, size and a hash. Ranks come from the counts of (source, class, salt), so neither a large
+    source nor very many documents of one size meet in one task. The order holds only the row itself, so reruns agree;
+    rows that are equal in all of it are interchangeable.
     """
     spark = sized.sparkSession
-    schema = T.StructType([T.StructField("source", sized.schema["source"].dataType), T.StructField("rate", T.DoubleType())])
-    rates = F.broadcast(spark.createDataFrame([(s, math.exp(m)) for s, m in multipliers.items()], schema).withColumnRenamed("source", "_source"))
+    schema = T.StructType([T.StructField("_source", sized.schema["source"].dataType), T.StructField("rate", T.DoubleType())])
+    rates = F.broadcast(spark.createDataFrame([(s, math.exp(m)) for s, m in multipliers.items()], schema))
     rows = sized.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     h = F.xxhash64(F.col(id_column), F.lit(9))
-    rows = rows.withColumn("_class", F.floor(F.log2(F.col("size") + F.lit(1)) * 8).cast("int")).withColumn("_salt", F.pmod(h, F.lit(salts)).cast("int"))
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    rows = rows.withColumn("_key", key).withColumn("_h", h)
-    groups = rows.groupBy("_key", "_class", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_key").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select("_key", "_class", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_key", "_class", "_salt").orderBy("size", "_h", id_column)) - 1
-    ranked = rows.withColumn("_place", place).join(offsets, ["_key", "_class", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_place"))
-    part = F.col("rate") - F.floor("rate")
-    extra = F.floor((F.col("_rank") + 1) * part + 0.5) - F.floor(F.col("_rank") * part + 0.5)
-    return ranked.withColumn("copies", (F.floor("rate") + extra).cast("long")).drop("_class", "_salt", "_key", "_h", "_before", "_place", "_rank")
+    rows = rows.withColumn("_class", F.floor(F.log2(F.col("size") + F.lit(1)) * 64).cast("int")).withColumn("_salt", F.pmod(h, F.lit(salts)).cast("int"))
+    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))).withColumn("_h", h)
+    key = ["_key", "_class"]
+    groups = checkpoint(rows.groupBy(*key, "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"), F.max(F.col("rate") - F.floor("rate")).alias("_part")))
+    kind = ", ".join(f"{k} {groups.schema[k].dataType.simpleString()}" for k in key)
+    extras = groups.groupBy(*key).agg(F.sum("_n").alias("_n"), F.sum("_words").alias("_words"), F.max("_part").alias("_part")).groupBy("_key").applyInPandas(_extras, f"{kind}, _extra long, _all long")
+    before = Window.partitionBy(*key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.select(*key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).join(extras, key)
+    place = F.row_number().over(Window.partitionBy(*key, "_salt").orderBy("size", "_h", id_column)) - 1
+    ranked = rows.withColumn("_place", place).join(offsets, [*key, "_salt"]).withColumn("_rank", F.col("_before") + F.col("_place"))
+    extra = F.expr("(_rank + 1) * _extra div _all - _rank * _extra div _all")
+    return ranked.withColumn("copies", (F.floor("rate") + extra).cast("long")).drop("_class", "_salt", "_key", "_h", "_before", "_place", "_rank", "_extra", "_all")
 
 
 def mix(documents: DataFrame) -> DataFrame:
     """The documents with size, source_size, target, rate, copies and taken (copies * size). Columns of these names are replaced."""
-    from .common import checkpoint
-
     own = documents.drop("size", "source_size", "target", "rate", "copies", "taken")
     sized = sizes(own)
     light = checkpoint(sized.select("source", "size"))
