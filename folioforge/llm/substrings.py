@@ -2,8 +2,8 @@
 
 A window is `window` consecutive words. The smallest hash among the window's runs of `gram` words is its anchor, so equal
 windows have equal anchors wherever they stand. Windows of one anchor that follow each other are one passage, and a
-shard holds the passages of some anchors: no occurrence of a window lies outside its shard. Anchors that only one passage of the corpus
-has can't repeat; their passages are left out of the index. Neither step can lose a repeat.
+shard holds the passages of some anchors: no occurrence of a window lies outside its shard. Anchors that stand at one place of the
+corpus only can't repeat; their passages are left out of the index. Neither step can lose a repeat.
 """
 
 from __future__ import annotations
@@ -44,21 +44,36 @@ class Hasher:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def anchors(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """The anchor of each window of one document's word hashes."""
+def grams(hashes: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each run of `gram` words of one document."""
     n = len(hashes) - gram + 1
     g = np.zeros(n, np.uint64)
     for k in range(gram):
         g = g * MIX + hashes[k : k + n]
     g ^= g >> np.uint64(31)
     g *= MIX
-    g ^= g >> np.uint64(29)
-    width, have = window - gram + 1, 1
-    while have < width:  # minimum of the runs in a window
+    return g ^ (g >> np.uint64(29))
+
+
+def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
+    """The least or greatest of each `width` values in a row, in a logarithm of steps."""
+    have = 1
+    while have < width:
         step = min(have, width - have)
-        g = np.minimum(g[:-step], g[step:])
+        x = best(x[:-step], x[step:])
         have += step
-    return g
+    return x
+
+
+def anchors(g: np.ndarray, width: int) -> np.ndarray:
+    """The anchor of each window: the least of its `width` runs."""
+    return _slide(g, width, np.minimum)
+
+
+def anchor_places(g: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of the runs that are the anchor of a window they stand in, each place once: a window that occurs twice has two."""
+    none = np.zeros(width - 1, np.uint64)
+    return g[_slide(np.concatenate((none, anchors(g, width), none)), width, np.maximum) == g]
 
 
 def passages(anchor: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +90,7 @@ def _texts(column) -> list[bytes | None]:
 
 
 def count_anchors(documents: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, n): the number of passages of each anchor, added up in each batch before the shuffle."""
+    """(anchor, n): the number of places of each anchor, added up in each batch before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, none = Hasher(), np.zeros(0, np.uint64)
@@ -84,8 +99,7 @@ def count_anchors(documents: DataFrame, window: int, gram: int) -> DataFrame:
             for t in _texts(b.column(0)):
                 words = t.split() if t else []
                 if len(words) >= window:
-                    a = anchors(hasher(words), window, gram)
-                    got.append(a[passages(a, none)[0]])
+                    got.append(anchor_places(grams(hasher(words), gram), window - gram + 1))
             a, n = np.unique(np.concatenate(got), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
@@ -121,8 +135,7 @@ def repeated_spans(documents: DataFrame, window: int = 20, gram: int = 5, words_
                 own = t.split() if t and d is not None else []
                 if len(own) < window:
                     continue
-                h = hasher(own)
-                a = anchors(h, window, gram)
+                a = anchors(grams(hasher(own), gram), window - gram + 1)
                 start, count = passages(a, hot)
                 key = a[start]
                 at = key & mask
