@@ -5,15 +5,20 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array by prefix doubling. With depth, suffixes need be in order only as far as that many symbols."""
+def suffix_order(text: np.ndarray, depth: int | None = None, ranks: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """Suffix array by prefix doubling. With depth, suffixes need be in order only as far as that many symbols.
+
+    ranks gets, for each of its keys that is a power of two, the rank of every suffix's first so many symbols.
+    """
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     width = 1
     while True:
+        if ranks is not None and width in ranks:
+            ranks[width] = rank
         key = rank * (n + 1)
         key[: n - width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
@@ -42,10 +47,10 @@ class Bits:
 class FMIndex:
     """Symbols are 1..sigma; a symbol 0 is put at the end. sample: every so many text positions are kept (0: none)."""
 
-    def __init__(self, symbols: np.ndarray, depth: int | None = None, sample: int = 0):
+    def __init__(self, symbols: np.ndarray, depth: int | None = None, sample: int = 0, ranks: dict[int, np.ndarray] | None = None):
         text = np.concatenate([symbols.astype(np.int64), [0]])
         self.n = n = len(text)
-        self.order = order = suffix_order(text, depth)
+        self.order = order = suffix_order(text, depth, ranks)
         bwt = text[order - 1]
         self.sigma = int(text.max())
         self.levels, x = [], bwt

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -174,16 +175,19 @@ def search_shard(f: pd.DataFrame, window: int) -> pd.DataFrame:
     counts = np.array([len(d) for d in f.docs], np.int64)
     docs, starts = np.concatenate(f.docs.to_numpy()).astype(np.int64), np.concatenate(f.starts.to_numpy()).astype(np.int64)
     passage = np.repeat(owner, counts)
-    ids: dict[bytes, int] = {}
     split = [w.split() for w in first]
     sizes = np.array([len(w) for w in split], np.int64)
-    flat = np.fromiter((ids.setdefault(x, len(ids) + 2) for w in split for x in w), np.int64, int(sizes.sum()))
-    del split
+    ids = {x: k + 2 for k, x in enumerate(set(chain.from_iterable(split)))}
+    flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+    del split, ids
     # One separator, 1, ends each passage; no window holds it.
     symbols = np.ones(int(sizes.sum() + len(sizes)), np.int64)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
     symbols[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat
-    index = FMIndex(symbols, depth=window + 1)
+    # window as a sum of powers of two: two suffixes agree that far if their ranks at those widths agree one after another.
+    widths = [1 << k for k in reversed(range(window.bit_length())) if window >> k & 1]
+    ranks: dict[int, np.ndarray] = dict.fromkeys(widths)
+    index = FMIndex(symbols, depth=window + 1, ranks=ranks)
     # The earliest occurrence of each passage; and of each place in the index that begins a window.
     by = np.lexsort((starts, docs, passage))
     heads = np.concatenate(([True], np.diff(passage[by]) != 0))
@@ -193,39 +197,34 @@ def search_shard(f: pd.DataFrame, window: int) -> pd.DataFrame:
     valid = inside <= sizes[where] - window
     # Rows whose suffixes begin with the same `window` words lie together: where each such run begins and ends.
     n, order = index.n, index.order
-    text = np.concatenate([symbols, [0]])
-    same = np.ones(n - 1, bool)
-    a, b = order[:-1], order[1:]
-    for k in range(window):
-        x, y = np.minimum(a + k, n - 1), np.minimum(b + k, n - 1)
-        same &= text[x] == text[y]
+    same, a, b = np.ones(n - 1, bool), order[:-1], order[1:]
+    for width in widths:
+        same &= ranks[width][np.minimum(a, n - 1)] == ranks[width][np.minimum(b, n - 1)] if ranks[width] is not None else a == b
+        a, b = a + width, b + width
+    del ranks
     run_first = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(n), 0))
     ends = np.where(np.concatenate((~same, [True])), np.arange(n), n)
     run_last = np.minimum.accumulate(ends[::-1])[::-1]
-    # The least (document, place) of the occurrences in each row, then in each run.
-    row_doc, row_start = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).max)
-    at = np.flatnonzero(valid[np.minimum(order, len(symbols) - 1)] & (order < len(symbols)))
-    row_doc[at], row_start[at] = least_doc[where[order[at]]], least_start[where[order[at]]] + inside[order[at]]
+    # (document, place) as one number, and the least of the occurrences in each run.
+    names, ranked = np.unique(least_doc, return_inverse=True)
+    spot = np.full(n, np.iinfo(np.int64).max)
+    spot[:-1] = np.where(valid, (ranked[where] << 32) + least_start[where] + inside, spot[:-1])
+    least = np.minimum.reduceat(spot[order], np.flatnonzero(np.concatenate(([True], ~same))))
     run = np.cumsum(np.concatenate(([True], ~same))) - 1
-    best = np.lexsort((row_start, row_doc, run))
-    best = best[np.concatenate(([True], np.diff(run[best]) != 0))]
     # Matching statistics, all passages side by side, from their ends to their beginnings.
-    early_doc, early_start = np.empty(len(symbols), np.int64), np.empty(len(symbols), np.int64)
-    longest = int(sizes.max())
-    lo, hi = np.zeros(len(sizes), np.int64), np.full(len(sizes), n, np.int64)
-    for back in range(longest):
-        live = np.flatnonzero(sizes > back)
-        place = begin[live] + sizes[live] - 1 - back
+    early = spot[:-1].copy()
+    down = np.argsort(-sizes, kind="stable")
+    last, lo, hi = (begin + sizes - 1)[down], np.zeros(len(sizes), np.int64), np.full(len(sizes), n, np.int64)
+    for back in range(int(sizes.max())):
+        live = int(np.searchsorted(-sizes[down], -back, side="left"))
+        place = last[:live] - back
         c = symbols[place]
-        lo[live], hi[live] = index.step(c, lo[live]), index.step(c, hi[live])
+        lo, hi = index.step(c, lo[:live]), index.step(c, hi[:live])
         if back >= window - 1:
-            lo[live], hi[live] = run_first[lo[live]], run_last[hi[live] - 1] + 1
-            r = best[run[lo[live]]]
-            early_doc[place], early_start[place] = row_doc[r], row_start[r]
+            lo, hi = run_first[lo], run_last[hi - 1] + 1
+            early[place] = least[run[lo]]
     # Windows of each passage that start earlier elsewhere; later occurrences of a passage repeat it as a whole.
-    own = np.flatnonzero(valid)
-    late = np.zeros(len(symbols), bool)
-    late[own] = (early_doc[own] < least_doc[where[own]]) | ((early_doc[own] == least_doc[where[own]]) & (early_start[own] < least_start[where[own]] + inside[own]))
+    late = valid & (early < spot[:-1])
     edge = np.diff(np.concatenate(([0], late.view(np.int8), [0])))
     s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     p = where[s] if len(s) else np.zeros(0, np.int64)
