@@ -1,0 +1,38 @@
+"""Readers. Parquet keeps filters and columns at the scan; text sources keep a line's place from the source."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def notes(spark: SparkSession, root: str, recursive: bool = True, suffix: str = "_review_note.md") -> DataFrame:
+    """(path, content) of Markdown notes below root, without work folders and hidden temporary ones."""
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=f"*{suffix}")
+    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return rows.where(~F.col("path").rlike(r"/(\.tmp[^/]*|\.git|node_modules|__pycache__)/"))
+
+
+def ledger_set(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(value): the distinct lines of a ledger, trimmed, blank ones left out."""
+    return lines.select(F.trim(column).alias("value")).where("value <> ''").distinct()
+
+
+def ledger_last_wins(lines: DataFrame) -> DataFrame:
+    """(name, digest) of lines `name<tab>digest` (seq, line): a later line overrides; without a tab the digest is empty."""
+    parts = lines.where(F.trim("line") != "").select("seq", F.split_part("line", F.lit("\t"), F.lit(1)).alias("name"), F.split_part("line", F.lit("\t"), F.lit(2)).alias("digest"))
+    return parts.groupBy("name").agg(F.max_by("digest", "seq").alias("digest"))
+
+
+def json_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """(line_no, record, error) of lines (line_no, value): blank lines are left out, a line that is no JSON object is an error."""
+    clean = F.regexp_replace(F.trim("value"), "^﻿", "")
+    rows = lines.select("line_no", clean.alias("value")).where("value <> ''")
+    record = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = rows.withColumn("record", record)
+    bad = F.when(F.col("record._corrupt_record").isNotNull() | ~F.col("value").startswith("{"), F.lit("not a JSON object"))
+    return rows.select("line_no", "record", bad.alias("error"))
