@@ -13,8 +13,7 @@ PART = 256
 def numbered(turns: DataFrame) -> DataFrame:
     """(conv_id, pos, role, text): rows without a conversation are left out, pos is 1, 2, ... by turn (nulls first), role, text.
 
-    A conversation of any length is ordered in parts by hash of nothing but its turn number: parts of PART turn numbers are
-    ranked on their own, and the parts' counts give what comes before.
+    A conversation of any length is ordered in parts of PART turn numbers, each ranked on its own; the parts' counts give what comes before.
     """
     rows = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text").withColumn("part", F.floor(F.col("turn") / PART))
     before = Window.partitionBy("conv_id").orderBy(F.col("part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
