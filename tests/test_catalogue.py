@@ -1,7 +1,10 @@
 import pytest
 from oracle import compare, connect
 
-from folioforge.jobs import catalogue, catalogue_sql
+from folioforge.jobs import catalogue, catalogue_sql, notes_catalogue
+
+QUERIES = catalogue.queries() | notes_catalogue.Q
+SQL = catalogue_sql.SQL | notes_catalogue.SQL
 
 
 @pytest.fixture(scope="module")
@@ -9,11 +12,11 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue_sql.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_agrees_with_sql(spark, con, sf, name):
-    compare(spark, con, catalogue.queries()[name], catalogue_sql.SQL[name], sf)
+    compare(spark, con, QUERIES[name], SQL[name], sf)
 
 
 def test_every_query_runs(spark, sf):
-    for name in sorted(set(catalogue.queries()) - set(catalogue_sql.SQL)):
-        assert catalogue.queries()[name](spark, sf).count() >= 1, name
+    for name in sorted(set(QUERIES) - set(SQL)):
+        assert QUERIES[name](spark, sf).count() >= 1, name
