@@ -1,0 +1,133 @@
+"""Golden cases of single expressions and operators."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioforge.functions import identity, notes, text
+from folioforge.operators import dedup, evaluation, index, routing, search
+from folioforge.sources.tables import json_lines, ledger_last_wins, ledger_set
+from folioforge.streaming.incremental import incremental_chunks
+
+
+def one(spark, column, **values):
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize("n, want", [(0, []), (100, []), (101, [(0, 101)]), (800, [(0, 800), (700, 100)][:1]), (801, [(0, 800), (700, 101)]), (1700, [(0, 800), (700, 800), (1400, 300)])])
+def test_chunks(spark, n, want):
+    rows = text.chunk_rows(spark.createDataFrame([("x" * n,)], "text string")).orderBy("chunk_index").collect()
+    assert [(r.chunk_start, len(r.chunk)) for r in rows] == want and [r.chunk_index for r in rows] == list(range(len(want)))
+
+
+@pytest.mark.parametrize("bad", [{"size": 0}, {"step": 0}, {"least": -1}])
+def test_chunk_arguments(spark, bad):
+    with pytest.raises(ValueError):
+        text.chunk_rows(spark.createDataFrame([("x",)], "text string"), **bad)
+
+
+@pytest.mark.parametrize("given, want", [("a\nReferences\nb\nBIBLIOGRAPHY \nc", "a\nReferences\nb"), ("a\nReferences\nReferences\nx", "a"), ("a\nReferences　\nx", "a"), ("a\nReferences \nx", "a"), ("a References\nx", "a References\nx"), ("a\n参考文献\n", "a"), ("", "")])
+def test_references(spark, given, want):
+    assert one(spark, text.without_references(F.col("t")), t=given) == want
+
+
+def test_text(spark):
+    assert one(spark, text.joined_pages(F.array(F.col("a"), F.lit(None), F.col("a"))), a="p") == "p\n\np"
+    assert [one(spark, text.language_hint(F.col("a")), a=x) for x in ("", "中a", "a")] == ["unknown", "zh", "en"]
+    assert [one(spark, text.slug(F.col("a")), a=x) for x in ('  a/b: c  "d" ', "???", "x" * 31 + " - y")] == ["ab-c-d", "query", "x" * 31]
+    assert one(spark, text.session_title(F.col("a"), F.lit("q")), a="\n  Two  words.; \nmore") == "Two words"
+    assert [one(spark, text.yaml_scalar(F.col("a")), a=x) for x in ("", "2024", "it's: x", "plain")] == ["''", "2024", "'it''s: x'", "plain"]
+    block, body = text.frontmatter_parts(F.col("a"))
+    assert (one(spark, block, a="---\nk: v\n---\nbody"), one(spark, body, a="---\nk: v\n---\nbody"), one(spark, body, a="no block")) == ("k: v", "body", "no block")
+    assert [one(spark, text.grounded(F.col("a"), F.lit("Oxygen evolution")), a=x) for x in ("oxygen", "oxy", "OXYGEN-EVOLUTION", "")] == [True, False, True, False]
+
+
+def test_identity(spark):
+    rows = [("g", "/a/Main.pdf", "h2"), ("g", "/a/main.PDF", "h2"), ("g", "/a/si.pdf", "h1"), ("r", "/z", "h1"), ("r", "/y", "h2")]
+    got = {r.g: r for r in identity.combined_hashes(spark.createDataFrame(rows, "g string, path string, digest string"), "g").collect()}
+    assert got["g"].stable == got["r"].stable and got["g"].variants == 2 and got["r"].legacy != got["r"].stable or got["r"].variants == 2
+    before, after = identity.neighbour_ids(F.col("a"))
+    assert [(one(spark, before, a=x), one(spark, after, a=x)) for x in ("g_chunk_7", "g_chunk_0", "a_chunk_b_chunk_2", "none")] == [("g_chunk_6", "g_chunk_8"), (None, "g_chunk_1"), ("a_chunk_b_chunk_1", "a_chunk_b_chunk_3"), (None, None)]
+
+
+def test_notes(spark):
+    names = ["A — b.pdf", "x-review_note.md", "", "a/b?c*", "y_review_note"]
+    assert [one(spark, notes.note_file_name(F.col("a"), "f"), a=x) for x in names] == ["A-b_review_note.md", "x_review_note.md", "f_review_note.md", "bc_review_note.md", "y_review_note.md"]
+    body = f"# {notes.BIBLIOGRAPHY}\nx\n\n# Next\ny"
+    section = f"{notes.ABSTRACT}\nabs"
+    placed = one(spark, notes.with_section(F.col("a"), F.lit(section)), a=body)
+    assert placed == f"# {notes.BIBLIOGRAPHY}\nx\n\n{section}\n\n# Next\ny" and one(spark, notes.with_section(F.col("a"), F.lit(section)), a=placed) == placed
+    assert one(spark, notes.with_section(F.col("a"), F.lit(section)), a="z") == f"{section}\n\nz"
+    assert one(spark, notes.storage_key(F.col("a")), a="/x/storage/AB12cd34/f.pdf") == "AB12cd34" and one(spark, notes.storage_key(F.col("a")), a="/x/f.pdf") is None
+    allowed = {"tag": "tag", "index": "index_note"}
+    assert [one(spark, F.array_join(notes.actions(F.col("a"), allowed, ["tag"]), ","), a=x) for x in ("auto", "index, TAG index", "tag none")] == ["tag", "index_note,tag", ""]
+    with pytest.raises(Exception, match="unknown action"):
+        one(spark, F.array_join(notes.actions(F.col("a"), allowed, ["tag"]), ","), a="other")
+
+
+def test_ledgers(spark):
+    lines = spark.createDataFrame([(1, "a\t1"), (2, "b"), (3, "a\t2"), (4, " ")], "seq long, line string")
+    assert {r.name: r.digest for r in ledger_last_wins(lines).collect()} == {"a": "2", "b": ""}
+    assert ledger_set(lines.withColumnRenamed("line", "value")).count() == 3
+    rows = json_lines(spark.createDataFrame([(1, '﻿{"k": 1}'), (2, ""), (3, "[1]"), (4, "{")], "line_no long, value string"), "k long").collect()
+    assert {r.line_no: r.error is None for r in rows} == {1: True, 3: False, 4: False}
+    files = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "2"), ("e", "1")], "name string, digest string")
+    ledger = spark.createDataFrame([("a", "1"), ("b", ""), ("c", "1"), ("d", "1")], "name string, digest string")
+    there = spark.createDataFrame([(x,) for x in "abde"], "name string")
+    assert {r.name: r.action for r in dedup.ingest_plan(files, ledger, there).collect()} == {"a": "skip", "b": "upgrade", "c": "process", "d": "process", "e": "process"}
+    audit = {r.value: r.state for r in dedup.ledger_audit(spark.createDataFrame([("v",), ("o",)], "value string"), spark.createDataFrame([("v",), ("g",)], "value string")).collect()}
+    assert audit == {"v": "valid", "o": "orphan", "g": "ghost"}
+
+
+def test_priority(spark):
+    groups = spark.createDataFrame([("h1",), ("h2",), ("h3",)], "h string")
+    vault, ledger = spark.createDataFrame([("h1", "n2"), ("h1", "n1")], "h string, path string"), spark.createDataFrame([("h1", None), ("h2", None)], "h string, path string")
+    got = {r.h: (r.source_kind, r.path) for r in dedup.priority_lookup(groups, "h", [("vault", vault, "path"), ("ledger", ledger, "path")]).collect()}
+    assert got == {"h1": ("vault", "n1"), "h2": ("ledger", None), "h3": (None, None)}
+
+
+def test_upsert_is_idempotent(spark):
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string")
+    once = index.upsert(old, new, "id")
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, index.upsert(once, new, "id").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_versions(spark, tmp_path):
+    df = spark.range(3)
+    index.publish(df, f"{tmp_path}/i", "v1", "s1")
+    index.publish(df.limit(1), f"{tmp_path}/i", "v2", "s1")
+    assert index.current(spark, f"{tmp_path}/i", "s1").count() == 1
+    with pytest.raises(ValueError):
+        index.current(spark, f"{tmp_path}/i", "s2")
+
+
+def test_routes(spark):
+    model, reason = routing.route(F.col("p").cast("int"), F.col("t").cast("int"), F.col("k"), F.lit(False))
+    got = [(one(spark, model, p=p, t=t, k=k), one(spark, reason, p=p, t=t, k=k)) for p, t, k in (("30", "30", "x"), ("1", "60", "x"), ("1", "1", "review"), ("1", "1", "x"))]
+    assert [g[0] for g in got] == ["pro", "pro", "pro", "flash"] and got[2][1] == "document_type=review"
+    assert search.one_predicate(None, 0, "f") is not None and search.one_predicate(None, None, "") is None
+
+
+def test_metrics(spark):
+    hits = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, None), (2, 1, None)], "q long, rank int, relevance int")
+    relevant = spark.createDataFrame([(1, 2), (2, 1)], "q long, n_relevant long")
+    got = {r.q: r for r in evaluation.retrieval_metrics(hits, relevant, "q").collect()}
+    assert (got[1].recall, got[1].mrr, got[1].judged, got[2].mrr) == (0.5, 0.5, 2, 0.0)
+    low, mean, high = evaluation.bootstrap_interval(spark.range(50).select(F.col("id").alias("c"), (F.col("id") % 3 + 1.0).alias("d")), "c", "d", samples=300).first()
+    assert low < mean < high and abs(mean - 1.98) < 0.1
+
+
+def test_stream_equals_batch(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.where("doc_id < 100").write.parquet(f"{tmp_path}/in")
+    run = lambda: incremental_chunks(spark, f"{tmp_path}/in", docs.schema, f"{tmp_path}/out", f"{tmp_path}/ledger")
+    first = run().count()
+    docs.where("doc_id >= 100").write.mode("append").parquet(f"{tmp_path}/in")
+    rows = run()
+    assert first < rows.count() == text.chunk_rows(docs.select("doc_id", "text")).count()
+    assert run().count() == rows.count()
+
+
+def test_chunks_put_together_give_the_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = text.chunk_rows(docs, least=0).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.substring("chunk", 1, 700).alias("c")))).alias("c"))
+    assert rows.join(docs, "doc_id").where(F.array_join(F.transform("c", lambda x: x["c"]), "") != F.col("text")).count() == 0
