@@ -26,23 +26,55 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 MAP_BITS = 1 << 27
 
 
-class Hasher:
-    """XXH64 of words, with a memory of the frequent ones."""
-
-    def __init__(self, most: int = 400_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+#: An odd number and its inverse modulo 2 ** 64, and as many powers of each as a block has bytes.
+BASE = 0x100000001B3
+BLOCK = 1 << 21
+#: Windows of a passage at most.
+LONGEST = 48
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... modulo 2 ** 64, n of them at least."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64)
+        while len(have) < n:
+            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
+        _powers[base] = have
+    return have
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte bounds of each word of a text, and a hash of its bytes (equal words have equal ones), without a loop over words.
+
+    Sums of byte * BASE ** place up to each place give a word's polynomial by one difference, whatever its length.
+    """
+    data = np.frombuffer(text, np.uint8)
+    edge = np.diff(np.concatenate(([True], SPACE[data], [True])).view(np.int8))
+    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(first):
+        return first, last, np.zeros(0, np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data))[: len(data)])))
+    h = (sums[last] - sums[first]) * powers(pow(BASE, -1, 1 << 64), len(data))[first]
+    return first, last, (h ^ (h >> np.uint64(29))) * MIX
+
+
+def blocks(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Numbers of non-empty texts and these joined by a space, in blocks of about BLOCK bytes; a longer text is a block of its own."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        if held and size + len(t) > BLOCK:
+            yield np.array(held), b" ".join(texts[k] for k in held)
+            held, size = [], 0
+        held.append(i)
+        size += len(t) + 1
+    if held:
+        yield np.array(held), b" ".join(texts[k] for k in held)
 
 
 def grams(hashes: np.ndarray, gram: int) -> np.ndarray:
@@ -71,19 +103,41 @@ def anchors(g: np.ndarray, width: int) -> np.ndarray:
     return _slide(g, width, np.minimum)
 
 
-def anchor_places(g: np.ndarray, width: int) -> np.ndarray:
-    """The hashes of the runs that are the anchor of a window they stand in, each place once: a window that occurs twice has two."""
+def anchor_places(g: np.ndarray, anchor: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of the runs that are the anchor of a valid window they stand in, each place once: a window that occurs twice has two."""
     none = np.zeros(width - 1, np.uint64)
-    return g[_slide(np.concatenate((none, anchors(g, width), none)), width, np.maximum) == g]
+    return g[_slide(np.concatenate((none, np.where(valid, anchor, np.uint64(0)), none)), width, np.maximum) == g]
 
 
-def passages(anchor: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows of each passage; windows of hot anchors stand alone."""
-    new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+def passages(anchor: np.ndarray, valid: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of each passage of a block; windows of hot anchors stand alone.
+
+    Text that repeats itself can have one anchor for thousands of windows: a passage ends after LONGEST of them.
+    """
+    place = np.flatnonzero(valid)
+    own = anchor[place]
+    new = np.concatenate(([True], (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1)))[: len(place)]
     if len(hot):
-        new |= np.isin(anchor, hot)
+        new |= np.isin(own, hot)
     start = np.flatnonzero(new)
-    return start, np.diff(np.concatenate((start, [len(anchor)])))
+    count = np.diff(np.concatenate((start, [len(place)])))
+    new[(np.arange(len(place)) - np.repeat(start, count)) % LONGEST == 0] = True
+    start = np.flatnonzero(new)
+    return place[start], np.diff(np.concatenate((start, [len(place)])))
+
+
+class Windows:
+    """The words of a block, of which text each is, and of each window whether it lies in one text, its runs' hashes and its anchor."""
+
+    def __init__(self, numbers: np.ndarray, joined: bytes, texts: list[bytes | None], window: int, gram: int):
+        self.first, self.last, h = word_hashes(joined)
+        ends = np.cumsum([len(texts[k]) + 1 for k in numbers])
+        self.text = np.searchsorted(ends, self.first, side="right")
+        self.begin = np.searchsorted(self.text, np.arange(len(numbers)))
+        n = len(h) - window + 1
+        self.valid = self.text[: max(0, n)] == self.text[window - 1 :] if n > 0 else np.zeros(0, bool)
+        self.grams = np.maximum(grams(h, gram), np.uint64(1)) if n > 0 else h
+        self.anchors = anchors(self.grams, window - gram + 1) if n > 0 else h
 
 
 def _texts(column) -> list[bytes | None]:
@@ -94,13 +148,13 @@ def count_anchors(documents: DataFrame, window: int, gram: int) -> DataFrame:
     """(anchor, n): the number of places of each anchor, added up in each batch before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, none = Hasher(), np.zeros(0, np.uint64)
         for b in batches:
-            got = [none]
-            for t in _texts(b.column(0)):
-                words = t.split() if t else []
-                if len(words) >= window:
-                    got.append(anchor_places(grams(hasher(words), gram), window - gram + 1))
+            texts = _texts(b.column(0))
+            got = [np.zeros(0, np.uint64)]
+            for numbers, joined in blocks(texts):
+                w = Windows(numbers, joined, texts, window, gram)
+                if w.valid.any():
+                    got.append(anchor_places(w.grams, w.anchors, w.valid, window - gram + 1))
             a, n = np.unique(np.concatenate(got), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
@@ -129,28 +183,27 @@ def repeated_spans(documents: DataFrame, window: int = 20, gram: int = 5, words_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hot = sent.value
-        hasher, mask = Hasher(), np.uint64(bits - 1)
+        mask = np.uint64(bits - 1)
         for b in batches:
             where: dict[bytes, tuple[int, list, list]] = {}
-            for d, t in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
-                own = t.split() if t and d is not None else []
-                if len(own) < window:
-                    continue
-                a = anchors(grams(hasher(own), gram), window - gram + 1)
-                start, count = passages(a, hot)
-                key = a[start]
+            docs = b.column(0).to_pylist()
+            texts = [t if d is not None else None for d, t in zip(docs, _texts(b.column(1)), strict=True)]
+            for numbers, joined in blocks(texts):
+                w = Windows(numbers, joined, texts, window, gram)
+                start, count = passages(w.anchors, w.valid, hot)
+                key = w.anchors[start]
                 at = key & mask
                 ok = (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                if not ok.any():
-                    continue
                 start, count, key = start[ok], count[ok], key[ok]
                 alone = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
-                for s, n, k, x in zip(start.tolist(), count.tolist(), key.tolist(), alone.tolist(), strict=True):
-                    text = b" ".join(own[s : s + n + window - 1])
-                    if (got := where.get(text)) is None:
-                        where[text] = got = ((xxhash.xxh64_intdigest(text) if x else k) % shards, [], [])
-                    got[1].append(d)
-                    got[2].append(s)
+                text = w.text[start]
+                rows = zip(w.first[start].tolist(), w.last[start + count + window - 2].tolist(), key.tolist(), alone.tolist(), numbers[text].tolist(), (start - w.begin[text]).tolist(), strict=True)
+                for s, e, k, x, number, place in rows:
+                    piece = joined[s:e]
+                    if (got := where.get(piece)) is None:
+                        where[piece] = got = ((xxhash.xxh64_intdigest(b" ".join(piece.split())) if x else k) % shards, [], [])
+                    got[1].append(docs[number])
+                    got[2].append(place)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in where.values()], pa.int32()), pa.array(list(where), pa.binary()), pa.array([x[1] for x in where.values()], pa.list_(pa.int64())), pa.array([x[2] for x in where.values()], pa.list_(pa.int32()))],
                 ["shard", "words", "docs", "starts"],
@@ -219,7 +272,7 @@ def search_shard(f: pd.DataFrame, window: int) -> pd.DataFrame:
         live = int(np.searchsorted(-sizes[down], -back, side="left"))
         place = last[:live] - back
         c = symbols[place]
-        lo, hi = index.step(c, lo[:live]), index.step(c, hi[:live])
+        lo, hi = np.split(index.step(np.tile(c, 2), np.concatenate((lo[:live], hi[:live]))), 2)
         if back >= window - 1:
             lo, hi = run_first[lo], run_last[hi - 1] + 1
             early[place] = least[run[lo]]

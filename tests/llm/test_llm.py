@@ -112,16 +112,23 @@ def test_repeats(documents, awkward):
         assert got == brute.repeats(pairs(docs))
 
 
-def test_repeats_of_hot_anchors():
+def test_windows():
     rng = np.random.default_rng(5)
-    h = substrings.Hasher()([str(x).encode() for x in rng.integers(0, 9, 400)])
-    g = substrings.grams(h, 5)
-    a = substrings.anchors(g, 16)
-    assert a.tolist() == [int(g[i : i + 16].min()) for i in range(len(h) - 19)]
-    places = [p for p in range(len(g)) if any(a[i] == g[p] for i in range(max(0, p - 15), min(p, len(a) - 1) + 1))]
-    assert substrings.anchor_places(g, 16).tolist() == g[places].tolist()
-    start, n = substrings.passages(a, np.unique(a)[:1])
-    assert n.sum() == len(a) and all(n[a[start] == a.min()] == 1)
+    texts = [None, b"", b"one two", *(b" \t".join(str(x).encode() for x in rng.integers(0, 9, n)) + b"\n" * k for k, n in enumerate((19, 20, 400, 21)))]
+    (numbers, joined), = substrings.blocks(texts)
+    w = substrings.Windows(numbers, joined, texts, 20, 5)
+    words = [joined[a:b] for a, b in zip(w.first, w.last)]
+    assert words == [x for t in texts if t for x in t.split()] and w.valid.sum() == 1 + 381 + 2
+    of = dict(zip(words, substrings.word_hashes(joined)[2].tolist()))
+    assert [of[x] for x in words] == substrings.word_hashes(joined)[2].tolist() and len(set(of.values())) == len(of)
+    assert w.anchors.tolist() == [int(w.grams[i : i + 16].min()) for i in range(len(words) - 19)]
+    places = [p for p in range(len(w.grams)) if any(w.valid[i] and w.anchors[i] == w.grams[p] for i in range(max(0, p - 15), min(p, len(w.anchors) - 1) + 1))]
+    assert substrings.anchor_places(w.grams, w.anchors, w.valid, 16).tolist() == w.grams[places].tolist()
+    start, n = substrings.passages(w.anchors, w.valid, np.zeros(0, np.uint64))
+    assert [i for s, k in zip(start, n) for i in range(s, s + k)] == np.flatnonzero(w.valid).tolist() and all(len(set(w.anchors[s : s + k].tolist())) == 1 for s, k in zip(start, n))
+    hot = np.array([w.anchors[w.valid].min()])
+    start, n = substrings.passages(w.anchors, w.valid, hot)
+    assert n.sum() == w.valid.sum() and all(n[w.anchors[start] == hot[0]] == 1)
 
 
 def test_simhash(documents, awkward):
