@@ -234,9 +234,8 @@ def rrf_hybrid(spark, d):
 
 
 def evidence_containment(spark, d):
-    """Quotes that a document holds word for word: candidates share the quote's first eight words' start, the text decides."""
-    docs, quotes = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return docs.join(F.broadcast(quotes), F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+    """Quotes that a document holds word for word."""
+    return search.containing(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"), "doc_id", "item_id")
 
 
 def first_hit_gain(spark, d):

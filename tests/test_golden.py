@@ -131,3 +131,10 @@ def test_chunks_put_together_give_the_text(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = text.chunk_rows(docs, least=0).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.substring("chunk", 1, 700).alias("c")))).alias("c"))
     assert rows.join(docs, "doc_id").where(F.array_join(F.transform("c", lambda x: x["c"]), "") != F.col("text")).count() == 0
+
+
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "xxone two three\nfour fivexx"), (2, "one two\nthree four"), (3, "two three"), (4, ""), (5, None), (6, "a one two three four b one two three four")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "one two three\nfour"), (2, "one two three four"), (3, "two"), (4, None), (5, "ne two three\nfour fi")], "item_id long, text string")
+    got = {tuple(r) for r in search.containing(docs, quotes, "doc_id", "item_id").collect()}
+    assert got == {(1, 1), (5, 1), (2, 6), (3, 1), (3, 2), (3, 3), (3, 6)}
