@@ -91,7 +91,7 @@ def copies(sized: DataFrame, multipliers: dict[object, float], id_column: str =
     """
     spark = sized.sparkSession
     schema = T.StructType([T.StructField("_source", sized.schema["source"].dataType), T.StructField("rate", T.DoubleType())])
-    rates = F.broadcast(spark.createDataFrame([(s, math.exp(m)) for s, m in multipliers.items()], schema))
+    rates = F.broadcast(spark.createDataFrame([(s, round(math.exp(m), 8)) for s, m in multipliers.items()], schema))
     rows = sized.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     h = F.xxhash64(F.col(id_column), F.lit(9))
     rows = rows.withColumn("_class", F.floor(F.log2(F.col("size") + F.lit(1)) * 64).cast("int")).withColumn("_salt", F.pmod(h, F.lit(salts)).cast("int"))

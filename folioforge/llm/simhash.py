@@ -161,8 +161,8 @@ def _linked(f: pd.DataFrame, least: int, max_bits: int) -> pd.DataFrame:
 def near_duplicates(documents: DataFrame, max_bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id): fingerprint as 16 hexadecimal digits, component_id the smallest doc_id reachable by links.
 
-    Documents of one fingerprint are linked, texts without words among them. Null doc_ids are left out of nothing but keep
-    their own row with a null component, unless their fingerprint is shared. One row for each row.
+    Documents of one fingerprint are linked, texts without words among them. A group in which no row has a doc_id has a null
+    component_id. One row for each row.
     """
     docs = checkpoint(fingerprints(documents))
     owners = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
