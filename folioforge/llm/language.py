@@ -119,7 +119,7 @@ def build(languages: list[str], counted: pd.DataFrame, max_nodes: int = 20000) -
     return Model(languages, symbols, node, bits.reshape(total * size, len(languages)), size)
 
 
-def code_lengths(model: Model, texts: list[bytes], block: int = 1 << 22) -> np.ndarray:
+def code_lengths(model: Model, texts: list[bytes], block: int = 1 << 19) -> np.ndarray:
     """(texts, languages): the code length of each whole text, in 1/UNIT bit."""
     out = np.zeros((len(texts), len(model.languages)), np.int64)
     start = 0
