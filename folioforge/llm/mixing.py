@@ -66,19 +66,21 @@ def balance(sized: DataFrame, goals: DataFrame, feature: str = "size", tolerance
     return {s: l if wanted[s] > 0 else -math.inf for s, l in at.items()}
 
 
-def _extras(f):
+def _extras(classes: DataFrame) -> DataFrame:
     """How many documents of each size class of one source get one copy more, from the largest class down: what a class
-    misses or exceeds of its words is carried to the smaller ones. A source has a thousand classes or so."""
-    import pandas as pd
+    misses or exceeds of its words is carried to the smaller ones. A source has a thousand classes or so, so one row holds them."""
+    row = F.struct((-F.col("_class")).alias("c"), "_n", F.col("_words").cast("double").alias("w"), "_part")
+    listed = classes.groupBy("_key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    first = F.struct(F.lit(0.0).alias("carried"), F.array().cast("array<struct<_class:int,_extra:bigint,_all:bigint>>").alias("done"))
 
-    f = f.sort_values("_class", ascending=False)
-    carried, chosen = 0.0, []
-    for number, words, part in zip(f["_n"], f["_words"], f["_part"], strict=True):
-        wanted, mean = part * words + carried, words / number
-        n = min(number, max(0, round(wanted / mean))) if mean else round(part * number)
-        chosen.append(n)
-        carried = wanted - n * mean
-    return pd.DataFrame({"_key": f["_key"], "_class": f["_class"], "_extra": chosen, "_all": f["_n"]})
+    def step(acc, x):
+        wanted, mean = x["_part"] * x["w"] + acc["carried"], x["w"] / x["_n"]
+        n = F.when(mean > 0, F.round(wanted / F.nullif(mean, F.lit(0.0)))).otherwise(F.round(x["_part"] * x["_n"])).cast("bigint")
+        n = F.least(x["_n"], F.greatest(n, F.lit(0).cast("bigint")))
+        done = F.struct((-x["c"]).alias("_class"), n.alias("_extra"), x["_n"].alias("_all"))
+        return F.struct((wanted - n * mean).alias("carried"), F.concat(acc["done"], F.array(done)).alias("done"))
+
+    return listed.select("_key", F.inline(F.aggregate("rows", first, step)["done"]))
 
 
 def copies(sized: DataFrame, multipliers: dict[object, float], id_column: str = "doc_id", salts: int = 64) -> DataFrame:
@@ -98,8 +100,7 @@ def copies(sized: DataFrame, multipliers: dict[object, float], id_column: str =
     rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))).withColumn("_h", h)
     key = ["_key", "_class"]
     groups = checkpoint(rows.groupBy(*key, "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"), F.max(F.col("rate") - F.floor("rate")).alias("_part")))
-    kind = ", ".join(f"{k} {groups.schema[k].dataType.simpleString()}" for k in key)
-    extras = groups.groupBy(*key).agg(F.sum("_n").alias("_n"), F.sum("_words").alias("_words"), F.max("_part").alias("_part")).groupBy("_key").applyInPandas(_extras, f"{kind}, _extra long, _all long")
+    extras = _extras(groups.groupBy(*key).agg(F.sum("_n").alias("_n"), F.sum("_words").alias("_words"), F.max("_part").alias("_part")))
     before = Window.partitionBy(*key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.select(*key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).join(extras, key)
     place = F.row_number().over(Window.partitionBy(*key, "_salt").orderBy("size", "_h", id_column)) - 1
