@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ def unit(values) -> np.ndarray | None:
 
 
 def permutations(vectors: DataFrame, near: int = 10, members_a_pivot: int = 128, most_pivots: int = 4096) -> DataFrame:
-    """(vec_id, top, vector): each usable vector with its nearest reference points in order, and its unit vector as bytes.
+    """(vec_id, top, vector, same): each usable vector with its nearest reference points in order, its unit vector as bytes, and a
+    128-bit digest of both, which copies share.
 
     The reference points are vectors drawn by a hash of their id, one for each members_a_pivot vectors, from 16 to most_pivots
     of them: that bounds what the driver sends. Every vector is indexed. Vectors of different lengths never link.
@@ -60,22 +62,33 @@ def permutations(vectors: DataFrame, near: int = 10, members_a_pivot: int = 128,
                 part = np.argpartition(-close, k - 1, axis=1)[:, :k]
                 rank = np.argsort(-np.take_along_axis(close, part, 1), axis=1, kind="stable")
                 top = np.take_along_axis(part, rank, 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(list(top), pa.list_(pa.int32())), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "top", "vector"])
+                raw = [v.tobytes() for v in x]
+                same = [hashlib.blake2b(v + t.tobytes(), digest_size=16).digest() for v, t in zip(raw, top, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(list(top), pa.list_(pa.int32())), pa.array(raw, pa.binary()), pa.array(same, pa.binary())], ["vec_id", "top", "vector", "same"])
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    return vectors.select("vec_id", "embedding").mapInArrow(order, f"vec_id {kind}, top array<int>, vector binary")
+    return vectors.select("vec_id", "embedding").mapInArrow(order, f"vec_id {kind}, top array<int>, vector binary, same binary")
+
+
+def classes(indexed: DataFrame) -> DataFrame:
+    """(same, vec_id, copies, top, vector): one row for the copies of a vector, with the smallest of their ids and their number.
+
+    A vector that a third of all rows hold is then one member of its lists, not a square of pairs.
+    """
+    return indexed.groupBy("same", "top", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
 
 
 def links(indexed: DataFrame, least_cosine: float = 0.9, least_shared: int = 2) -> DataFrame:
-    """(a, b, n): rows with b null hold a number n of partners of a; the others are links of a spanning forest of each piece.
+    """(a, b, n) of classes(): rows with b null hold a number n of partners of a, copies counted; the others are links of a spanning
+    forest of each piece.
 
     Each vector stands in the inverted lists of its nearest pivots; the first of them is its home. In a list, pairs of which one is at
     home and that share least_shared of their pivots are verified by their cosine. A pair that two lists could give is taken from the smaller.
     """
-    lists = indexed.select("vec_id", "top", "vector", F.explode("top").alias("pivot")).withColumn("size", F.octet_length("vector"))
+    lists = indexed.select("vec_id", "copies", "top", "vector", F.explode("top").alias("pivot")).withColumn("size", F.octet_length("vector"))
     sizes = lists.groupBy("pivot", "size").count().where("count > 1")
     dealt = lists.join(F.broadcast(sizes), ["pivot", "size"]).withColumn("pieces", F.ceil(F.col("count") / TILE).cast("int")).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("pivot", "size", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "vec_id", "top", "vector")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("pivot", "size", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "vec_id", "copies", "top", "vector")
     kind = indexed.schema["vec_id"].dataType.simpleString()
 
     def verify(f: pd.DataFrame) -> pd.DataFrame:
@@ -103,7 +116,8 @@ def links(indexed: DataFrame, least_cosine: float = 0.9, least_shared: int = 2)
             b.append(c[ok])
         a, b = np.concatenate(a), np.concatenate(b)
         ids = f.vec_id.to_numpy()
-        n = np.bincount(a, minlength=len(f)) + np.bincount(b, minlength=len(f))
+        copies = f["copies"].to_numpy()
+        n = (np.bincount(a, copies[b], len(f)) + np.bincount(b, copies[a], len(f))).astype(np.int64)
         label, linked = _forest(len(f), a, b), np.flatnonzero(n)
         tied = np.flatnonzero(label != np.arange(len(f)))
         return pd.DataFrame({"a": np.concatenate([ids[linked], ids[tied]]), "b": pd.array([None] * len(linked) + ids[label[tied]].tolist(), dtype="Int64"), "n": np.concatenate([n[linked], np.zeros(len(tied), np.int64)])})
@@ -117,9 +131,16 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.9) -> DataFrame:
     vec_id is taken to be unique; rows that repeat one are each other's copies and are not links of it.
     """
     indexed = checkpoint(permutations(vectors).dropDuplicates(["vec_id"]))
-    found = checkpoint(links(indexed, least_cosine))
-    numbers = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
+    distinct = checkpoint(classes(indexed))
+    found = checkpoint(links(distinct, least_cosine))
+    numbers = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "vec_id")
-    rows = vectors.select("vec_id").join(numbers, "vec_id", "left").join(parts, "vec_id", "left")
+    told = distinct.select("same", "vec_id", "copies").join(numbers, "vec_id", "left").join(parts, "vec_id", "left")
+    told = told.select("same", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    members = indexed.select("vec_id", "same").join(told, "same").drop("same")
     own = F.coalesce("component", "vec_id")
-    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return (
+        vectors.select("vec_id")
+        .join(members, "vec_id", "left")
+        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
+    )
