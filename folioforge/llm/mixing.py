@@ -105,7 +105,7 @@ def copies(sized: DataFrame, multipliers: dict[object, float], id_column: str =
     offsets = groups.select(*key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).join(extras, key)
     place = F.row_number().over(Window.partitionBy(*key, "_salt").orderBy("size", "_h", id_column)) - 1
     ranked = rows.withColumn("_place", place).join(offsets, [*key, "_salt"]).withColumn("_rank", F.col("_before") + F.col("_place"))
-    extra = F.expr("(_rank + 1) * _extra div _all - _rank * _extra div _all")
+    extra = F.expr("cast(_rank + 1 as decimal(19, 0)) * cast(_extra as decimal(19, 0)) div _all - cast(_rank as decimal(19, 0)) * cast(_extra as decimal(19, 0)) div _all")
     return ranked.withColumn("copies", (F.floor("rate") + extra).cast("long")).drop("_class", "_salt", "_key", "_h", "_before", "_place", "_rank", "_extra", "_all")
 
 
