@@ -16,8 +16,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, with lang predicted; und goes: null texts and those without a letter."""
     small_batches(spark)
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
-    told = language.predict(docs, model).where("lang_pred <> 'und'").select("doc_id", "lang_pred").dropDuplicates(["doc_id"])
-    return docs.join(told, "doc_id").withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    return language.label(docs, model).where("lang <> 'und'")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are contaminated by the benchmark go."""
     small_batches(spark)
-    bad = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where(decontaminate.contaminated()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,6 +91,14 @@ def search_shard(p: Phrases, texts: list[bytes | None]) -> tuple[np.ndarray, lis
     return sizes, spans, found
 
 
+def _phrases(items: DataFrame, max_item_bytes: int, item_id: str):
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_item_bytes:
+        raise ValueError(f"items hold {size} bytes of text, over {max_item_bytes}")
+    rows = items.select(item_id, F.col("text").cast("binary")).collect()
+    return items.sparkSession.sparkContext.broadcast(Phrases([(r[0], bytes(r[1]) if r[1] is not None else None) for r in rows]))
+
+
 def contamination(documents: DataFrame, items: DataFrame, max_item_bytes: int = 1 << 28, shard_bytes: int = 1 << 25, item_id: str = "item_id") -> DataFrame:
     """(doc_id, n_words, n_hit, spans, items): words of each document, those inside occurrences of a test window, merged spans of these
     as (start, end) in words, and the ids of items with occurring windows, sorted as strings.
@@ -98,11 +106,7 @@ def contamination(documents: DataFrame, items: DataFrame, max_item_bytes: int =
     A shard is what one task reads, in pieces of about shard_bytes of text. items are sent to all tasks; over max_item_bytes of text
     raises an error: run it over parts of the items then. Null and empty texts have no words. One row for each row.
     """
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_item_bytes:
-        raise ValueError(f"items hold {size} bytes of text, over {max_item_bytes}")
-    rows = items.select(item_id, F.col("text").cast("binary")).collect()
-    shared = documents.sparkSession.sparkContext.broadcast(Phrases([(r[0], bytes(r[1]) if r[1] is not None else None) for r in rows]))
+    shared = _phrases(items, max_item_bytes, item_id)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, held, ids, size = shared.value, [], [], 0
@@ -132,5 +136,33 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def clean(documents: DataFrame, items: DataFrame, max_item_bytes: int = 1 << 28, shard_bytes: int = 1 << 25, item_id: str = "item_id") -> DataFrame:
+    """The documents that are not contaminated(), judged as contamination() does; each row by itself, so null and repeated ids stay and
+    nothing is shuffled."""
+    shared = _phrases(items, max_item_bytes, item_id)
+    place = documents.columns.index("text")
+
+    def kept(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, spans, _ = search_shard(shared.value, [t for b in held for t in b.column(place).cast(pa.binary()).to_pylist()])
+        hit, at = np.array([sum(b - a for a, b in x) for x in spans], np.int64), 0
+        stays = (hit == 0) | (20 * hit < sizes)
+        for b in held:
+            yield b.filter(pa.array(stays[at : at + len(b)]))
+            at += len(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.column(place).nbytes
+            if size >= shard_bytes:
+                yield from kept(held)
+                held, size = [], 0
+        if held:
+            yield from kept(held)
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))

@@ -144,6 +144,20 @@ def code_lengths(model: Model, texts: list[bytes], block: int = 1 << 19) -> np.n
     return out
 
 
+def _told(m: Model, texts: list[bytes | None], lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text; und and 0 for those without a letter, or for all if nothing was learned."""
+    names = np.array([*m.languages, "und"], dtype=object)
+    if not m.languages:
+        return names[np.zeros(len(texts), int)], np.zeros(len(texts))
+    bits = code_lengths(m, [t if t is not None and k else b"" for t, k in zip(texts, lettered, strict=True)])
+    p = 1 / np.exp2(np.clip((bits.min(axis=1, keepdims=True) - bits) / UNIT, -1000, 0)).sum(axis=1)
+    return names[np.where(lettered, bits.argmin(axis=1), len(m.languages))], np.where(lettered, p, 0.0)
+
+
+def _has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): the language of the shortest code, and its share of the likelihood over all languages.
 
@@ -153,20 +167,24 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.languages, "und"], dtype=object)
         for b in batches:
-            lettered = np.array(b.column(3).to_pylist(), bool)
-            texts = [t if t is not None and k else b"" for t, k in zip(b.column(2).cast(pa.binary()).to_pylist(), lettered, strict=True)]
-            if m.languages:
-                bits = code_lengths(m, texts)
-                best = bits.argmin(axis=1)
-                p = 1 / np.exp2(np.clip((bits.min(axis=1, keepdims=True) - bits) / UNIT, -1000, 0)).sum(axis=1)
-            else:
-                best, p, lettered = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            best = np.where(lettered, best, len(m.languages))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[best], pa.string()), pa.array(np.where(lettered, p, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+            names, p = _told(shared.value, b.column(2).cast(pa.binary()).to_pylist(), np.array(b.column(3).to_pylist(), bool))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(p, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return documents.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)), "text", letter).mapInArrow(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return documents.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)), "text", _has_letter()).mapInArrow(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def label(documents: DataFrame, model: Model) -> DataFrame:
+    """The documents with lang as predict() gives it (und: none); each row by itself, so null and repeated ids stay and nothing is shuffled."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    text, lang = documents.columns.index("text"), documents.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *columns, lettered = b.columns
+            names, _ = _told(shared.value, columns[text].cast(pa.binary()).to_pylist(), np.array(lettered.to_pylist(), bool))
+            columns[lang] = pa.array(names, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+
+    return documents.select("*", _has_letter()).mapInArrow(run, documents.schema)

@@ -77,6 +77,10 @@ def test_language(documents, awkward):
     assert all(0 <= r.score <= 1 for r in got)
     odd = {r.doc_id: r for r in language.predict(awkward, model).collect()}
     assert [odd[i].lang_pred for i in (3, 4, 5, 16)] == ["und"] * 4 and odd[0].lang_pred in model.languages and len(odd) == awkward.count()
+    told = {r.doc_id: r.lang for r in language.label(awkward, model).collect()}
+    assert told == {d: r.lang_pred for d, r in odd.items()}
+    rows = awkward.sparkSession.createDataFrame([(None, "the quick words", None, 1), (1, None, "x", 2), (1, "12 34", "x", 3), (1, "some words here", None, 4)], "doc_id long, text string, lang string, n long")
+    assert [(r.n, r.lang == "und") for r in language.label(rows, model).orderBy("n").collect()] == [(1, False), (2, True), (3, True), (4, False)]
     nothing = language.train(documents.limit(0))
     assert {r.lang_pred for r in language.predict(awkward, nothing).collect()} == {"und"}
     # A context's code lengths are those of a distribution.
@@ -103,6 +107,8 @@ def test_decontamination(spark, sf, documents, awkward):
     for docs in both(documents, awkward):
         got = {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(decontaminate.contamination(docs, items)).collect()}
         assert got == brute.contamination(pairs(docs), [tuple(r) for r in items.collect()])
+        kept = sorted((r.doc_id is None, r.doc_id or 0) for r in decontaminate.clean(docs, items).collect())
+        assert kept == sorted((d is None, d or 0) for d in (r.doc_id for r in docs.collect()) if not got[d][4])
     assert decontaminate.contamination(documents, items.limit(0)).where("n_hit > 0").count() == 0
 
 
