@@ -30,12 +30,27 @@ def unit(values) -> np.ndarray | None:
     return None if top == 0 else (x / top) / np.linalg.norm(x / top)
 
 
-def permutations(vectors: DataFrame, near: int = 10, members_a_pivot: int = 128, most_pivots: int = 4096) -> DataFrame:
+def apart(units: np.ndarray, most_cosine: float, block: int = 256) -> np.ndarray:
+    """The rows that stay if each goes that is nearer than most_cosine to an earlier one which stays."""
+    kept = units[:0]
+    for s in range(0, len(units), block):
+        x = units[s : s + block]
+        x = x[(x @ kept.T < most_cosine).all(axis=1)]
+        close, stay = x @ x.T >= most_cosine, np.zeros(len(x), bool)
+        for i in range(len(x)):
+            stay[i] = not (close[i] & stay).any()
+        kept = np.concatenate([kept, x[stay]])
+    return kept
+
+
+def permutations(vectors: DataFrame, near: int = 10, members_a_pivot: int = 128, most_pivots: int = 4096, least_cosine: float = 0.9) -> DataFrame:
     """(vec_id, top, vector, same): each usable vector with its nearest reference points in order, its unit vector as bytes, and a
     128-bit digest of both, which copies share.
 
     The reference points are vectors drawn by a hash of their id, one for each members_a_pivot vectors, from 16 to most_pivots
-    of them: that bounds what the driver sends. Every vector is indexed. Vectors of different lengths never link.
+    of them: that bounds what the driver sends. Of those within one and a half times the link angle of each other only the first
+    stays, so that a large group of near copies has few inside itself and its members keep them in common.
+    Every vector is indexed. Vectors of different lengths never link.
     """
     spark = vectors.sparkSession
     number = int(min(most_pivots, max(16, vectors.count() // members_a_pivot)))
@@ -44,7 +59,8 @@ def permutations(vectors: DataFrame, near: int = 10, members_a_pivot: int = 128,
     for _, e in drawn:
         if (u := unit(e)) is not None:
             by_size.setdefault(len(u), []).append(u)
-    shared = spark.sparkContext.broadcast({n: np.unique(np.stack(x), axis=0) for n, x in by_size.items()})
+    most_cosine = float(np.cos(min(np.pi, 1.5 * np.arccos(least_cosine))))
+    shared = spark.sparkContext.broadcast({n: apart(np.stack(x), most_cosine) for n, x in by_size.items()})
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,7 +99,7 @@ def links(indexed: DataFrame, least_cosine: float = 0.9, least_shared: int = 2)
     forest of each piece.
 
     Each vector stands in the inverted lists of its nearest pivots; the first of them is its home. In a list, pairs of which one is at
-    home and that share least_shared of their pivots are verified by their cosine. A pair that two lists could give is taken from the smaller.
+    home and that share their home or least_shared of their pivots are verified by their cosine. A pair that two lists could give is taken from the smaller.
     """
     lists = indexed.select("vec_id", "copies", "top", "vector", F.explode("top").alias("pivot")).withColumn("size", F.octet_length("vector"))
     sizes = lists.groupBy("pivot", "size").count().where("count > 1")
@@ -111,7 +127,7 @@ def links(indexed: DataFrame, least_cosine: float = 0.9, least_shared: int = 2)
             common = np.zeros(len(r), np.int64)
             for k in range(top.shape[1]):
                 common += (top[r] == top[c, k][:, None]).any(axis=1)
-            ok = common >= min(least_shared, top.shape[1])
+            ok = (home[r] == home[c]) | (common >= min(least_shared, top.shape[1]))
             a.append(r[ok])
             b.append(c[ok])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -130,7 +146,7 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.9) -> DataFrame:
 
     vec_id is taken to be unique; rows that repeat one are each other's copies and are not links of it.
     """
-    indexed = checkpoint(permutations(vectors).dropDuplicates(["vec_id"]))
+    indexed = checkpoint(permutations(vectors, least_cosine=least_cosine).dropDuplicates(["vec_id"]))
     distinct = checkpoint(classes(indexed))
     found = checkpoint(links(distinct, least_cosine))
     numbers = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))

@@ -217,6 +217,19 @@ def test_vectors(spark, sf, monkeypatch, tile):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.25, 0.34])
+def test_vectors_in_a_large_group(spark, noise):
+    """A group of near copies, at mean cosines 0.94 and 0.90, that holds very many of some hundred pivots drawn."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=64) + noise * rng.normal(size=(3500, 64)), rng.normal(size=(1500, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    indexed = vectors.permutations(df, members_a_pivot=8)
+    found = vectors.links(vectors.classes(indexed)).agg({"n": "sum"}).first()[0]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = int((u @ u.T >= 0.9).sum()) - len(u)
+    assert n > 1_000_000 and 0.97 * n <= found <= n
+
+
 def test_mixing(documents, awkward):
     for docs in (documents, awkward):
         own = docs.select("doc_id", "text", "source")
