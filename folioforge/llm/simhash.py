@@ -158,6 +158,12 @@ def _linked(f: pd.DataFrame, least: int, max_bits: int) -> pd.DataFrame:
     return pd.DataFrame({"a": signed[own], "b": signed[label[own]]}).drop_duplicates()
 
 
+def _named(owners: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, least, component) of (fp, least), one row for each fingerprint."""
+    parts = connected_components(links(owners, max_bits))
+    return owners.join(parts, owners.fp == parts.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(documents: DataFrame, max_bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id): fingerprint as 16 hexadecimal digits, component_id the smallest doc_id reachable by links.
 
@@ -165,9 +171,20 @@ def near_duplicates(documents: DataFrame, max_bits: int = 4) -> DataFrame:
     component_id. One row for each row.
     """
     docs = checkpoint(fingerprints(documents))
-    owners = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(links(owners, max_bits))
-    named = owners.join(parts, owners.fp == parts.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = _named(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits)
     heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = named.join(heads, "component").select("fp", "component_id")
     return docs.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, max_bits: int = 4) -> DataFrame:
+    """The documents with one row of each component of fingerprints: that of the least doc_id, nulls last, then of the least digest of
+    the row. Rows are judged by their own fingerprint, so those without an id or with a repeated one stay if nothing is near them.
+    """
+    others = [c for c in documents.columns if c != "text"]
+    row = F.sha2(F.concat_ws("\n", F.coalesce(F.sha2("text", 256), F.lit("")), F.to_json(F.struct(*others), {"ignoreNullFields": "false"})), 256)
+    keyed = documents.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", row.alias("digest")))
+    fps = checkpoint(fingerprints(keyed.select(F.col("_row").alias("doc_id"), "text")))
+    heads = _named(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits).groupBy("component").agg(F.min("least").alias("least"))
+    kept = heads.select(F.col("least.digest").alias("_digest"))
+    return documents.withColumn("_digest", row).join(kept, "_digest", "left_semi").dropDuplicates(["_digest"]).select(documents.columns)

@@ -299,3 +299,14 @@ def test_pipeline_stages_take_awkward_rows(spark, sf, awkward):
             out.collect()
             if name != "mixture":
                 assert out.columns == data.columns
+
+
+def test_pipeline_judges_rows_not_ids(spark, sf):
+    """Clean texts stay without an id and under a repeated one; of copies one stays, with an id if one has it."""
+    rng = np.random.default_rng(8)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (None, c, "en", "s", 3), (None, c, None, "s", 4), (None, a, "en", "s", 5), (2, b, "en", "s", 6), (None, d, "en", None, 7), (3, e, "en", "s", 8), (3, e, "en", "s", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [[tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(n), sf).collect()] for n in (1, 5)]
+    assert sorted((r[0] or 0, r[1]) for r in got[0]) == sorted([(1, a), (1, b), (0, c), (0, d), (3, e)])
+    assert set(got[0]) == set(got[1])
