@@ -99,7 +99,6 @@ on 15 may or 20 june it was 30
 
 CUES = frozenset(("phone", "tel", "telephone", "mobile", "call", "fax", "ssn", "social", "security", "passport", "iban", "dob", "born", "birth", "mr", "mrs", "ms", "dr", "herr", "frau", "mme", "name", "isbn", "page", "pages", "version"))
 TAGS = ("O", "B-name", "I-name", "B-number", "I-number")
-AROUND = 8
 EDGE = 1
 STRIP = ".,;:!?()[]\"'"
 
@@ -197,25 +196,32 @@ def train(steps: int = 300, rate: float = 0.3, decay: float = 2e-3, caution: tup
     return Field(known, weights, params[1] + allowed - begins, start - begins)
 
 
-def viterbi(scores: np.ndarray, real: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The best tags of each row of a batch: scores (rows, places, tags), real marks the places that a row has (from its first on)."""
-    rows, places, n = scores.shape
+def viterbi(scores, real: np.ndarray, moves: np.ndarray, first: np.ndarray, last: np.ndarray | float = 0.0, block: int = 4096) -> np.ndarray:
+    """The best tags of each row of a batch: scores (rows, places, tags), or a function that gives those of places from t to u; real marks the
+    places that a row has (from its first on). first and last are added to the first and the last tag's score. The way is carried over
+    all places, of which block have their scores at a time."""
+    of = scores if callable(scores) else lambda t, u: scores[:, t:u]
+    (rows, places), n = real.shape, len(moves)
     back = np.zeros((rows, places, n), np.int8)
-    at = first + scores[:, 0]
-    for t in range(1, places):
-        way = at[:, :, None] + moves
-        back[:, t] = way.argmax(axis=1)
-        at = np.where(real[:, t, None], way.max(axis=1) + scores[:, t], at)
-        back[:, t][~real[:, t]] = np.arange(n)
+    for s in range(0, places, block):
+        part = of(s, min(places, s + block))
+        for t in range(s, min(places, s + block)):
+            if t == 0:
+                at = first + part[:, 0]
+                continue
+            way = at[:, :, None] + moves
+            back[:, t] = way.argmax(axis=1)
+            at = np.where(real[:, t, None], way.max(axis=1) + part[:, t - s], at)
+            back[:, t][~real[:, t]] = np.arange(n)
     tags = np.zeros((rows, places), np.int8)
-    tags[:, -1] = at.argmax(axis=1)
+    tags[:, -1] = (at + last).argmax(axis=1)
     for t in range(places - 1, 0, -1):
         tags[:, t - 1] = back[np.arange(rows), t, tags[:, t]]
     return tags
 
 
 def field_spans(field: Field, texts: list[str], cache: dict[str, int], block: int = 1 << 18) -> list[list[tuple[int, int, str]]]:
-    """Spans that the field finds, in code points. Words are decoded in windows around those whose scores leave room for a label."""
+    """Spans that the field finds, in code points. They are those of one decoding of each whole text: words left out leave no room for a label."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     known = field.known
     if len(cache) > 300_000:
@@ -229,42 +235,50 @@ def field_spans(field: Field, texts: list[str], cache: dict[str, int], block: in
     begins = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(texts)), sizes)
     lo_of, hi_of = begins[owner], (begins + sizes)[owner]
-    # How much a label on a word can add to the score at most: its own scores, the best move to it and the move back to none.
-    move = field.moves - field.moves[0, 0]
-    bonus = np.maximum(move, -99).max(axis=0) + np.maximum(move[:, 0], 0)
+    # What a label can add to the score at most over none on its words: own scores, and moves in, on and out, whatever stands beside it.
     first, inner = [i for i, t in enumerate(TAGS) if t[0] == "B"], [i for i, t in enumerate(TAGS) if t[0] == "I"]
+    enter = (field.moves - field.moves[:, :1]).max(axis=0)
+    leave = max(0.0, (field.moves - field.moves[0])[1:, [0, *first]].max())
+    bonus = [np.maximum(enter, field.first - field.first[0])[first] + leave, (field.moves.max(axis=0) - field.moves[0, 0])[inner]]
     bounds = [field.weights[:, :, tags] - field.weights[:, :, :1] for tags in (first, inner)]
-    hot = []
-    pad = np.concatenate(([EDGE], ids, [EDGE] * 3))
+    low, high = np.zeros(len(ids)), np.zeros(len(ids))
+    pad = np.concatenate(([EDGE], ids, [EDGE]))
+    # A text's edge may give more than its neighbour's word does.
+    inside = [pad[:-2].copy(), pad[2:].copy()]
+    full = sizes > 0
+    inside[0][begins[full]] = EDGE
+    inside[1][(begins + sizes)[full] - 1] = EDGE
     for s in range(0, len(ids), block):
         e = min(len(ids), s + block)
-        low, high = ((bounds[k][0][pad[s : e + 1]] + bounds[k][1][pad[s + 1 : e + 2]] + bounds[k][2][pad[s + 2 : e + 3]] + bonus[tags]).max(axis=1) for k, tags in ((0, first), (1, inner)))
-        hot.append(s + np.flatnonzero(low[:-1] + np.maximum(high[1:], 0) > 0))
-    hot = np.concatenate(hot) if hot else np.zeros(0, np.int64)
-    if not len(hot):
+        for k, gain in enumerate((low, high)):
+            gain[s:e] = (bounds[k][0][inside[0][s:e]] + bounds[k][1][ids[s:e]] + bounds[k][2][inside[1][s:e]] + bonus[k]).max(axis=1)
+    # live: words that some label could cover with gain, begun at or before them and going on as long as that pays. Labels on others only
+    # lose, so each run of live words can be decoded by itself, with none on both sides, as in one pass over the text.
+    total = np.concatenate(([0.0], np.cumsum(high)))
+    after = np.maximum.accumulate(total[::-1])[::-1][1:] - total[1:]
+    here = np.maximum.accumulate(low - total[1:]) + total[1:] if len(ids) else low
+    live = np.flatnonzero(here + after > -1e-6)
+    if not len(live):
         return out
-    begin, end = np.maximum(hot - AROUND, lo_of[hot]), np.minimum(hot + AROUND + 1, hi_of[hot])
-    new = np.concatenate(([True], begin[1:] >= np.maximum.accumulate(end)[:-1]))
-    group = np.cumsum(new) - 1
-    begin, end = begin[new], np.maximum.reduceat(end, np.flatnonzero(new))
-    cut_b, cut_e = [], []
-    for b, e in zip(begin.tolist(), end.tolist(), strict=True):  # long stretches go in pieces of 256 words
-        for s in range(b, e, 256):
-            cut_b.append(s)
-            cut_e.append(min(e, s + 256))
-    begin, end = np.array(cut_b), np.array(cut_e)
+    new = np.concatenate(([True], (np.diff(live) > 1) | (np.diff(owner[live]) > 0)))
+    begin, end = live[new], np.concatenate((live[np.flatnonzero(new)[1:] - 1], live[-1:])) + 1
     order = np.argsort(end - begin, kind="stable")
     marked: dict[int, list[tuple[int, int, str]]] = {}
-    for s in range(0, len(order), 2048):
+    s = 0
+    while s < len(order):
         rows = order[s : s + 2048]
+        rows = rows[: max(1, int((np.arange(1, len(rows) + 1) * (end - begin)[rows] <= block).sum()))]
+        s += len(rows)
         width = int((end - begin)[rows].max())
-        place = begin[rows][:, None] + np.arange(width)
-        real = place < end[rows][:, None]
-        place = np.minimum(place, len(ids) - 1)
-        own = ids[place]
-        before = np.where(place > lo_of[place], ids[np.maximum(place - 1, 0)], EDGE)
-        after = np.where(place + 1 < hi_of[place], ids[np.minimum(place + 1, len(ids) - 1)], EDGE)
-        tags = viterbi(field.weights[0][before] + field.weights[1][own] + field.weights[2][after], real, field.moves, field.first)
+
+        def scores(t, u, rows=rows):
+            place = np.minimum(begin[rows][:, None] + np.arange(t, u), len(ids) - 1)
+            return field.weights[0][inside[0][place]] + field.weights[1][ids[place]] + field.weights[2][inside[1][place]]
+
+        real = begin[rows][:, None] + np.arange(width) < end[rows][:, None]
+        starts = np.where((begin[rows] == lo_of[begin[rows]])[:, None], field.first, field.moves[0])
+        ends = np.where((end[rows] == hi_of[begin[rows]])[:, None], 0.0, field.moves[:, 0])
+        tags = viterbi(scores, real, field.moves, starts, ends)
         tags[~real] = 0
         for r in np.flatnonzero(tags.any(axis=1)).tolist():
             t = 0

@@ -194,6 +194,32 @@ def test_viterbi_is_the_best_path():
         assert tuple(tags[:n]) == best
 
 
+def test_personal_data_is_that_of_whole_texts():
+    """Long contact lists and random words, with names and numbers at every place, against one pass of Viterbi over the text."""
+    field, rng = pii.train(), np.random.default_rng(6)
+    words = [w for ws, _ in pii.labelled() for w in ws] + ["Hoffmann", "555-0177", "river", "Ünï"]
+    contacts = " ".join(f"phone 555-0{i % 900 + 100} please Mrs. Clara Hoffmann came" for i in range(800))
+    texts = [contacts, "then " + contacts, "", "Mr. " + contacts[6:], *(" ".join(rng.choice(words, int(n))) for n in rng.integers(1, 700, 60))]
+    texts += [t for text in texts[-20:] for t in text.split()[:3]]
+    for text, found in zip(texts, pii.field_spans(field, texts, {})):
+        places = [m.span() for m in pii.re.finditer(r"\S+", text)]
+        ids = np.array([pii.EDGE, *(field.known.get(pii.feature(text[s:e]), 0) for s, e in places), pii.EDGE])
+        if not places:
+            assert found == []
+            continue
+        scores = sum(field.weights[p][ids[p : p + len(places)]] for p in range(3))[None]
+        tags = pii.viterbi(scores, np.ones((1, len(places)), bool), field.moves, field.first)[0]
+        want = []
+        for (s, e), tag in zip(places, tags):
+            if pii.TAGS[tag][0] == "B":
+                want.append([s, e, pii.TAGS[tag][2:]])
+            elif tag:
+                want[-1][1] = e
+        strip = [(s + len(t) - len(t.lstrip(pii.STRIP)), e - len(t) + len(t.rstrip(pii.STRIP)), k) for s, e, k in want if (t := text[s:e]).strip(pii.STRIP)]
+        assert sorted(found) == strip, text[:200]
+        assert len(found) >= 1600 or len(places) < 5000
+
+
 @pytest.mark.parametrize("tile", [2048, 8])
 def test_vectors(spark, sf, monkeypatch, tile):
     monkeypatch.setattr(vectors, "TILE", tile)
