@@ -6,10 +6,14 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent.parent)
+#: What one Arrow batch holds at most, beside its rows: a batch of long texts then fits a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+#: Keys that hold more than one in HOT of all rows are joined by broadcast; there are fewer than HOT of them, whatever the input.
+HOT = 10_000
 
 
 def importable(spark: SparkSession) -> None:
@@ -20,24 +24,50 @@ def importable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: a batch of long texts then fits a Python worker."""
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow() in batches that fit a worker."""
+    spark = df.sparkSession
+    importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
+def small_batches(spark: SparkSession) -> None:
     importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session of one machine (tests) may do without and gets a temporary one."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder that the session names; only without one (tests) in a temporary folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cuts lineage in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, count: Column, total: int) -> DataFrame:
+    """Inner join of rows (total of them, about) with facts on key, where facts has one row for each key and count its number of rows.
+
+    The facts of keys with over total / HOT rows are broadcast, so rows of a hot key stay where they are; by their number
+    that table is below HOT rows at any size. The other keys, none of them large, are joined by a shuffle.
+    """
+    hot = count > max(8, total // HOT)
+    marked = rows.join(F.broadcast(facts.where(hot).select(F.col(key).alias("_hot"))), F.col(key) == F.col("_hot"), "left")
+    warm = marked.where("_hot is not null").drop("_hot").join(F.broadcast(facts.where(hot)), key)
+    return warm.unionByName(marked.where("_hot is null").drop("_hot").join(facts.where(~hot), key))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, language, mixing, pii, secrets, simhash, substrings, urls, vectors
-from .common import small_batches, table
+from .common import table
 
 #: The rules of the url query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -18,7 +18,6 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     documents = table(spark, sf_dir, "documents")
     model = language.train(documents.where(~language.held_out(F.col("doc_id"))))
     return language.predict(documents, model)
@@ -32,27 +31,22 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return substrings.remove(table(spark, sf_dir, "documents")).drop("text")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 5000)
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_tasks
+from .common import checkpoint, hot_join, importable, map_arrow, shuffle_tasks
 from .components import connected_components
 
 #: Fingerprints of a bucket that are compared in one piece; a larger bucket is dealt out in pairs of pieces.
@@ -48,7 +48,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
 
 
 def index_keys(max_bits: int, width: int = 3) -> list[tuple[int, ...]]:
@@ -89,6 +89,7 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     least = 8 - max_bits
     keys = index_keys(max_bits)
     spark = fps.sparkSession
+    importable(spark)
 
     def key(i: int, positions: tuple[int, ...]) -> str:
         mask = sum(255 << 8 * p for p in positions)
@@ -158,33 +159,35 @@ def _linked(f: pd.DataFrame, least: int, max_bits: int) -> pd.DataFrame:
     return pd.DataFrame({"a": signed[own], "b": signed[label[own]]}).drop_duplicates()
 
 
-def _named(owners: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, least, component) of (fp, least), one row for each fingerprint."""
+def _heads(docs: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, head, n) of (doc_id, fp): the least doc_id of each fingerprint's component, and its number of rows; one row for each fingerprint."""
+    owners = checkpoint(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     parts = connected_components(links(owners, max_bits))
-    return owners.join(parts, owners.fp == parts.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = owners.join(parts, owners.fp == parts.id, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
+    heads = named.groupBy("component").agg(F.min("least").alias("head"), F.count("*").alias("parts"))
+    return hot_join(named, heads, "component", F.col("parts"), owners.count()).select("fp", "head", "n")
 
 
 def near_duplicates(documents: DataFrame, max_bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id): fingerprint as 16 hexadecimal digits, component_id the smallest doc_id reachable by links.
 
     Documents of one fingerprint are linked, texts without words among them. A group in which no row has a doc_id has a null
-    component_id. One row for each row.
+    component_id; rows that repeat a doc_id are judged each by its own text. One row for each row.
     """
     docs = checkpoint(fingerprints(documents))
-    named = _named(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits)
-    heads = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.join(heads, "component").select("fp", "component_id")
-    return docs.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    told = hot_join(docs, _heads(docs, max_bits), "fp", F.col("n"), docs.count())
+    return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, max_bits: int = 4) -> DataFrame:
     """The documents with one row of each component of fingerprints: that of the least doc_id, nulls last, then of the least digest of
     the row. Rows are judged by their own fingerprint, so those without an id or with a repeated one stay if nothing is near them.
+
+    Texts are shuffled once, to meet the digests of the rows that stay.
     """
     others = [c for c in documents.columns if c != "text"]
     row = F.sha2(F.concat_ws("\n", F.coalesce(F.sha2("text", 256), F.lit("")), F.to_json(F.struct(*others), {"ignoreNullFields": "false"})), 256)
     keyed = documents.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", row.alias("digest")))
     fps = checkpoint(fingerprints(keyed.select(F.col("_row").alias("doc_id"), "text")))
-    heads = _named(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits).groupBy("component").agg(F.min("least").alias("least"))
-    kept = heads.select(F.col("least.digest").alias("_digest"))
+    kept = _heads(fps, max_bits).select(F.col("head.digest").alias("_digest")).distinct()
     return documents.withColumn("_digest", row).join(kept, "_digest", "left_semi").dropDuplicates(["_digest"]).select(documents.columns)

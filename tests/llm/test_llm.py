@@ -46,6 +46,14 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_path(spark):
+    """Ten thousand nodes in a row, in random order, beside a star whose centre holds nearly half of the links."""
+    ids = np.random.default_rng(1).permutation(10_000)
+    links = [*zip(ids[:-1].tolist(), ids[1:].tolist()), *((20_000, 20_000 + k) for k in range(1, 8000))]
+    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(10_000), 0), **dict.fromkeys(range(20_000, 28_000), 20_000)}
+
+
 def test_fmindex():
     rng = np.random.default_rng(0)
     for _ in range(20):
