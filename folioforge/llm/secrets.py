@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and tokens that a character Markov model of random strings explains better than one of identifiers.
 
-DataFrame functions only. Texts are scanned once per pattern by the JVM; what is kept of a text is its
-matches, so a very long text costs a scan and no more. Null and empty texts give no spans.
+DataFrame functions only. The JVM scans a text for each pattern; what is kept of it is its matches, whose places come from sums in
+a logarithm of passes, so the cost of a very long text grows with its length and no square. Null and empty texts give no spans.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: What the model judges: runs of these characters, this long or longer, with a digit, outside the base spans.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+SEPARATOR = r"[/_=-]+"
 
 #: Labelled ordinary identifiers, next to which words of the corpus are taken as ordinary too.
 ORDINARY = (
@@ -33,21 +34,38 @@ ORDINARY = (
 
 def _pairs(text: Column) -> Column:
     """Each pair of neighbouring characters of an ASCII string as code * 128 + code."""
-    return F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.ascii(F.substr(text, i, F.lit(1))) * 128 + F.ascii(F.substr(text, i + 1, F.lit(1))))
+    return _let(F.transform(F.split(text, ""), lambda c: F.ascii(c)), lambda c: F.zip_with(F.slice(c, 1, F.greatest(F.lit(0), F.length(text) - 1)), F.slice(c, 2, F.greatest(F.lit(0), F.length(text) - 1)), lambda x, y: x * 128 + y))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _running(x: Column, best) -> Column:
+    """For each place of an array of numbers of zero and more, the sum or greatest of all up to it, in a logarithm of passes over it."""
+
+    def step(acc, k):
+        shifted = F.slice(F.concat(F.array_repeat(F.lit(0), F.pow(F.lit(2.0), k).cast("int")), acc), F.lit(1), F.size(acc))
+        return F.zip_with(acc, shifted, best)
+
+    return F.when(F.size(x) > 1, F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(x).cast("double"))).cast("int")), x, step)).otherwise(x)
 
 
 def markov_table(documents: DataFrame, sample_docs: int = 400, random_strings: int = 4000) -> list[float]:
     """Log-likelihood ratio of each character pair, code * 128 + code (nats; above zero: rather random).
 
     Labelled samples: random are random_strings digests each in base64, lower and upper hexadecimal; ordinary are
-    ORDINARY and the words of six letters or more in the sample_docs documents of smallest doc_id. Both
-    counts are bounds, so what comes to the driver is at most 128 * 128 pairs of two labels.
+    ORDINARY and the words of six letters or more in about sample_docs documents, drawn by a hash. What comes to the driver is at
+    most 128 * 128 pairs of two labels.
     """
     spark = documents.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
     mixed = F.translate(F.base64(F.unhex(digest)), "=", "")
     drawn = spark.range(random_strings).select(F.explode(F.array(mixed, F.substring(digest, 1, 40), F.upper(F.substring(digest, 1, 32)))).alias("s")).withColumn("label", F.lit(1))
-    words = documents.select("doc_id", "text").orderBy("doc_id").limit(sample_docs).select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{6,}"), 0)).alias("s")).groupBy("s").agg(F.first(F.lit(0)).alias("label"))
+    share = min(1.0, sample_docs / max(1, documents.count()))
+    drawn_docs = documents.where(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 32)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    words = drawn_docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{6,}"), 0)).alias("s")).groupBy("s").agg(F.first(F.lit(0)).alias("label"))
     fixed = spark.createDataFrame([(w, 0) for w in ORDINARY for _ in range(200)], "s string, label int")
     counts = drawn.unionByName(words).unionByName(fixed).select("label", F.explode(_pairs(F.col("s"))).alias("pair")).groupBy("label", "pair").count().collect()
     n = {0: [0.25] * 16384, 1: [0.25] * 16384}
@@ -64,49 +82,70 @@ def markov_table(documents: DataFrame, sample_docs: int = 400, random_strings: i
 
 def _found(text: Column, pattern: str, kind: str) -> Column:
     """Spans of all matches, by the lengths of what lies between them: (start, end, kind, found), code points."""
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,found:string>>").alias("spans"))
+    none = F.array().cast("array<struct<start:int,end:int,kind:string,found:string>>")
+
+    def spans(x):
+        taken = F.zip_with(F.slice(x["between"], F.lit(1), F.size(x["found"])), x["found"], lambda b, f: F.length(b) + F.length(f))
+        return F.zip_with(_running(taken, lambda a, b: a + b), x["found"], lambda end, f: F.struct((end - F.length(f)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), f.alias("found")))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["between"])
-        end = start + F.length(x["found"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["found"].alias("found")))).alias("spans"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern, -1).alias("between"))
+    return F.when(text.rlike(pattern), _let(both, spans)).otherwise(none)
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(matches)).alias("between"), matches.alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, first, step)["spans"]).otherwise(first["spans"])
+
+def _free(tokens: Column, base: Column) -> Column:
+    """The tokens, which don't overlap each other, that overlap no base span.
+
+    With the tokens' ends sorted among the base spans' starts, the furthest end of the spans before a token's end tells.
+    """
+    marks = F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("later"), b["end"].alias("reach"))),
+        F.transform(tokens, lambda t: F.struct(t["end"].alias("at"), F.lit(0).alias("later"), F.lit(0).alias("reach"))),
+    )
+
+    def reaches(m):
+        met = F.zip_with(m, _running(F.transform(m, lambda x: x["reach"]), lambda a, b: F.greatest(a, b)), lambda x, r: F.struct(x["later"].alias("later"), r.alias("reach")))
+        return F.filter(met, lambda x: x["later"] == 0)
+
+    tried = F.zip_with(tokens, _let(F.array_sort(marks), reaches), lambda t, r: F.struct(t.alias("token"), r["reach"].alias("reach")))
+    return F.transform(F.filter(tried, lambda x: x["reach"] <= x["token"]["start"]), lambda x: x["token"])
 
 
 def find_secrets(documents: DataFrame, table: list[float], min_ratio: float = 0.35) -> DataFrame:
     """(doc_id, spans): spans as array of (start, end, kind) by start, then kind in the order of KINDS.
 
-    Base kinds keep all their spans. A token that overlaps no base span is added as markov if its mean
-    log-likelihood ratio a character pair is min_ratio or more and it has a digit and a letter.
-    One row for each row of documents, repeated ids included; other columns are left out.
+    Base kinds keep all their spans. A token with a digit and a letter that overlaps no base span is added as markov if the mean
+    log-likelihood ratio a character pair is min_ratio or more, over the token or over one of its parts between separators
+    that could be a token itself: a key at the end of a path counts.
+    One row for each row of documents, null and repeated ids included, each judged by its own text; other columns are left out.
     """
     text = F.coalesce("text", F.lit(""))
-    ratios = F.array(*[F.lit(round(x, 4)) for x in table]) if len(table) < 2 else F.from_json(F.lit("[" + ",".join(f"{x:.4f}" for x in table) + "]"), "array<double>")
+    ratios = F.from_json(F.lit("[" + ",".join(f"{x:.4f}" for x in table) + "]"), "array<double>")
+    mixed = lambda s: s.rlike("[0-9]") & s.rlike("[A-Za-z]")
     spans = documents.select(
         "doc_id",
         F.filter(_found(text, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 1)) >= 6).alias("assign"),
         F.filter(_found(text, ACCESS, "access"), lambda s: F.length(s["found"]) >= 20).alias("access"),
         _found(text, HEX, "hex").alias("hex"),
-        F.filter(_found(text, TOKEN, "markov"), lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]")).alias("tokens"),
+        F.filter(_found(text, TOKEN, "markov"), lambda s: mixed(s["found"])).alias("tokens"),
     ).withColumn("base", F.concat("assign", "access", "hex"))
-    free = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    spans = spans.withColumn("free", F.when(F.size("tokens") > 0, free).otherwise(F.slice("tokens", 1, 0)))
+    both = (F.size("tokens") > 0) & (F.size("base") > 0)
+    spans = spans.withColumn("free", F.when(both, _free(F.col("tokens"), F.col("base"))).otherwise(F.col("tokens")))
 
     def mean_ratio(s):
-        pairs = _pairs(s["found"])
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.element_at(ratios, i + 1)) / F.size(pairs)
+        return _let(_pairs(s), lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.element_at(ratios, i + 1)) / F.size(pairs))
+
+    def likely(s):
+        parts = F.filter(F.split(s, SEPARATOR), lambda p: (F.length(p) >= 20) & mixed(p))
+        return (mean_ratio(s) >= min_ratio) | F.exists(parts, lambda p: mean_ratio(p) >= min_ratio)
 
-    spans = spans.withColumn("markov", F.when(F.size("free") > 0, F.filter("free", lambda s: mean_ratio(s) >= min_ratio)).otherwise(F.col("free")))
+    spans = spans.withColumn("markov", F.when(F.size("free") > 0, F.filter("free", lambda s: likely(s["found"]))).otherwise(F.col("free")))
     order = F.array(*[F.lit(k) for k in KINDS])
     ranked = F.array_sort(F.transform(F.concat("base", "markov"), lambda s: F.struct(s["start"], F.array_position(order, s["kind"]).alias("rank"), s["end"], s["kind"])))
     return spans.select("doc_id", F.transform(ranked, lambda s: F.struct(s["start"], s["end"], s["kind"])).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns of find_secrets()."""
+    """The contract's columns of find_secrets(), one row for each row; rows that repeat a doc_id stay apart."""
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(

@@ -1,8 +1,11 @@
 """The training-data operators against plain versions on small tables, and on awkward rows."""
 
+import time
+
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioforge.llm import chat, components, decontaminate, fmindex, language, mixing, pii, queries, secrets, simhash, substrings, urls, vectors
@@ -78,6 +81,48 @@ def test_secrets(documents, awkward):
     assert [text[s.start : s.end] for s in found if s.kind == "markov"] == ["xK9vB2mQ7pL4nR8tZ3wYx"]
 
 
+def test_added_secrets_on_held_out_labels(spark, documents):
+    """Random strings and ordinary identifiers that training never saw, alone and at the end of a path: precision and recall of the model."""
+    rng = np.random.default_rng(11)
+    signs = {"base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "lower": "abcdefghijklmnopqrstuvwxyz0123456789", "hex": "0123456789ABCDEF"}
+    keys = ["".join(rng.choice(list(s), int(rng.integers(22, 44)))) for s in signs.values() for _ in range(60)]
+    keys = [k for k in keys if any(c.isdigit() for c in k) and any(c.isalpha() for c in k)]
+    words = "invoice payment account shipping window button header network service client handler record buffer project module archive picture summer garden kitchen library station holiday weather market village teacher student science history travel mountain".split()
+    plain = []
+    for i in range(180):
+        own = rng.choice(words, 4).tolist()
+        plain.append([f"{'_'.join(own)}_{i}", own[0] + "".join(w.title() for w in own[1:]) + str(i), "/".join(own) + f"/page{i}", "-".join(own) + f"-v{i}"][i % 4])
+    rows = [(f"see {k} here", True) for k in keys] + [(f"https://host.org/{'/'.join(rng.choice(words, 2))}/{k} here", True) for k in keys] + [(f"see {p} here", False) for p in plain]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    hit = {r.doc_id for r in secrets.find_secrets(df, secrets.markov_table(documents)).collect() if any(s.kind == "markov" for s in r.spans)}
+    right = sum(rows[i][1] for i in hit)
+    assert right >= 0.9 * 2 * len(keys) and right >= 0.95 * len(hit)
+
+
+def test_secrets_in_a_very_long_text(spark, documents):
+    """Five megabytes of hexadecimal tokens, assignments and one endless token: the same base spans, in seconds."""
+    rng = np.random.default_rng(12)
+    texts = ["\n".join(f"{rng.bytes(15).hex()} x{i} aB{i}_cdefgh_ijklmnop" for i in range(80_000)), "Ab1" * 700_000, "token=abcdef " * 100_000]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").withColumn("doc_id", F.length("text").cast("long"))
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.digest(secrets.find_secrets(df, secrets.markov_table(documents))).collect()}
+    assert time.perf_counter() - began < 90
+    for t in texts:
+        assert got[len(t)].base_sha256 == brute.sha(brute.listed(brute.secrets(t)))
+
+
+def test_free_tokens_overlap_no_base_span(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for _ in range(200):
+        cuts = np.sort(rng.choice(60, 2 * int(rng.integers(0, 6)), replace=False)).reshape(-1, 2).tolist()
+        base = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 55, int(rng.integers(0, 6))), rng.integers(1, 20, 6))]
+        rows.append(([tuple(c) for c in cuts], base))
+    df = spark.createDataFrame(rows, "tokens array<struct<start:int,end:int>>, base array<struct<start:int,end:int>>")
+    for r in df.withColumn("free", secrets._free(F.col("tokens"), F.col("base"))).collect():
+        assert [tuple(x) for x in r.free] == [tuple(t) for t in r.tokens if not any(b.start < t.end and t.start < b.end for b in r.base)]
+
+
 def test_language(documents, awkward):
     model = language.train(documents.where(~language.held_out(documents.doc_id)))
     got = language.predict(documents, model).join(documents.select("doc_id", "lang"), "doc_id").where("held_out").collect()
