@@ -25,8 +25,8 @@ from .simhash import _forest
 TILE = 2048
 #: Pairs a member, on average, up to which a piece gives the pairs it keeps; a denser piece gets its vectors instead.
 DENSE = 32
-#: Bits of a sketch, and how many may differ in a pair: at a cosine of 0.9 they differ by 37 and vary by 6.
-SKETCH, MOST_BITS = 256, 68
+#: Bits of a sketch, and how many may differ in a pair: at a cosine of 0.9 they differ by 18 and vary by 4, of unrelated vectors by 64 and 6.
+SKETCH, MOST_BITS = 128, 38
 #: For vectors of a length so rare that none was drawn: one list, one pivot.
 LACKING = (1, 1, 1)
 
@@ -87,7 +87,7 @@ def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum((a[:, k, None] == b).any(axis=1).astype(np.int64) for k in range(a.shape[1]))
 
 
-def calibrated(x: np.ndarray, pivots: np.ndarray, least_cosine: float, prefix: int, recall: float = 0.97, sizes: tuple[int, ...] = (10, 14, 20, 28), seed: int = 5) -> tuple[int, int]:
+def calibrated(x: np.ndarray, pivots: np.ndarray, least_cosine: float, prefix: int, recall: float = 0.95, sizes: tuple[int, ...] = (10, 14, 20, 28), seed: int = 5) -> tuple[int, int]:
     """How many pivots describe a vector, and how many two must share: the fewest and then the most with which `recall` of pairs at exactly the link
     cosine, made by turning the probes x at random, meet in a list and are kept."""
     z = np.random.default_rng(seed).normal(size=x.shape)
@@ -176,10 +176,11 @@ def classes(indexed: DataFrame) -> DataFrame:
     return one.select(F.monotonically_increasing_id().alias("node"), "same", "least", "copies", "dims", "home", "top", "sketch", "raw")
 
 
-def _dealt(members: DataFrame) -> DataFrame:
+def _dealt(members: DataFrame, total: int) -> DataFrame:
     """members (dims, key, node, ...) with i, j and piece: the pairs of pieces of its list that a member takes part in."""
-    sizes = members.groupBy("dims", "key").count().where("count > 1")
-    full = members.join(sizes, ["dims", "key"]).withColumn("pieces", F.ceil(F.col("count") / TILE).cast("int")).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    named = members.withColumn("list", F.struct("dims", "key"))
+    sizes = named.groupBy("list").count().where("count > 1")
+    full = hot_join(named, sizes, "list", F.col("count"), total).drop("list").withColumn("pieces", F.ceil(F.col("count") / TILE).cast("int")).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     return full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("i", F.least("piece", "other")).withColumn("j", F.greatest("piece", "other")).drop("other", "pieces", "count")
 
 
@@ -252,8 +253,8 @@ def links(distinct: DataFrame, settings: dict[int, tuple[int, int, int]], kind:
     """
     spark = distinct.sparkSession
     importable(spark)
-    keep = "a long, b long, n long"
-    at_home = _dealt(distinct.select("node", "dims", F.col("home").alias("key"), "home", "top", "copies", "raw"))
+    keep, rows = "a long, b long, n long", distinct.count()
+    at_home = _dealt(distinct.select("node", "dims", F.col("home").alias("key"), "home", "top", "copies", "raw"), rows)
     within = at_home.groupBy("dims", "key", "i", "j").applyInPandas(lambda f: _told(f, *_verified(f, settings, kind, least_cosine, True)), keep)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +265,7 @@ def links(distinct: DataFrame, settings: dict[int, tuple[int, int, int]], kind:
             yield pa.RecordBatch.from_arrays([*[c.take(pa.array(number)) for c in b.columns], pa.array(np.concatenate(own))], [*b.schema.names, "key"])
 
     members = map_arrow(distinct.select("node", "dims", "home", "top", "sketch"), listed, "node long, dims int, home long, top array<int>, sketch binary, key long")
-    across = _dealt(members)
+    across = _dealt(checkpoint(members), rows * max((near for _, near, _ in settings.values()), default=1))
 
     def tally(f: pd.DataFrame) -> pd.DataFrame:
         nodes, sketch = f["node"].to_numpy(), np.frombuffer(b"".join(f["sketch"]), np.uint64).reshape(len(f), -1)
