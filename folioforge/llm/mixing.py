@@ -1,121 +1,159 @@
-"""Mixing sources to target weights by entropy balancing: Newton steps on the convex dual, then whole copies."""
+"""Mixing sources to target weights by entropy balancing: Newton steps on the convex dual, then whole copies.
 
-from __future__ import annotations
+The texts are read once, for (source, size, hash) of each row; sources, size classes and the cuts between documents that are taken once
+more and those that are not come from these, and the rows learn their number of copies by a join with a table of classes.
+"""
 
-import math
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import checkpoint, hot_join, shuffle_tasks
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Classes (source, size class) up to which their table is broadcast; about a thousand of a source.
+MOST_SENT = 200_000
+RESULTS = ("size", "source_size", "target", "rate", "copies", "taken")
+
+
+def word_count(text: str = "text") -> Column:
+    """The words of a text (null: 0)."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def size_class(size: Column) -> Column:
+    """64 classes of size to an octave."""
+    return F.floor(F.log2(size + F.lit(1)) * 64).cast("int")
+
+
+def source_key(source: Column) -> Column:
+    """The source as a string that null shares with no source."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
 def sizes(documents: DataFrame) -> DataFrame:
-    """Adds size, the words of the text (null: 0)."""
-    return documents.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    """(doc_id, source, size, u): u is a hash of id and text, by whose order rows of one class are taken."""
+    return documents.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text", F.lit(9)).alias("u"))
 
 
-def targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size, target): sources by code point, null last, weigh weights in turn and share `share` of all sizes.
+def _placed(own: DataFrame) -> DataFrame:
+    """own with place, its rank from 0 by source, null last: ranks in ranges of sources and the ranges' counts, so that no task orders all sources."""
+    ranges = own.repartitionByRange(shuffle_tasks(own.sparkSession), F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    ranges = checkpoint(ranges.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.expr("_at & 8589934591L")))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.groupBy("_range").count().select("_range", before.alias("_before"))  # a row for each task
+    return ranges.join(F.broadcast(offsets), "_range").withColumn("place", F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
 
-    A target stops at `most` times its source's size; the excess is shared again by weight until none is above. Filling up by
-    rising size / weight finds that in one pass: a source is full if all before it being full leaves it more than it can hold.
-    Only the table of sources, one row each, is ordered.
-    """
-    own = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    own = own.withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
-    every = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = every.rowsBetween(Window.unboundedPreceding, -1)
-    after = every.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = Window.partitionBy()
-    left = share * F.sum("source_size").over(total) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = left / F.sum("weight").over(after)
-    own = own.withColumn("level", level).withColumn("full", F.col("level") * F.col("weight") >= F.col("cap"))
-    open_level = F.coalesce(F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("at")))).over(total)["at"], F.lit(0.0))
-    return own.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(open_level * F.col("weight")).cast("double").alias("target"))
-
-
-def balance(sized: DataFrame, goals: DataFrame, feature: str = "size", tolerance: float = 1e-9, max_steps: int = 50) -> dict[object, float]:
-    """The multiplier of each source: document rates are exp(multiplier), the least change (in relative entropy by word) that meets the goals.
-
-    The dual, sum over documents of size * exp(l[source]) - sum over sources of goal * l, is convex. A Newton step needs the
-    gradient and the diagonal Hessian, both sums over documents by source, which Spark combines before its shuffle; only one
-    row for each source comes to the driver. From l = 0 a step is at most 1, so no step overshoots to infinity.
+
+def targets(own: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(source, source_size, target) of (source, source_size), one row for each source.
+
+    Sources by code point, null last, weigh weights in turn and share `share` of all sizes. A target stops at `most` times its source's
+    size; the excess is shared again by weight until none is above. Each round is one sum over the sources that are still open.
     """
-    wanted = {r[0]: float(r[1]) for r in goals.select("source", "target").collect()}
-    at = dict.fromkeys(wanted, 0.0)
-    spark = sized.sparkSession
-    schema = T.StructType([T.StructField("source", sized.schema["source"].dataType), T.StructField("multiplier", T.DoubleType())])
-    for _ in range(max_steps):
-        now = F.broadcast(spark.createDataFrame(list(at.items()), schema)).alias("m")
-        summed = sized.alias("d").join(now, F.col("d.source").eqNullSafe(F.col("m.source"))).groupBy("m.source").agg(F.sum(F.col(feature) * F.exp("multiplier")).alias("taken"))
-        worst = 0.0
-        for source, taken in summed.collect():
-            goal = wanted[source]
-            if taken and goal > 0:
-                worst = max(worst, abs(taken - goal) / goal)
-                at[source] += max(-1.0, min(1.0, (goal - taken) / taken))
-        if worst < tolerance:
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = checkpoint(_placed(own).select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap")))
+    full = F.col("cap") <= 0
+    level, number = 0.0, -1
+    while True:
+        total, held, open_weight, now = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if now == number or not open_weight:
             break
-    return {s: l if wanted[s] > 0 else -math.inf for s, l in at.items()}
+        level, number = (share * total - held) / open_weight, now
+        full = F.lit(level) * F.col("weight") >= F.col("cap")
+    return rows.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).cast("double").alias("target"))
+
 
+def balance(goals: DataFrame, tolerance: float = 1e-12, max_steps: int = 60) -> DataFrame:
+    """goals (source, source_size, target) with rate: each document of a source is to be taken exp(multiplier) times, the least change (in relative
+    entropy by word) that meets the goals.
+
+    The dual, sum over documents of size * exp(l[source]) - sum over sources of target * l, is convex, and its gradient and Hessian are
+    source_size * exp(l), less the target, and source_size * exp(l): sums over documents that Spark has combined by source. All sources take their
+    Newton steps side by side. A step from l = 0 is at most 1, so none overshoots to infinity.
+    """
 
-def _extras(classes: DataFrame) -> DataFrame:
-    """How many documents of each size class of one source get one copy more, from the largest class down: what a class
+    def newton(l, _):  # noqa: E741
+        gap = F.col("target") / (F.col("source_size") * F.exp(l)) - 1
+        return F.when(F.abs(gap) < tolerance, l).otherwise(l + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap)))
+
+    multiplier = F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), F.lit(0.0), newton)
+    return goals.withColumn("rate", F.when(F.col("target") > 0, F.round(F.exp(multiplier), 8)).otherwise(0.0))
+
+
+def _extras(counted: DataFrame) -> DataFrame:
+    """(key, class, extra) of (key, class, n, words, part): how many rows of each size class of one source get one copy more, from the largest class down: what a class
     misses or exceeds of its words is carried to the smaller ones. A source has a thousand classes or so, so one row holds them."""
-    row = F.struct((-F.col("_class")).alias("c"), "_n", F.col("_words").cast("double").alias("w"), "_part")
-    listed = classes.groupBy("_key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    first = F.struct(F.lit(0.0).alias("carried"), F.array().cast("array<struct<_class:int,_extra:bigint,_all:bigint>>").alias("done"))
+    row = F.struct((-F.col("class")).alias("c"), "n", F.col("words").cast("double").alias("w"), "part")
+    listed = counted.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    first = F.struct(F.lit(0.0).alias("carried"), F.array().cast("array<struct<class:int,extra:bigint>>").alias("done"))
 
     def step(acc, x):
-        wanted, mean = x["_part"] * x["w"] + acc["carried"], x["w"] / x["_n"]
-        n = F.when(mean > 0, F.round(wanted / F.nullif(mean, F.lit(0.0)))).otherwise(F.round(x["_part"] * x["_n"])).cast("bigint")
-        n = F.least(x["_n"], F.greatest(n, F.lit(0).cast("bigint")))
-        done = F.struct((-x["c"]).alias("_class"), n.alias("_extra"), x["_n"].alias("_all"))
-        return F.struct((wanted - n * mean).alias("carried"), F.concat(acc["done"], F.array(done)).alias("done"))
+        wanted, mean = x["part"] * x["w"] + acc["carried"], x["w"] / x["n"]
+        n = F.when(mean > 0, F.round(wanted / F.nullif(mean, F.lit(0.0)))).otherwise(F.round(x["part"] * x["n"])).cast("bigint")
+        n = F.least(x["n"], F.greatest(n, F.lit(0).cast("bigint")))
+        return F.struct((wanted - n * mean).alias("carried"), F.concat(acc["done"], F.array(F.struct((-x["c"]).alias("class"), n.alias("extra")))).alias("done"))
 
-    return listed.select("_key", F.inline(F.aggregate("rows", first, step)["done"]))
+    return listed.select("key", F.inline(F.aggregate("rows", first, step)["done"]))
 
 
-def copies(sized: DataFrame, multipliers: dict[object, float], id_column: str = "doc_id", salts: int = 64) -> DataFrame:
-    """Adds rate and copies: floor(rate) of each document and one more of some, so that a source's words come near its goal.
+def plan(sized: DataFrame) -> DataFrame:
+    """(key, class, n, source_size, target, rate, cut) of sizes(): rows of a class are taken floor(rate) times, and once more if u <= cut.
 
-    Documents stand in classes of size, 64 to an octave; _extras() says how many of a class get one more, and those are chosen
-    at even steps in the order of salt, size and a hash. Ranks come from the counts of (source, class, salt), so neither a large
-    source nor very many documents of one size meet in one task. The order holds only the row itself, so reruns agree;
-    rows that are equal in all of it are interchangeable.
+    The cut of a class leaves as many of the smallest u on its side as _extras() says. It is found in two steps, among 1024 ranges of u and then inside one,
+    from counts of equal u, so neither a large source, nor very many documents of one size, nor very many equal rows meet in one task.
+    Rows of equal u are taken all or none, whichever comes nearer.
+    """
+    units = checkpoint(sized.groupBy(source_key(F.col("source")).alias("key"), "source", size_class(F.col("size")).alias("class"), "u").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    classes = checkpoint(units.groupBy("key", "source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
+    goals = balance(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size"))))
+    rates = checkpoint(goals.withColumn("key", source_key(F.col("source"))).drop("source"))
+    counted = classes.join(rates, "key").select("key", "class", "n", "words", "source_size", "target", "rate", (F.col("rate") - F.floor("rate")).alias("part"))
+    wanted = checkpoint(counted.drop("part").join(_extras(counted), ["key", "class"]))
+    some = wanted.where("extra > 0 and extra < n").select("key", "class", "extra")
+    in_range = F.shiftright("u", 54).alias("range")
+    cells = units.groupBy("key", "class", in_range).agg(F.sum("n").alias("here")).join(some, ["key", "class"])
+    upto = F.sum("here").over(Window.partitionBy("key", "class").orderBy("range"))
+    reached = cells.withColumn("upto", upto).where("upto >= extra and upto - here < extra").select("key", "class", "range", (F.col("extra") - F.col("upto") + F.col("here")).alias("need"))
+    inside = units.select("key", "class", in_range, "u", "n").join(reached, ["key", "class", "range"])
+    upto = F.sum("n").over(Window.partitionBy("key", "class").orderBy("u"))
+    last = inside.withColumn("upto", upto).where("upto >= need and upto - n < need")
+    cuts = last.select("key", "class", F.when(2 * (F.col("upto") - F.col("need")) <= F.col("n"), F.col("u")).otherwise(F.col("u") - 1).alias("cut"))
+    cut = F.when(F.col("extra") <= 0, F.lit(None).cast("long")).when(F.col("extra") >= F.col("n"), F.lit((1 << 63) - 1)).otherwise(F.col("cut"))
+    return checkpoint(wanted.join(cuts, ["key", "class"], "left").select("key", "class", "n", "source_size", "target", "rate", cut.alias("cut")))
+
+
+def _with_plan(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows with the column _class, a struct (key, class), and their class's plan: its columns follow."""
+    facts = classes.select(F.struct("key", "class").alias("_class"), F.struct("n", "source_size", "target", "rate", "cut").alias("_plan"))
+    number = classes.count()
+    if number <= MOST_SENT:
+        return rows.join(F.broadcast(facts), "_class")
+    return hot_join(rows, facts, "_class", F.col("_plan.n"), classes.agg(F.sum("n")).first()[0])
+
+
+def _copies(u: Column) -> Column:
+    return (F.floor("_plan.rate") + F.coalesce((u <= F.col("_plan.cut")).cast("long"), F.lit(0))).cast("long")
+
+
+def shares(documents: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, rate, copies, taken) of each row; taken is copies * size.
+
+    Null and empty texts have size 0; null ids and repeated rows are taken like others, in the order of a hash of id and text; an empty
+    table gives none. The hash and the counts decide, so reruns agree however the rows are dealt out.
     """
-    spark = sized.sparkSession
-    schema = T.StructType([T.StructField("_source", sized.schema["source"].dataType), T.StructField("rate", T.DoubleType())])
-    rates = F.broadcast(spark.createDataFrame([(s, round(math.exp(m), 8)) for s, m in multipliers.items()], schema))
-    rows = sized.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    h = F.xxhash64(F.col(id_column), F.lit(9))
-    rows = rows.withColumn("_class", F.floor(F.log2(F.col("size") + F.lit(1)) * 64).cast("int")).withColumn("_salt", F.pmod(h, F.lit(salts)).cast("int"))
-    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))).withColumn("_h", h)
-    key = ["_key", "_class"]
-    groups = checkpoint(rows.groupBy(*key, "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"), F.max(F.col("rate") - F.floor("rate")).alias("_part")))
-    extras = _extras(groups.groupBy(*key).agg(F.sum("_n").alias("_n"), F.sum("_words").alias("_words"), F.max("_part").alias("_part")))
-    before = Window.partitionBy(*key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select(*key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).join(extras, key)
-    place = F.row_number().over(Window.partitionBy(*key, "_salt").orderBy("size", "_h", id_column)) - 1
-    ranked = rows.withColumn("_place", place).join(offsets, [*key, "_salt"]).withColumn("_rank", F.col("_before") + F.col("_place"))
-    extra = F.expr("cast(_rank + 1 as decimal(19, 0)) * cast(_extra as decimal(19, 0)) div _all - cast(_rank as decimal(19, 0)) * cast(_extra as decimal(19, 0)) div _all")
-    return ranked.withColumn("copies", (F.floor("rate") + extra).cast("long")).drop("_class", "_salt", "_key", "_h", "_before", "_place", "_rank", "_extra", "_all")
+    sized = checkpoint(sizes(documents))
+    found = _with_plan(sized.withColumn("_class", F.struct(source_key(F.col("source")).alias("key"), size_class(F.col("size")).alias("class"))), plan(sized))
+    return found.select("doc_id", "size", "_plan.source_size", "_plan.target", "_plan.rate", _copies(F.col("u")).alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(documents: DataFrame) -> DataFrame:
-    """The documents with size, source_size, target, rate, copies and taken (copies * size). Columns of these names are replaced."""
-    own = documents.drop("size", "source_size", "target", "rate", "copies", "taken")
-    sized = sizes(own)
-    light = checkpoint(sized.select("source", "size"))
-    goals = checkpoint(targets(light))
-    at = balance(light, goals)
-    counted = copies(sized, at)
-    goals = goals.withColumnRenamed("source", "_source")
-    return counted.join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("taken", F.col("copies") * F.col("size"))
+    """The documents with size, source_size, target, rate, copies and taken, as shares() has them; texts are not shuffled. Columns of these names are replaced, all others stay."""
+    own = documents.drop(*RESULTS)
+    classes = plan(checkpoint(sizes(own)))
+    rows = own.select(F.struct(*own.columns).alias("_row"), word_count().alias("_size"), F.xxhash64("doc_id", "text", F.lit(9)).alias("_u"), source_key(F.col("source")).alias("_key"))
+    rows = rows.select("_row", "_size", "_u", F.struct(F.col("_key").alias("key"), size_class(F.col("_size")).alias("class")).alias("_class"))
+    found = _with_plan(rows, classes)
+    return found.select("_row.*", F.col("_size").alias("size"), "_plan.source_size", "_plan.target", "_plan.rate", _copies(F.col("_u")).alias("copies"), (_copies(F.col("_u")) * F.col("_size")).alias("taken"))

@@ -352,10 +352,42 @@ def test_mixing(documents, awkward):
             taken[r.source] += r.taken
         if docs is documents:
             assert all(abs(taken[s] - goals[s]) <= 0.02 * goals[s] for s in goals)
-        assert {(r.doc_id, r.taken) for r in rows} == {(r.doc_id, r.taken) for r in mixing.mix(docs.repartition(5)).collect()}
+        again = mixing.shares(docs.repartition(5)).collect()
+        assert {(r.doc_id, r.taken, r.target, r.rate) for r in rows} == {(r.doc_id, r.taken, r.target, r.rate) for r in again}
     assert mixing.mix(documents.limit(0)).count() == 0
 
 
+def test_mixing_of_hot_rows(spark, monkeypatch):
+    """A source with most rows, all of one size, among them copies without ids; clashing names stay; with and without a broadcast of the classes."""
+    rows = [(i if i % 3 else None, "a b c d" if i % 3 else f"{i} b c d", "hot", "x", i) for i in range(3000)] + [(None, "q w", None, None, 1)] * 500 + [(i, "w " * (i % 50), f"s{i % 7}", "y", 2) for i in range(5000, 6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _class string, n long").withColumn("rate", F.lit("clash"))
+    sizes = {}
+    for _, t, s, *_ in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    goals, got = brute.targets(sizes), []
+    for most in (200_000, 0):
+        monkeypatch.setattr(mixing, "MOST_SENT", most)
+        out = mixing.mix(df)
+        assert out.columns == ["doc_id", "text", "source", "_class", "n", "size", "source_size", "target", "rate", "copies", "taken"]
+        got.append(sorted(map(tuple, out.collect()), key=repr))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    taken = dict.fromkeys(sizes, 0)
+    for r in got[0]:
+        taken[r[2]] += r[-1]
+    for s in sizes:
+        assert abs(taken[s] - goals[s]) <= 0.02 * goals[s] + (1000 if s is None else 50), (s, taken[s], goals[s])
+
+
+def test_targets_against_rounds(spark):
+    rng = np.random.default_rng(14)
+    for n in (1, 4, 40):
+        sizes = {(f"é{i}" if i % 3 else f"Z{i}"): int(x) for i, x in enumerate(rng.integers(0, 1000, n))} | {None: 7}
+        own = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        goals = brute.targets(sizes)
+        for r in mixing.balance(mixing.targets(own)).collect():
+            assert np.isclose(r.target, goals[r.source]) and (r.source_size == 0 or np.isclose(r.rate * r.source_size, r.target, atol=1e-4))
+
+
 def test_chat(spark, monkeypatch):
     monkeypatch.setattr(chat, "PART", 3)
     turns = [(c, t, "user" if t % 2 == 0 else "assistant", x) for c, texts in {1: "abc", 2: "abcd", 3: "abd", 4: "abcd", 5: "a", 6: "abcdefghij", 7: "xyz", 8: "z"}.items() for t, x in enumerate(texts)]
