@@ -136,9 +136,58 @@ def test_language(documents, awkward):
     assert [(r.n, r.lang == "und") for r in language.label(rows, model).orderBy("n").collect()] == [(1, False), (2, True), (3, True), (4, False)]
     nothing = language.train(documents.limit(0))
     assert {r.lang_pred for r in language.predict(awkward, nothing).collect()} == {"und"}
-    # A context's code lengths are those of a distribution.
-    p = np.exp2(-model.bits.reshape(-1, model.size, len(model.languages)) / language.UNIT)
-    assert np.allclose(p[:, 1:].sum(axis=1), 1, atol=0.03)
+    # A context's code lengths are those of a distribution over 256 bytes.
+    for tree in model.trees():
+        p = np.exp2(-tree.bits.reshape(-1, tree.size).astype(float) / language.UNIT)
+        assert np.allclose(p[:, 2:].sum(axis=1) + (256 - tree.size + 2) * p[:, 1], 1, atol=0.02)
+        assert tree.deep.max() < len(p)
+
+
+def test_code_lengths_against_a_plain_tree():
+    """Code lengths by counting contexts in dictionaries, with the same escapes and exclusions."""
+    train = [b"abracadabra abracadabra", b"banana bandana", "dös ist öde".encode()] * 3
+    grams, n = np.unique(language._grams(train), return_counts=True)
+    tree = language.build(grams.astype(np.int64), n.astype(float), 4)
+    counts = {}
+    for t in train:
+        padded = b"\0\0\0" + t
+        for i in range(3, len(padded)):
+            for order in range(4):
+                own = counts.setdefault((order, padded[i - order : i]), {})
+                own[padded[i]] = own.get(padded[i], 0) + 1
+    used = len({c for t in train for c in t})
+
+    def p(context, c, order):
+        own = counts.get((order, context[3 - order :]), {})
+        if order == -1:
+            return 1 / 256
+        if order and sum(own.values()) < 4:
+            return p(context, c, order - 1)
+        total, kinds = sum(own.values()), len(own)
+        if c in own:
+            return own[c] / (total + kinds)
+        left = 1 - sum(p(context, x, order - 1) for x in own)
+        return kinds / (total + kinds) * p(context, c, order - 1) / left
+
+    for text in (b"abra banana", b"xyz", "öd".encode(), b""):
+        padded = b"\0\0\0" + text
+        # A context with a byte that training lacks has no node of that order.
+        want = sum(-np.log2(p(padded[i - 3 : i], padded[i], 3)) for i in range(3, len(padded)))
+        model = language.Model(["x"], [])
+        model.__dict__["_trees"] = [tree]
+        assert abs(language.code_lengths(model, [text])[0, 0] / language.UNIT - want) < 0.002 * len(padded), text
+    assert used == tree.size - 2
+
+
+def test_a_hundred_languages(spark):
+    rng = np.random.default_rng(15)
+    own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäöüéèñ"), 5)) for _ in range(3000)]
+    rows = [(k * 20 + i, " ".join(rng.choice(own[k * 30 : k * 30 + 30], 60)), f"l{k:03}") for k in range(100) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs.where(~language.held_out(docs.doc_id)))
+    assert len(model.languages) == 100
+    got = language.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
 
 
 def test_urls(spark):
