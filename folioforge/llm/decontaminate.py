@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 WINDOW = 13
 #: Lower-cases A-Z and turns every byte that no word holds into a space; bytes from 0x80 on belong to words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -26,24 +28,34 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of all items by length, over the items' own vocabulary (1 up; 0 is any other word)."""
+    """The windows of some items: the items' words as numbers of their own vocabulary (1 up; 0 is any other word), and by length where each window begins
+    and whose it is. About three bytes a byte of text, and the vocabulary."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], window: int = WINDOW):
-        self.ids = [str(i) for i, _ in items]
+        self.ids = [None if i is None else str(i) for i, _ in items]
         self.vocabulary: dict[bytes, int] = {}
-        where: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        own, where, at = [np.zeros(0, np.int32)], {}, 0
         for k, (_, text) in enumerate(items):
-            own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            size = min(window, len(own))
-            for i in range(len(own) - size + 1 if own else 0):
-                where.setdefault(size, {}).setdefault(tuple(own[i : i + size]), set()).add(k)
+            w = words(text)
+            if not w:
+                continue
+            own.append(np.fromiter((self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w), np.int32, len(w)))
+            size = min(window, len(w))
+            where.setdefault(size, []).append((at, len(w) - size + 1, k))
+            at += len(w)
+        self.words = np.concatenate(own)
         self.lengths = sorted(where)
-        self.patterns = {m: np.array(list(where[m]), np.int64).reshape(-1, m) for m in where}
-        self.items = {m: [np.array(sorted(x), np.int64) for x in where[m].values()] for m in where}
+        self.starts = {m: np.concatenate([np.arange(s, s + n, dtype=np.int32) for s, n, _ in x]) for m, x in where.items()}
+        self.items = {m: np.concatenate([np.full(n, k, np.int32) for _, n, k in x]) for m, x in where.items()}
+
+    def patterns(self, m: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The windows of m words in blocks: a row of words each, and their items."""
+        for s in range(0, len(self.starts[m]), block):
+            yield self.words[self.starts[m][s : s + block, None] + np.arange(m)], self.items[m][s : s + block]
 
 
-def search_shard(p: Phrases, texts: list[bytes | None]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[int]]]:
-    """For each text of a shard: its number of words, the merged spans of words inside occurrences, the items that occur."""
+def search_shard(p: Phrases, texts: list[bytes | None]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
+    """For each text of a shard: its number of words, the merged spans of words inside occurrences, the ids of items that occur."""
     from .fmindex import FMIndex
 
     get, zero = p.vocabulary.get, 0
@@ -71,9 +83,9 @@ def search_shard(p: Phrases, texts: list[bytes | None]) -> tuple[np.ndarray, lis
     owner, place = np.concatenate(owners), np.concatenate(places)
     index = FMIndex(symbols + 1, sample=8)
     covered = np.zeros(len(symbols) + 1, np.int64)
-    for m in p.lengths:
-        at = np.searchsorted(dense, p.patterns[m])
-        known = (at < len(dense)) & (dense[np.minimum(at, len(dense) - 1)] == p.patterns[m])
+    for m, (patterns, whose) in ((m, block) for m in p.lengths for block in p.patterns(m)):
+        at = np.searchsorted(dense, patterns)
+        known = (at < len(dense)) & (dense[np.minimum(at, len(dense) - 1)] == patterns)
         lo, hi = index.search(np.where(known, at + 1, 0))
         hits = np.flatnonzero(hi > lo)
         count = (hi - lo)[hits]
@@ -83,38 +95,69 @@ def search_shard(p: Phrases, texts: list[bytes | None]) -> tuple[np.ndarray, lis
         start, which = index.locate(rows), np.repeat(hits, count)
         np.add.at(covered, start, 1)
         np.add.at(covered, start + m, -1)
-        for d, k in {(int(d), int(k)) for d, k in zip(owner[start], which, strict=True)}:
-            found[d].update(p.items[m][k].tolist())
+        for d, k in np.unique(np.stack([owner[start], whose[which]], axis=1), axis=0).tolist():
+            if p.ids[k] is not None:
+                found[d].add(p.ids[k])
     edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(covered) > 0).view(np.int8)))))
     for a, b in zip(edge[::2], edge[1::2], strict=True):
         spans[owner[a]].append((int(place[a]), int(place[b - 1]) + 1))
     return sizes, spans, found
 
 
-def _phrases(items: DataFrame, max_item_bytes: int, item_id: str):
+def _parts(items: DataFrame, part_bytes: int, item_id: str) -> list:
+    """The items' windows in parts of about part_bytes of text, each built and sent by itself: neither the driver nor a worker holds more than one."""
+    spark = items.sparkSession
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_item_bytes:
-        raise ValueError(f"items hold {size} bytes of text, over {max_item_bytes}")
-    rows = items.select(item_id, F.col("text").cast("binary")).collect()
-    return items.sparkSession.sparkContext.broadcast(Phrases([(r[0], bytes(r[1]) if r[1] is not None else None) for r in rows]))
-
-
-def contamination(documents: DataFrame, items: DataFrame, max_item_bytes: int = 1 << 28, shard_bytes: int = 1 << 25, item_id: str = "item_id") -> DataFrame:
+    number = int(size // part_bytes) + 1
+    out = []
+    for k in range(number):
+        of = F.pmod(F.xxhash64(item_id, "text"), F.lit(number)) == k
+        rows = items.where(of).select(item_id, F.col("text").cast("binary")).collect()
+        out.append(spark.sparkContext.broadcast(Phrases([(r[0], bytes(r[1]) if r[1] is not None else None) for r in rows])))
+    return out
+
+
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def search_parts(parts: list, texts: list[bytes | None]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
+    """search_shard() for all parts of the items, one after the other."""
+    sizes, spans, found = None, [[] for _ in texts], [set() for _ in texts]
+    for part in parts:
+        sizes, s, f = search_shard(part.value, texts)
+        if len(parts) == 1:
+            return sizes, s, f
+        for d in range(len(texts)):
+            spans[d] += s[d]
+            found[d] |= f[d]
+        part.__dict__.pop("_value", None)  # read anew for the next shard, so that a worker holds one part at a time
+    return sizes, [_united(x) for x in spans], found
+
+
+def contamination(documents: DataFrame, items: DataFrame, part_bytes: int = 1 << 23, shard_bytes: int = 1 << 25, item_id: str = "item_id") -> DataFrame:
     """(doc_id, n_words, n_hit, spans, items): words of each document, those inside occurrences of a test window, merged spans of these
     as (start, end) in words, and the ids of items with occurring windows, sorted as strings.
 
-    A shard is what one task reads, in pieces of about shard_bytes of text. items are sent to all tasks; over max_item_bytes of text
-    raises an error: run it over parts of the items then. Null and empty texts have no words. One row for each row.
+    A shard is what one task reads, in pieces of about shard_bytes of text. The items are searched in parts of part_bytes, whatever their
+    size. Null and empty texts have no words. One row for each row, judged by its own text, null and repeated doc_ids included. An id that
+    several items share is listed once; items without an id mark words and are not listed.
     """
-    shared = _phrases(items, max_item_bytes, item_id)
+    parts = _parts(items, part_bytes, item_id)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, held, ids, size = shared.value, [], [], 0
+        held, ids, size = [], [], 0
 
         def out():
-            sizes, spans, found = search_shard(p, held)
+            sizes, spans, found = search_parts(parts, held)
             return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(ids), pa.array(sizes), pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(p.ids[k] for k in x) for x in found], pa.list_(pa.string()))],
+                [pa.concat_arrays(ids), pa.array(sizes), pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
                 ["doc_id", "n_words", "n_hit", "spans", "items"],
             )
 
@@ -129,21 +172,21 @@ def contamination(documents: DataFrame, items: DataFrame, max_item_bytes: int =
             yield out()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>")
+    return map_arrow(documents.select("doc_id", "text"), search, f"doc_id {kind}, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def clean(documents: DataFrame, items: DataFrame, max_item_bytes: int = 1 << 28, shard_bytes: int = 1 << 25, item_id: str = "item_id") -> DataFrame:
+def clean(documents: DataFrame, items: DataFrame, part_bytes: int = 1 << 23, shard_bytes: int = 1 << 25, item_id: str = "item_id") -> DataFrame:
     """The documents that are not contaminated(), judged as contamination() does; each row by itself, so null and repeated ids stay and
     nothing is shuffled."""
-    shared = _phrases(items, max_item_bytes, item_id)
+    parts = _parts(items, part_bytes, item_id)
     place = documents.columns.index("text")
 
     def kept(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, spans, _ = search_shard(shared.value, [t for b in held for t in b.column(place).cast(pa.binary()).to_pylist()])
+        sizes, spans, _ = search_parts(parts, [t for b in held for t in b.column(place).cast(pa.binary()).to_pylist()])
         hit, at = np.array([sum(b - a for a, b in x) for x in spans], np.int64), 0
         stays = (hit == 0) | (20 * hit < sizes)
         for b in held:
@@ -161,8 +204,9 @@ def clean(documents: DataFrame, items: DataFrame, max_item_bytes: int = 1 << 28,
         if held:
             yield from kept(held)
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_arrow(documents, run, documents.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """The contract's columns of contamination()."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))

@@ -54,7 +54,7 @@ def contamination(documents, items):
         w = WORD.findall(lower(text or ""))
         size = min(13, len(w))
         for i in range(len(w) - size + 1 if w else 0):
-            windows[tuple(w[i : i + size])].add(str(item))
+            windows[tuple(w[i : i + size])] |= {str(item)} if item is not None else set()
     sizes = {len(x) for x in windows}
     out = {}
     for doc, text in documents:

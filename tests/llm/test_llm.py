@@ -205,15 +205,37 @@ def test_urls(spark):
 
 
 def test_decontamination(spark, sf, documents, awkward):
-    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame([(1000, "And"), (1001, None), (1002, ""), (1003, "a b C d e a b c d e a b c d e"), (1004, "x")], "item_id long, text string"))
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame([(1000, "And"), (1001, None), (1002, ""), (1003, "a b C d e a b c d e a b c d e"), (1004, "x"), (1004, "seven"), (1000, "And"), (None, "12345 67890"), (None, None)], "item_id long, text string"))
     for docs in both(documents, awkward):
         got = {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(decontaminate.contamination(docs, items)).collect()}
+        assert got == {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(decontaminate.contamination(docs, items, part_bytes=4000, shard_bytes=100_000)).collect()}
         assert got == brute.contamination(pairs(docs), [tuple(r) for r in items.collect()])
         kept = sorted((r.doc_id is None, r.doc_id or 0) for r in decontaminate.clean(docs, items).collect())
         assert kept == sorted((d is None, d or 0) for d in (r.doc_id for r in docs.collect()) if not got[d][4])
     assert decontaminate.contamination(documents, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_judges_rows(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (1, "other words"), (None, text), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("b", text), ("a", text), ("a", "w1 w2")], "item_id string, text string")
+    got = sorted(tuple(r) for r in decontaminate.contamination(docs, items).select(F.coalesce("doc_id", F.lit(-1)), "n_words", "n_hit", F.array_join("items", ",")).collect())
+    assert got == [(-1, 0, 0, ""), (-1, 30, 30, "a,b"), (1, 2, 0, ""), (1, 30, 30, "a,b")]
+
+
+def test_a_large_benchmark_stays_small():
+    """Windows take a few bytes a byte of text, so that tens of megabytes fit a driver and a worker, part by part."""
+    import pickle
+
+    rng = np.random.default_rng(16)
+    own = [f"word{i}" for i in range(20_000)]
+    items = [(k, " ".join(rng.choice(own, 200)).encode()) for k in range(2500)]
+    p = decontaminate.Phrases(items)
+    assert len(pickle.dumps(p)) < 4 * sum(len(t) for _, t in items) and len(p.starts[13]) == 2500 * 188
+    sizes, spans, found = decontaminate.search_shard(p, [items[7][1], b"x " + b" ".join(items[9][1].split()[5:40]) + b" y"])
+    assert spans == [[(0, 200)], [(1, 36)]] and found == [{"7"}, {"9"}]
+
+
 def test_repeats(documents, awkward):
     for docs in both(documents, awkward):
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove(docs).collect()}
