@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: The patterns of the base kinds. A run of digits can only match from its first one, hence the lookbehinds.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -28,76 +30,169 @@ LABELLED = """
 please call [number 555-0142] after noon
 tel. [number 0171-2334455] or write
 phone: [number 555-867-5309] thank you
+phone [number (030) 1234567] is ours
+Phone: [number (415) 555-0132] or mail
+tel [number (0221) 998877] until five
 mobile [number 07700-900123] is best
+mobile: [number 07700 900456] in the evening
+cell [number 917-555-0110] works
 call me at [number 202-555-0173] today
+call [number 020 7946 0958] now
 fax: [number 030-1234567] works too
+fax [number 5550199] is off
 phone [number 415-555-0198] anytime.
+my telephone is [number 5551234] at home
 his ssn is [number 123-45-6789] on file
-ssn: [number 987-65-4321] was given
+SSN: [number 987-65-4321] was given
+My SSN is [number 457-55-5462].
 social security number [number 078-05-1120] appears
 my ssn [number 219-09-9999] is private.
 passport no. [number X1234567] was issued
 passport number [number C01X00T47] expires
+her passport is [number 512345678] and valid
 iban [number DE89370400440532013000] was used
 iban: [number FR7630006000011234567890189] please
 account iban [number ES9121000418450200051332] closed
 born on [number 1984-03-12] in spring
+she was born [number 12/05/1990] at noon
 dob: [number 02/11/1979] is noted
+DOB [number 1975-06-21] on the form
 date of birth [number 1990-07-30] given
+date of birth: [number 03.04.1988] as told
 dear mr. [name Smith] we thank you
 Mr. [name John Miller] will come
 Mrs. [name Anna Berger] has left
+Miss [name Emily Stone] plays well
 Dr. [name Chen] sees patients
+Prof. [name Maria Keller] teaches law
 Ms. [name Laura Jones] said so
+then Mr. [name Brown] went home
+we asked Mrs. [name Helen Ward] about it
 my name is [name Peter Brown] and I live here
+my name is [name Sofia] and
 name: [name Maria Lopez] is listed
+Name: [name David Cole]
+a man named [name Victor Hugo] wrote
 contact Mr. [name Hans Weber] for that
+contact [name Julia Stern] for tickets
+please contact [name Paul Adams] by mail
+Sincerely, [name Robert Downing]
+sincerely [name Alice Moore]
+Kind regards, [name Thomas Reed]
+best regards [name Nina Patel]
+signed by [name Clara Weiss] on Monday
+signed: [name Oliver Grant]
+author: [name Jane Austen]
 herr [name Karl Schmidt] kommt morgen
+Herr [name Schneider] ist da
 frau [name Eva Klein] ist hier
+Sehr geehrte Frau [name Vogel] wir danken
 mme. [name Claire Dubois] est ici
+Monsieur [name Jean Petit] arrive
+señor [name Carlos Ruiz] vive cerca
+señora [name Elena Torres] trabaja
+Then Dr. [name Lewis] came with Mrs. [name Clark] and left
+Mr. [name Jones] and Mrs. [name Taylor] and Dr. [name White] met
+telephone: [number 555-0155], or write
+telephone [number 555-0123] of the shop
+ask my ssn [number 222-33-4444] and go
+the ssn [number 333-22-1111] of the man
+Social security number: [number 444-55-6666]
+my social security is [number 123-12-1234]
+Passport number: [number M1234567] of France
+passport [number L7654321] was lost
+IBAN: [number NL91ABNA0417164300] at the bank
+IBAN [number GB33BUKB20201555555555] in London
+he was born on [number 1961-08-04] in Berlin
+born [number 1972-02-29] in Rome
+my name is [name Maria] and I sing
+My name is [name Daniel] and this is
+your name is [name Susan] then
+signed by [name John Carter]
+signed [name Peter Lang]
+was signed by [name Eva Stein] there
+Herr [name Becker] wohnt in Köln
+Herr [name Otto Braun] wohnt in Mainz
+Frau [name Lange] kommt aus Bonn
+her mobile is [number 0171 1234567] since then
+his cell is [number 0160 9876543] now
+the fax is [number 030-7654321] there
+fax [number 040-1234567] or phone [number 040-7654321] here
 the name of the thing was lost
+the number of people grew. It was 1200
+number 15 of 20 is here
+no 2021-03-04 report was found
+the phone number was 12 digits long
+signed by hand. The paper is old
+we saw the sea. Then. Later
+thanks for the tea. Goodbye. Maria
+and so it ended. Fine. The End
+he left at noon. Nothing. Silence
+the long way home. Autumn Leaves
+published under the Apache License
+made by the Free Software Foundation
+he was born on [number 1948-03-09] in Leeds
+she was born on [number 2001-12-24] in Graz
 call the other one and wait
+call it a day
 he was born in the old house
+she was born in Paris in 1920 and died
 the phone was on the table
+the telephone rang twice
 The Old House stands. It is here
 version 1.2.3 of 2024 has 15 pages
+Version 10.4 was released. It is faster
 page 12 of 340 shows it
 in 1984 there were 1,200 people
 see section 4.2 and table 7
 it cost 12.50 and then 13
 The meeting of 2021-05-04 was long
+on 2020-01-15 and 2020-02-20 we met
 chapter 3 verse 16
-Thonly and. Thereed was of, the that
-Einau der und, Erheit die
-La Que el Ciónos, de la
 items 100-200 are in stock
 order 4711 shipped on monday
+invoice 2023-0042 was paid
 isbn 978-3-16-148410-0 is the book
 room 12-34 is free
 at 10:30 we begin
+open 9-17 on weekdays
 mr and mrs left
 account number is missing
 the name is unknown
 name of the rose
-Haanth, Reoush hewh. And the
-the with. Thinst heesea in it
-la gañ. Las ciónbo os no
-dans le pré. Été où il est, les
-der Weg. Über die Öde, und ein
-Words Like These. Are Only Titles. In Text
-Haanth. Reoush and
+a social event in a security zone
+contact us for more. We are open
+contact the office. They will help
+no regards were sent
+the author of the book is unknown. It sold well
+the letter was signed. Nobody came
 Licensed under the MIT License.
-Pas. Le pré
-Tag. Der. Te enau
-Esa. Ci los
-St. The Of
-a B. c D, E f
+Copyright 2019 The Example Authors. All rights reserved
+We went to London. The River was high, and Tower Bridge opened
+In New York City. Many People live
+Words Like These. Are Only Titles. In Text
+Monday. Tuesday. Then came the Weekend
+The Spring, Summer and Autumn. Winter was cold
+La Casa Grande. El Perro, de la noche
+der Weg. Die Straße, und ein Haus. Der Tag war lang
+Das Haus am See. Berlin ist groß, aber Hamburg auch
+dans le pays. Été comme hiver, les gens. Paris est
+el camino. Año nuevo, vida nueva. España es bonita
 item | price | total | 12.50
+a b. c d, e f
 it is 3.5 or -4 or 1/2
 on 15 may or 20 june it was 30
+serial 123-456-789 of the device
+from 1990-1995 the price rose 12 percent
+the score was 3-2 and 100-98
+the code is 12345 67890 and done
 """.strip().split("\n")
 
-CUES = frozenset(("phone", "tel", "telephone", "mobile", "call", "fax", "ssn", "social", "security", "passport", "iban", "dob", "born", "birth", "mr", "mrs", "ms", "dr", "herr", "frau", "mme", "name", "isbn", "page", "pages", "version"))
+#: Words whose own form tells, whatever their case.
+CUES = frozenset(
+    "phone tel telephone mobile cell call fax ssn social security passport iban dob born birth mr mrs ms miss dr prof herr frau mme monsieur madame señor señora "
+    "name named number no sincerely regards contact signed author isbn page pages version section chapter room item items order invoice serial code".split()
+)
 TAGS = ("O", "B-name", "I-name", "B-number", "I-number")
 EDGE = 1
 STRIP = ".,;:!?()[]\"'"
@@ -115,14 +210,15 @@ def shape(word: str) -> str:
 
 
 def feature(word: str) -> tuple[str, str]:
-    bare = word.strip(STRIP)
-    cue = bare.lower()
-    return shape(bare), cue if cue in CUES else ""
+    """(shape, "") of a word, or ("", cue)."""
+    inner = word.strip(STRIP)
+    cue = inner.lower()
+    return ("", cue) if cue in CUES else (shape(inner), "")
 
 
 @dataclass
 class Field:
-    """known: (shape, cue) to number; 0 is any other, EDGE what lies outside a text. weights: scores by place (before, own, after), feature, tag. moves: tag to tag. first: of the first tag."""
+    """known: feature() to number; 0 is any other, EDGE what lies outside a text. weights: scores by place (before, own, after), feature, tag. moves: tag to tag. first: of the first tag."""
 
     known: dict[tuple[str, str], int]
     weights: np.ndarray
@@ -146,7 +242,7 @@ def labelled() -> list[tuple[list[str], list[int]]]:
     return out
 
 
-def train(steps: int = 300, rate: float = 0.3, decay: float = 2e-3, caution: tuple[float, float] = (2.5, 1.0)) -> Field:
+def train(steps: int = 400, rate: float = 0.3, decay: float = 5e-4, caution: tuple[float, float] = (1.5, 0.5)) -> Field:
     """Gradient ascent (Adam) on the conditional likelihood of the labelled sentences; the gradient is observed less expected counts (forward-backward). caution is
     taken off the first word of a name and of a number in decoding: the labelled sentences hold far more of them than texts do."""
     data = labelled()
@@ -296,15 +392,21 @@ def field_spans(field: Field, texts: list[str], cache: dict[str, int], block: in
         places = [m.span() for m in re.finditer(r"\S+", texts[d])]
         for a, b, kind in found:
             s, e = places[a][0], places[b - 1][1]
-            while s < e and texts[d][s] in STRIP:
-                s += 1
-            while e > s and texts[d][e - 1] in STRIP:
-                e -= 1
+            s, e = bare(texts[d], s, e)
             if s < e:
                 out[d].append((s, e, kind))
     return out
 
 
+def bare(text: str, s: int, e: int) -> tuple[int, int]:
+    """A span without the signs of STRIP around it; brackets that have their other half inside stay."""
+    while s < e and text[s] in STRIP and not (text[s] == "(" and ")" in text[s:e]):
+        s += 1
+    while e > s and text[e - 1] in STRIP and not (text[e - 1] == ")" and "(" in text[s:e]):
+        e -= 1
+    return s, e
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -359,7 +461,7 @@ def find(documents: DataFrame, field: Field | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans {SPANS}")
+    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {kind}, spans {SPANS}")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -397,4 +499,4 @@ def mask(documents: DataFrame, field: Field | None = None) -> DataFrame:
             columns[place] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_arrow(documents, run, documents.schema)

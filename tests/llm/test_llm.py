@@ -1,5 +1,6 @@
 """The training-data operators against plain versions on small tables, and on awkward rows."""
 
+import re
 import time
 
 import brute
@@ -297,15 +298,96 @@ def test_personal_data(documents, awkward):
         assert len(got) == docs.count()
         for doc, text in pairs(docs):
             assert got[doc].base_sha256 == brute.sha(brute.listed(brute.personal(text))), (doc, text)
-    hidden = ["phone 555-0177 please", "his dob: 1981-04-05 in", "then Mrs. Clara Hoffmann came", "plain text of 2024 here"]
-    found = pii.field_spans(field, hidden, {})
-    assert [[t[s:e] for s, e, _ in f] for t, f in zip(hidden, found)] == [["555-0177"], ["1981-04-05"], ["Clara Hoffmann"], []]
-    right = [pii.viterbi(sum(field.weights[p][np.array([[1] + [field.known[pii.feature(w)] for w in words] + [1]])[:, p : p + len(words)]] for p in range(3)), np.ones((1, len(words)), bool), field.moves, field.first)[0].tolist() == tags for words, tags in pii.labelled()]
-    assert np.mean(right) > 0.9
     masked = {r.doc_id: r for r in pii.mask(awkward, field).collect()}
     assert "@" not in masked[12].text and "[EMAIL]" in masked[12].text and masked[3].text is None and masked[0].size == 0
 
 
+#: What is personal in each sentence; none of them is in the training table.
+HELD_OUT = """
+You can reach us by phone (020) 7654321 or fax 020-7654399 => (020) 7654321|020-7654399
+Her mobile is 0151 23456789 since May => 0151 23456789
+Please call 312-555-0188 before six => 312-555-0188
+telephone: 555-0111, ask for the desk => 555-0111
+Phone (030) 123456 => (030) 123456
+My SSN is 321-54-9876. => 321-54-9876
+the ssn 111-22-3333 was stolen => 111-22-3333
+Social security number: 555-12-9999 => 555-12-9999
+Passport number: K8765432 of Spain => K8765432
+IBAN: GB29NWBK60161331926819 at the bank => GB29NWBK60161331926819
+date of birth: 1969-12-31 in Rome => 1969-12-31
+He was born on 1955-10-28 in Seattle => 1955-10-28
+dob 11/30/2001 and weight => 11/30/2001
+Sincerely, Margaret Hill => Margaret Hill
+Kind regards, George Evans => George Evans
+My name is Lucas and I sing => Lucas
+name: Hannah Fischer => Hannah Fischer
+Then Dr. Watson arrived with Mrs. Hudson => Watson|Hudson
+Mr. Edward Hyde was seen => Edward Hyde
+We thank Ms. Rachel Green for it => Rachel Green
+Prof. Albert Newman gave a talk => Albert Newman
+contact Samuel Peters for details => Samuel Peters
+signed by Martha Kent => Martha Kent
+Herr Wagner wohnt in Bonn => Wagner
+Frau Ingrid Bauer kocht gern => Ingrid Bauer
+señor Miguel Santos llega tarde => Miguel Santos
+Monsieur Luc Bernard parle bien => Luc Bernard
+author: Mark Twain => Mark Twain
+The Great Wall is long. It was built slowly =>
+Chapter 12 begins on page 345 =>
+In March 2019 we sold 1,500 units =>
+The price went from 12.99 to 14.50 =>
+order 88-1234 arrived on 2022-11-03 =>
+isbn 0-306-40615-2 is out of print =>
+Room 205 is on the second floor. Breakfast is at 8:30 =>
+The phone rang. Nobody answered =>
+She was born in Vienna. Her father was a baker =>
+We met in Central Park. The weather was fine, and Lake Street was empty =>
+Version 3.11 is out. Download it today =>
+the match ended 4-1 after 90 minutes =>
+call for papers. Deadline is 2024-06-01 =>
+The name of the ship was unknown =>
+El Rey León. La película es buena, de verdad =>
+Die Katze schläft. Der Hund bellt, und das Kind lacht =>
+Le Petit Prince. Il vient de loin =>
+Copyright 2021 The Authors. Licensed under the Apache License =>
+between 1914-1918 the world was at war =>
+Contact sales. They are open 8-18 =>
+serial 998-221-443 is on the back =>
+The author is unknown. Critics liked it =>
+Reach me on my cell 646-555-0190 after five => 646-555-0190
+Telephone (0511) 445566 is busy => (0511) 445566
+her ssn, 219-44-1212, was leaked => 219-44-1212
+the passport P1234567 is hers => P1234567
+date of birth 2003-07-19 as stated => 2003-07-19
+Dear Mrs. Novak, your parcel is here => Novak
+Best regards, Simon Clarke => Simon Clarke
+Dr. Amelia Frost and Mr. Leo Park spoke => Amelia Frost|Leo Park
+Frau Seidel und Herr Roth fahren heute => Seidel|Roth
+name: Tom Baker => Tom Baker
+We climbed Mount Everest. It took Sixty Days =>
+The invoice 77-8821 is due on 2024-02-29 =>
+Section 9 covers ages 18-25 and 26-40 =>
+Nobody knew the author. Summer came, and Winter went =>
+It has 1024 pages and weighs 3.2 kg =>
+""".strip().split("\n")
+
+
+def test_personal_data_on_held_out_sentences():
+    field, right, found, wanted = pii.train(), 0, 0, 0
+    assert not {line.split(" =>")[0] for line in HELD_OUT} & {re.sub(r"\[\w+ ([^]]+)]", r"\1", line) for line in pii.LABELLED}
+    for line in HELD_OUT:
+        text, want = line.split(" =>")
+        want = {w for w in want.strip().split("|") if w}
+        got = {text[s:e] for s, e, _ in pii.field_spans(field, [text], {})[0]}
+        right, found, wanted = right + len(got & want), found + len(got), wanted + len(want)
+    assert right >= 0.85 * wanted and right >= 0.9 * found, (right, found, wanted)
+
+
+def test_bare_spans():
+    cut = lambda t: t[slice(*pii.bare(t, 0, len(t)))]
+    assert [cut(t) for t in ("(030) 1234.", "Smith,", "(Smith)", "((x", "...", "")] == ["(030) 1234", "Smith", "(Smith)", "x", "", ""]
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
@@ -339,7 +421,7 @@ def test_personal_data_is_that_of_whole_texts():
                 want.append([s, e, pii.TAGS[tag][2:]])
             elif tag:
                 want[-1][1] = e
-        strip = [(s + len(t) - len(t.lstrip(pii.STRIP)), e - len(t) + len(t.rstrip(pii.STRIP)), k) for s, e, k in want if (t := text[s:e]).strip(pii.STRIP)]
+        strip = [(*b, k) for s, e, k in want if (b := pii.bare(text, s, e))[0] < b[1]]
         assert sorted(found) == strip, text[:200]
         assert len(found) >= 1600 or len(places) < 5000
 
