@@ -9,6 +9,7 @@ corpus only can't repeat; their passages are left out of the index. Neither step
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,18 +20,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_tasks
+from .common import checkpoint, importable, map_arrow, shuffle_tasks
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Most bits of the broadcast map of repeated anchors (16 MB); when it fills up at a very large scale, more passages are indexed than need be.
 MAP_BITS = 1 << 27
 
 
+NEXT_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 #: An odd number and its inverse modulo 2 ** 64, and as many powers of each as a block has bytes.
 BASE = 0x100000001B3
 BLOCK = 1 << 21
+#: Bytes of distinct passages that a task holds before it passes them on.
+HELD = 1 << 25
 #: Windows of a passage at most.
 LONGEST = 48
 _powers: dict[int, np.ndarray] = {}
@@ -47,19 +51,51 @@ def powers(base: int, n: int) -> np.ndarray:
     return have
 
 
+def _pieces(text: bytes) -> Iterator[tuple[int, int, bool]]:
+    """Bounds of pieces of a text of at most BLOCK bytes that cut no word; a word that is longer is a piece of its own, marked."""
+    data, s = np.frombuffer(text, np.uint8), 0
+    while s < len(data):
+        if SPACE[data[s]]:
+            some = np.flatnonzero(~SPACE[data[s : s + BLOCK]])
+            s += int(some[0]) if len(some) else BLOCK
+            continue
+        e = s + BLOCK
+        if e >= len(data):
+            yield s, len(data), False
+            return
+        cuts = np.flatnonzero(SPACE[data[s:e]])
+        if len(cuts):
+            e = s + int(cuts[-1])
+            yield s, e, False
+        else:
+            e = m.start() if (m := NEXT_SPACE.search(text, e)) else len(data)
+            yield s, e, True
+        s = e
+
+
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last byte bounds of each word of a text, and a hash of its bytes (equal words have equal ones), without a loop over words.
 
-    Sums of byte * BASE ** place up to each place give a word's polynomial by one difference, whatever its length.
+    Sums of byte * BASE ** place up to each place give a word's polynomial by one difference, whatever its length. They are made for BLOCK bytes at a
+    time, so a very long text takes little more than its words' hashes.
     """
-    data = np.frombuffer(text, np.uint8)
-    edge = np.diff(np.concatenate(([True], SPACE[data], [True])).view(np.int8))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(first):
-        return first, last, np.zeros(0, np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data))[: len(data)])))
-    h = (sums[last] - sums[first]) * powers(pow(BASE, -1, 1 << 64), len(data))[first]
-    return first, last, (h ^ (h >> np.uint64(29))) * MIX
+    none = np.zeros(0, np.int64)
+    firsts, lasts, hashes = [none], [none], [np.zeros(0, np.uint64)]
+    for s, e, single in _pieces(text):
+        if single:
+            firsts.append(np.array([s]))
+            lasts.append(np.array([e]))
+            hashes.append(np.array([xxhash.xxh64_intdigest(memoryview(text)[s:e])], np.uint64))
+            continue
+        data = np.frombuffer(text, np.uint8)[s:e]
+        edge = np.diff(np.concatenate(([True], SPACE[data], [True])).view(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data))[: len(data)])))
+        h = (sums[last] - sums[first]) * powers(pow(BASE, -1, 1 << 64), len(data))[first]
+        firsts.append(first + s)
+        lasts.append(last + s)
+        hashes.append((h ^ (h >> np.uint64(29))) * MIX)
+    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
 
 
 def blocks(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, bytes]]:
@@ -158,17 +194,21 @@ def count_anchors(documents: DataFrame, window: int, gram: int) -> DataFrame:
             a, n = np.unique(np.concatenate(got), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n.astype(np.int32))], ["anchor", "n"])
 
-    return documents.select("text").mapInArrow(count, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return map_arrow(documents.select("text"), count, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
 def repeated_spans(documents: DataFrame, window: int = 20, gram: int = 5, words_a_shard: int = 400_000) -> DataFrame:
-    """(doc_id, spans): for documents with words to remove, array of (start, end) in words, merged and in order.
+    """(doc_id, digest, spans): for rows with words to remove, array of (start, end) in words, merged and in order.
 
-    A word is removed if a window that covers it has a word sequence that also starts earlier: in a smaller doc_id, or earlier
+    documents: (doc_id, digest, text). A word is removed if a window that covers it has a word sequence that also starts earlier: in a smaller doc_id, or earlier
     in the same document. Words are runs of bytes other than space and \\x09-\\x0D. Null and empty texts have none. Rows that share a
-    doc_id share their spans; rows without one lose nothing.
+    doc_id with different texts come one after the other, by digest; equal rows are one document. Rows without an id lose nothing.
+
+    Of the occurrences of a passage that a task sees only the earliest goes to the passage's shard: the others repeat it and are told at once.
+    A passage that a third of all documents share so gives its shard a row for each task, and not one for each document.
     """
     spark = documents.sparkSession
+    importable(spark)
     repeated = checkpoint(count_anchors(documents, window, gram).where("n > 1"))
     number, total = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = 1 << int(min(MAP_BITS.bit_length() - 1, max(16, int(number * 16).bit_length())))
@@ -181,13 +221,32 @@ def repeated_spans(documents: DataFrame, window: int = 20, gram: int = 5, words_
     sent = spark.sparkContext.broadcast((table.view(np.uint64), np.sort(hot)))
     shards = max(shuffle_tasks(spark), int(total * 30 // words_a_shard) + 1)
 
+    kind = documents.schema["doc_id"].dataType
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hot = sent.value
         mask = np.uint64(bits - 1)
+        where: dict[bytes, tuple[int, int, set]] = {}
+        held, id_type = 0, None
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            index, told = [], []
+            for piece, (shard, n, at) in where.items():
+                if len(at) == 1:
+                    index.append((shard, piece, *next(iter(at)), None))
+                else:
+                    least = min(at)
+                    index.append((shard, piece, *least, None))
+                    told += [(hash((d, x)) % shards, None, d, x, s, s + n) for d, x, s in at if (d, x, s) != least]
+            for k in range(0, len(index) + len(told), 1 << 16):
+                part = (index + told)[k : k + (1 << 16)] if told else index[k : k + (1 << 16)]
+                types = [pa.int32(), pa.binary(), id_type, pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in enumerate(types)], ["shard", "words", "doc_id", "digest", "start", "end"])
+
         for b in batches:
-            where: dict[bytes, tuple[int, list, list]] = {}
-            docs = b.column(0).to_pylist()
-            texts = [t if d is not None else None for d, t in zip(docs, _texts(b.column(1)), strict=True)]
+            id_type = b.column(0).type
+            docs, digests = b.column(0).to_pylist(), b.column(1).to_pylist()
+            texts = [t if d is not None else None for d, t in zip(docs, _texts(b.column(2)), strict=True)]
             for numbers, joined in blocks(texts):
                 w = Windows(numbers, joined, texts, window, gram)
                 start, count = passages(w.anchors, w.valid, hot)
@@ -197,25 +256,29 @@ def repeated_spans(documents: DataFrame, window: int = 20, gram: int = 5, words_
                 start, count, key = start[ok], count[ok], key[ok]
                 alone = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
                 text = w.text[start]
-                rows = zip(w.first[start].tolist(), w.last[start + count + window - 2].tolist(), key.tolist(), alone.tolist(), numbers[text].tolist(), (start - w.begin[text]).tolist(), strict=True)
-                for s, e, k, x, number, place in rows:
+                rows = zip(w.first[start].tolist(), w.last[start + count + window - 2].tolist(), key.tolist(), alone.tolist(), numbers[text].tolist(), (start - w.begin[text]).tolist(), (count + window - 1).tolist(), strict=True)
+                for s, e, k, x, number, place, n in rows:
                     piece = joined[s:e]
                     if (got := where.get(piece)) is None:
-                        where[piece] = got = ((xxhash.xxh64_intdigest(b" ".join(piece.split())) if x else k) % shards, [], [])
-                    got[1].append(docs[number])
-                    got[2].append(place)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in where.values()], pa.int32()), pa.array(list(where), pa.binary()), pa.array([x[1] for x in where.values()], pa.list_(pa.int64())), pa.array([x[2] for x in where.values()], pa.list_(pa.int32()))],
-                ["shard", "words", "docs", "starts"],
-            )
-
-    pieces = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "shard int, words binary, docs array<long>, starts array<int>")
-    found = pieces.groupBy("shard").applyInPandas(lambda f: search_shard(f, window), "doc_id long, start int, end int")
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+                        where[piece] = got = ((xxhash.xxh64_intdigest(b" ".join(piece.split())) if x else k) % shards, n, set())
+                        held += len(piece)
+                    got[2].add((docs[number], digests[number], place))
+                    held += 100
+            if held > HELD:
+                yield from passed()
+                where.clear()
+                held = 0
+        if where:
+            yield from passed()
+
+    name = kind.simpleString()
+    pieces = map_arrow(documents.select("doc_id", "digest", "text"), cut, f"shard int, words binary, doc_id {name}, digest long, start int, end int")
+    found = pieces.groupBy("shard").applyInPandas(lambda f: search_shard(f, window), f"doc_id {name}, digest long, start int, end int")
+    return found.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def search_shard(f: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Removed spans of each passage's occurrences, by matching statistics of the passages in the index of the distinct ones.
+    """Removed spans (doc_id, digest, start, end) of each passage's occurrences, by matching statistics of the passages in the index of the distinct ones.
 
     Each passage is read from its end. A backward step puts one word before the current match; then the match is cut to `window`
     words again by widening its rows to all suffixes that begin with the same `window` words. Those rows are the window's
@@ -223,16 +286,23 @@ def search_shard(f: pd.DataFrame, window: int) -> pd.DataFrame:
     """
     from .fmindex import FMIndex
 
+    told = f[f.words.isna()]
+    done = told[["doc_id", "digest", "start", "end"]]
+    f = f[f.words.notna()]
+    if not len(f):
+        return done
     first: dict[bytes, int] = {}
-    owner = np.array([first.setdefault(w, len(first)) for w in f.words], np.int64)
-    counts = np.array([len(d) for d in f.docs], np.int64)
-    docs, starts = np.concatenate(f.docs.to_numpy()).astype(np.int64), np.concatenate(f.starts.to_numpy()).astype(np.int64)
-    passage = np.repeat(owner, counts)
+    passage = np.array([first.setdefault(w, len(first)) for w in f.words], np.int64)
+    # Documents as numbers, in the order of (doc_id, digest).
+    ids, by_id = np.unique(f.doc_id.to_numpy(), return_inverse=True)
+    digests, by_digest = np.unique(f.digest.to_numpy(), return_inverse=True)
+    both, docs = np.unique(by_id * len(digests) + by_digest, return_inverse=True)
+    starts = f.start.to_numpy().astype(np.int64)
     split = [w.split() for w in first]
     sizes = np.array([len(w) for w in split], np.int64)
-    ids = {x: k + 2 for k, x in enumerate(set(chain.from_iterable(split)))}
-    flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-    del split, ids
+    numbers = {x: k + 2 for k, x in enumerate(set(chain.from_iterable(split)))}
+    flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+    del split, numbers
     # One separator, 1, ends each passage; no window holds it.
     symbols = np.ones(int(sizes.sum() + len(sizes)), np.int64)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
@@ -259,9 +329,8 @@ def search_shard(f: pd.DataFrame, window: int) -> pd.DataFrame:
     ends = np.where(np.concatenate((~same, [True])), np.arange(n), n)
     run_last = np.minimum.accumulate(ends[::-1])[::-1]
     # (document, place) as one number, and the least of the occurrences in each run.
-    names, ranked = np.unique(least_doc, return_inverse=True)
     spot = np.full(n, np.iinfo(np.int64).max)
-    spot[:-1] = np.where(valid, (ranked[where] << 32) + least_start[where] + inside, spot[:-1])
+    spot[:-1] = np.where(valid, (least_doc[where] << 32) + least_start[where] + inside, spot[:-1])
     least = np.minimum.reduceat(spot[order], np.flatnonzero(np.concatenate(([True], ~same))))
     run = np.cumsum(np.concatenate(([True], ~same))) - 1
     # Matching statistics, all passages side by side, from their ends to their beginnings.
@@ -283,19 +352,25 @@ def search_shard(f: pd.DataFrame, window: int) -> pd.DataFrame:
     p = where[s] if len(s) else np.zeros(0, np.int64)
     repeat = by[~heads]
     repeat = repeat[(docs[repeat] != least_doc[passage[repeat]]) | (starts[repeat] != least_start[passage[repeat]])]
-    return pd.DataFrame(
+    late_docs = both[np.concatenate([least_doc[p], docs[repeat]])]
+    out = pd.DataFrame(
         {
-            "doc_id": np.concatenate([least_doc[p], docs[repeat]]),
+            "doc_id": ids[late_docs // len(digests)],
+            "digest": digests[late_docs % len(digests)],
             "start": np.concatenate([least_start[p] + s - begin[p], starts[repeat]]).astype(np.int32),
             "end": np.concatenate([least_start[p] + e - begin[p] + window - 1, starts[repeat] + sizes[passage[repeat]]]).astype(np.int32),
         }
     )
+    return pd.concat([out, done], ignore_index=True) if len(done) else out
 
 
 def remove(documents: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, text, n_words, n_removed, kept_sha256): text is the kept words joined by one space. One row for each row."""
-    spans = checkpoint(repeated_spans(documents, window))
-    joined = documents.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    """(doc_id, text, n_words, n_removed, kept_sha256): text is the kept words joined by one space. One row for each row, as repeated_spans() judges it."""
+    rows = documents.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    spans = checkpoint(repeated_spans(rows, window))
+    none = F.lit(None).cast("array<int>")
+    told = rows.where("doc_id is not null").join(spans, ["doc_id", "digest"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    joined = told.unionByName(rows.where("doc_id is null").select("doc_id", "text", none.alias("starts"), none.alias("ends")))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,4 +391,4 @@ def remove(documents: DataFrame, window: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "text", "n_words", "n_removed", "kept_sha256"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(apply, f"doc_id {kind}, text string, n_words long, n_removed long, kept_sha256 string")
+    return map_arrow(joined, apply, f"doc_id {kind}, text string, n_words long, n_removed long, kept_sha256 string")

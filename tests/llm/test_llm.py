@@ -243,6 +243,32 @@ def test_repeats(documents, awkward):
         assert got == brute.repeats(pairs(docs))
 
 
+def test_repeats_judges_rows(spark, monkeypatch):
+    """Ids as strings, repeated with equal and with different texts, and lacking; a window in nearly all rows; tasks that pass on after every batch."""
+    monkeypatch.setattr(substrings, "HELD", 0)
+    rng = np.random.default_rng(17)
+    common = prose(rng, 24)
+    texts = [prose(rng, 10) + " " + common + " " + prose(rng, 10) for _ in range(400)]
+    rows = [(f"d{i:04}", t) for i, t in enumerate(texts)] + [("d0007", texts[7]), ("d0008", prose(rng, 30)), (None, texts[3]), (None, common)]
+    got = {(r.doc_id, r.n_words): (r.n_removed, r.text) for r in substrings.remove(spark.createDataFrame(rows, "doc_id string, text string").repartition(6)).collect()}
+    want = brute.repeats(rows[:400])
+    assert all(got[(d, 44)][0] == want[d][1] >= 24 * (d != "d0000") for d, _ in rows[:400])
+    assert got[("d0008", 30)][0] == 0 and got[(None, 44)][0] == 0 and got[(None, 24)] == (0, common)
+
+
+def test_word_hashes_in_pieces(monkeypatch):
+    rng = np.random.default_rng(18)
+    text = b"  " + b" \t".join(bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(1, 90, 300)) + b" " * 200 + b"end"
+    monkeypatch.setattr(substrings, "BLOCK", 1 << 20)
+    whole = substrings.word_hashes(text)
+    monkeypatch.setattr(substrings, "BLOCK", 95)
+    first, last, h = substrings.word_hashes(text)
+    assert first.tolist() == whole[0].tolist() and last.tolist() == whole[1].tolist() and h.tolist() == whole[2].tolist()
+    monkeypatch.setattr(substrings, "BLOCK", 20)  # longer words have hashes of another kind
+    first, last, h = substrings.word_hashes(text + b" " + text)
+    assert [(text + b" " + text)[a:b] for a, b in zip(first, last)] == 2 * text.split() and h[:301].tolist() == h[301:].tolist()
+
+
 def test_windows():
     rng = np.random.default_rng(5)
     texts = [None, b"", b"one two", *(b" \t".join(str(x).encode() for x in rng.integers(0, 9, n)) + b"\n" * k for k, n in enumerate((19, 20, 400, 21)))]
