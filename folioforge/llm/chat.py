@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import checkpoint
+
 #: Turns of a conversation that one task orders, and that one rendered part holds at most.
 PART = 256
 
@@ -41,7 +43,7 @@ def maximal(pos: DataFrame) -> DataFrame:
     n_same counts the equal conversations, itself included. Prefix hashes are made distinct before the anti join, so
     a first turn that a third of all conversations share is one row there.
     """
-    rolled = _rolling(pos)
+    rolled = checkpoint(_rolling(pos))
     lengths = pos.groupBy("conv_id").agg(F.max("pos").alias("n_turns"))
     ends = rolled.join(lengths, (rolled.conv_id == lengths.conv_id) & (rolled.pos == lengths.n_turns)).select(rolled.conv_id, "n_turns", "h1", "h2")
     single = ends.groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_same"))
@@ -52,9 +54,10 @@ def maximal(pos: DataFrame) -> DataFrame:
 def render(turns: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, n_same, text): each maximal conversation as <|role|> lines, in parts of PART turns (nearly always one).
 
-    Role null is unknown, text null is empty. Conversations that are equal or begin a longer one are left out.
+    Role null is unknown, text null is empty. Conversations that are equal or begin a longer one are left out. Turns that tie are ordered by role and
+    text, and equal turns stay, each at its own place; rows without a conversation are left out, and an empty table gives none.
     """
-    pos = numbered(turns)
+    pos = checkpoint(numbered(turns))
     kept = maximal(pos)
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
     rows = pos.join(kept, "conv_id").withColumn("part", F.floor((F.col("pos") - 1) / PART).cast("long"))
