@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import decontaminate, language, mixing, pii, simhash
-from folioforge.llm.common import small_batches, table
+from folioforge.llm.common import shared_folder, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, with lang predicted; und goes: null texts and those without a letter."""
-    small_batches(spark)
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
     return language.label(docs, model).where("lang <> 'und'")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of SimHash links stays, that of the smallest doc_id; rows without an id come last, and ids that repeat are told apart by their rows."""
-    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are contaminated by the benchmark go."""
-    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes [KIND]; n_chars follows the text."""
-    small_batches(spark)
     return pii.mask(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
@@ -57,8 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each but the last written as Parquet in the session's shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    docs, at = table(spark, sf_dir, "documents"), f"{base}/pipeline-{uuid.uuid4().hex}"
+    docs, at = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
