@@ -102,8 +102,8 @@ def _extras(counted: DataFrame) -> DataFrame:
 def plan(sized: DataFrame) -> DataFrame:
     """(key, class, n, source_size, target, rate, cut) of sizes(): rows of a class are taken floor(rate) times, and once more if u <= cut.
 
-    The cut of a class leaves as many of the smallest u on its side as _extras() says. It is found in two steps, among 1024 ranges of u and then inside one,
-    from counts of equal u, so neither a large source, nor very many documents of one size, nor very many equal rows meet in one task.
+    The cut of a class leaves as many of the smallest u on its side as _extras() says. It is found in two steps, among ranges of u and then inside one, both about the
+    square root of the largest class, from counts of equal u, so neither a large source, nor very many documents of one size, nor very many equal rows meet in one task.
     Rows of equal u are taken all or none, whichever comes nearer.
     """
     units = checkpoint(sized.groupBy(source_key(F.col("source")).alias("key"), "source", size_class(F.col("size")).alias("class"), "u").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
@@ -113,7 +113,8 @@ def plan(sized: DataFrame) -> DataFrame:
     counted = classes.join(rates, "key").select("key", "class", "n", "words", "source_size", "target", "rate", (F.col("rate") - F.floor("rate")).alias("part"))
     wanted = checkpoint(counted.drop("part").join(_extras(counted), ["key", "class"]))
     some = wanted.where("extra > 0 and extra < n").select("key", "class", "extra")
-    in_range = F.shiftright("u", 54).alias("range")
+    largest = classes.agg(F.max("n")).first()[0] or 1
+    in_range = F.shiftright("u", 64 - max(1, (int(largest).bit_length() + 1) // 2)).alias("range")
     cells = units.groupBy("key", "class", in_range).agg(F.sum("n").alias("here")).join(some, ["key", "class"])
     upto = F.sum("here").over(Window.partitionBy("key", "class").orderBy("range"))
     reached = cells.withColumn("upto", upto).where("upto >= extra and upto - here < extra").select("key", "class", "range", (F.col("extra") - F.col("upto") + F.col("here")).alias("need"))
