@@ -7,7 +7,7 @@ attachments, items and parents.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import identity, text
 from ..operators import dedup, evaluation, index, routing, search
-from ..sources.tables import ledger_last_wins, ledger_set, table
+from ..sources.tables import ledger_last_wins, ledger_set, shared_folder, table
 from ..streaming.incremental import incremental_chunks, sessions
 
 
@@ -179,22 +179,28 @@ def papers_filter_precedence(spark, d):
     return best.select("vec_id", "label", "rank", F.round("distance", 4).alias("distance"))
 
 
+def _asked(rows):
+    """The queries of a search: every vector whose id is divisible by 100."""
+    return rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+
+
+def _nearest(rows, asked, k):
+    score = lambda pairs: pairs.where("vec_id <> query_id").withColumn("distance", search.cosine_distance(F.col("embedding"), F.col("q"))).drop("embedding", "q")
+    return search.against_all(rows, asked, "query_id", score, k, [F.col("distance"), F.col("vec_id")])
+
+
 def topk_per_query(spark, d):
-    """Twenty stored queries (the stated set) against all vectors."""
+    """Every hundredth vector against all others."""
     rows = table(spark, d, "embeddings")
-    asked = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = rows.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", search.cosine_distance(F.col("embedding"), F.col("q")).alias("distance"))
-    return search.ranked(scored, "query_id", [F.col("distance"), F.col("vec_id")], 5).select("query_id", "vec_id", "rank", F.round("distance", 4).alias("distance"))
+    return _nearest(rows, _asked(rows), 5).select("query_id", "vec_id", "rank", F.round("distance", 4).alias("distance"))
 
 
 def hash_embed_topk(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    asked = search.hash_embedding(table(spark, d, "benchmark").where("item_id < 10"), "item_id", "text").select("item_id", "bucket", F.col("n").alias("m"))
-    sparse = search.hash_embedding(docs, "doc_id", "text")
-    norm = sparse.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("n")).alias("nn"))
-    products = sparse.join(F.broadcast(asked), "bucket").groupBy("item_id", "doc_id").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    scored = products.join(norm, "doc_id").withColumn("score", F.round(F.col("dot") / F.sqrt("nn"), 6))
-    return search.ranked(scored, "item_id", [F.desc("score"), F.col("doc_id")], 5).select("item_id", "doc_id", "rank", "score")
+    """All items against all documents."""
+    docs = search.hash_vectors(table(spark, d, "documents"), "doc_id", "text").withColumn("norm", F.sqrt(search.dot(F.col("vector"), F.col("vector"))))
+    items = search.hash_vectors(table(spark, d, "benchmark"), "item_id", "text").withColumnRenamed("vector", "asked")
+    score = lambda pairs: pairs.withColumn("dot", search.dot(F.col("vector"), F.col("asked"))).where("dot > 0").select("item_id", "doc_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    return search.against_all(docs, items, "item_id", score, 5, [F.desc("score"), F.col("doc_id")]).select("item_id", "doc_id", "rank", "score")
 
 
 def context_stitch(spark, d):
@@ -244,12 +250,10 @@ def first_hit_gain(spark, d):
 
 
 def _judged(spark, d):
-    """The first ten of each stored query; a hit of the query's label is relevant, one whose id is a multiple of nine unjudged."""
+    """The first ten of each query; a hit of the query's label is relevant, one whose id is a multiple of nine unjudged."""
     rows = table(spark, d, "embeddings")
-    asked = rows.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    scored = rows.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "q_label", "vec_id", "label", search.cosine_distance(F.col("embedding"), F.col("q")).alias("distance"))
-    hits = search.ranked(scored, "query_id", [F.col("distance"), F.col("vec_id")], 10)
-    hits = hits.withColumn("relevance", F.when(F.col("vec_id") % 9 != 0, (F.col("label") == F.col("q_label")).cast("int")))
+    asked = _asked(rows)
+    hits = _nearest(rows, asked, 10).withColumn("relevance", F.when(F.col("vec_id") % 9 != 0, (F.col("label") == F.col("q_label")).cast("int")))
     relevant = rows.groupBy("label").agg(F.count("*").alias("n_relevant")).join(asked.select("query_id", "q_label"), F.col("label") == F.col("q_label")).select("query_id", "n_relevant", F.col("q_label").alias("domain"))
     return hits, relevant
 
@@ -270,8 +274,10 @@ def agreement_kappa(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    scores = table(spark, d, "events").select("user_id", F.col("value").alias("diff"))
-    return evaluation.bootstrap_interval(scores, "user_id", "diff", samples=200)
+    """The mean difference between a user's purchases and clicks, users resampled a thousand times."""
+    of = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("value")))
+    pairs = table(spark, d, "events").groupBy("user_id").agg(of("purchase").alias("a"), of("click").alias("b")).where("a is not null and b is not null")
+    return evaluation.bootstrap_interval(pairs, "user_id", "a", "b").select(*[F.round(c, 6).alias(c) for c in ("low", "mean", "high")])
 
 
 def fk_orphans(spark, d):
@@ -301,11 +307,12 @@ def attachment_parent_join(spark, d):
 
 
 def parent_key_fallback(spark, d):
-    """The key by the exact name, else by the least key whose name holds the number."""
+    """The key by the exact name, else by the least key whose name ends with the number, taken out of the name first so that the join is on equality."""
     customers, suppliers = table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "supplier").select("s_suppkey", "s_name")
     asked = suppliers.select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.regexp_replace("s_name", "Supplier", "Customer")).otherwise(F.regexp_extract("s_name", "[0-9]+$", 0)).alias("wanted"))
     exact = asked.join(customers, asked.wanted == customers.c_name).select("s_suppkey", F.col("c_custkey").alias("exact"))
-    loose = asked.join(exact, "s_suppkey", "left_anti").join(customers, F.col("c_name").contains(F.col("wanted"))).groupBy("s_suppkey").agg(F.min("c_custkey").alias("loose"))
+    numbered = customers.select("c_custkey", F.regexp_extract("c_name", "[0-9]+$", 0).alias("wanted"))
+    loose = asked.join(exact, "s_suppkey", "left_anti").join(numbered, "wanted").groupBy("s_suppkey").agg(F.min("c_custkey").alias("loose"))
     return asked.join(exact, "s_suppkey", "left").join(loose, "s_suppkey", "left").select("s_suppkey", F.coalesce("exact", "loose").alias("parent_key"))
 
 
@@ -325,14 +332,21 @@ def route_model(spark, d):
     docs = table(spark, d, "documents")
     pages = F.floor(F.length("text") / 500).cast("int")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("article", "review", "textbook", "letter")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    model, reason = routing.route(pages, pages * 2, kind, F.col("doc_id") % 10 == 3)
+    override = F.when(F.col("text").startswith("The "), "given-model")
+    model, reason = routing.route(pages, pages * 2, kind, F.col("text").startswith("La"), F.lower("source").contains("a") & (F.length("text") > 5000), override)
     return docs.select("doc_id", model.alias("model"), reason.alias("reason"))
 
 
 def fallback_trigger(spark, d):
-    n = lambda k: (F.col("doc_id") % k).cast("int")
-    why = routing.fallback(F.when(n(3) == 0, 0).otherwise(1), F.lit(0), F.when(n(2) == 0, 0).otherwise(2), F.when(n(7) == 0, "generic-research-note").otherwise("std"), F.when(n(5) == 0, "other").otherwise("chem"), F.when(n(11) == 0, "other").otherwise("x"), F.when(n(4) == 0, "weak").otherwise("strong"))
-    return table(spark, d, "documents").select("doc_id", F.coalesce(why, F.lit("candidate tags already populated")).alias("reason"))
+    """Candidate counts from a text's long words, template and scope from its first words, domain and signal from language and length."""
+    docs = table(spark, d, "documents")
+    n = lambda p: F.size(F.regexp_extract_all(F.col("text"), F.lit(p), 0))
+    first = F.lower(F.substring("text", 1, 1))
+    why = routing.fallback(
+        F.when(n("[A-Za-z]{13,}") > 2, 1).otherwise(0), F.when(n("[0-9]{4,}") > 0, 1).otherwise(0), F.when(n("[A-Za-z]{11,12}") > 1, 2).otherwise(0), F.when(first == "t", "generic-research-note").otherwise("std"),
+        F.when(F.col("lang") == "de", "other").otherwise("chem"), F.when(F.col("text").startswith("La"), "other").otherwise("x"), F.when(F.length("text") < 400, "weak").otherwise("strong"),
+    )
+    return docs.select("doc_id", F.coalesce(why, F.lit("candidate tags already populated")).alias("reason"))
 
 
 def split_plan(spark, d):
@@ -415,13 +429,10 @@ def public_hits(spark, d):
 
 
 def stream_incremental_index(spark, d):
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    import uuid
-
-    run = f"{at}/stream-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents")
     source = f"{d}/documents.parquet" if not d.endswith("/") else f"{d}documents.parquet"
-    rows = incremental_chunks(spark, f"{source}*", docs.schema, f"{run}/chunks", f"{run}/ledger")
+    rows = incremental_chunks(spark, f"{source}*", docs.schema, f"{run}/index", f"{run}/ledger")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
 
 

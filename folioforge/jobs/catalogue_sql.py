@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.evaluation import poisson_edges
 
 def _chunks(text: str = "text", size: int = 800, step: int = 700, source: str = "documents", keep: str = "doc_id", least: int = 100) -> str:
     return f"""select {keep}, (s // {step})::int as chunk_index, s::int as chunk_start, substring({text}, s + 1, {size}) as chunk
@@ -36,12 +37,12 @@ bm as (select item_id, doc_id, round(sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1
 lex as (select * from (select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, score from bm) where rank <= 10)"""
 
 _HASH = f"""e as (select doc_id, b, sum(n) as n from (select doc_id, (('0x' || substring(md5(token), 1, 8))::bigint % 64) as b, 1 as n from (select doc_id, unnest({_TOKENS}) as token from documents)) group by all),
-a as (select item_id, b, sum(n) as m from (select item_id, (('0x' || substring(md5(token), 1, 8))::bigint % 64) as b, 1 as n from (select item_id, unnest({_TOKENS}) as token from benchmark where item_id < 10)) group by all),
+a as (select item_id, b, sum(n) as m from (select item_id, (('0x' || substring(md5(token), 1, 8))::bigint % 64) as b, 1 as n from (select item_id, unnest({_TOKENS}) as token from benchmark)) group by all),
 nn as (select doc_id, sum(n * n) as nn from e group by doc_id),
 sc as (select item_id, doc_id, round(dot::double / sqrt(nn::double), 6) as score from (select item_id, doc_id, sum(n * m) as dot from e join a using (b) group by all) join nn using (doc_id)),
 he as (select * from (select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, score from sc) where rank <= 5)"""
 
-_JUDGED = f"""asked as (select vec_id as query_id, embedding as q, label as q_label from embeddings where vec_id < 40),
+_JUDGED = f"""asked as (select vec_id as query_id, embedding as q, label as q_label from embeddings where vec_id % 100 = 0),
 sc as (select query_id, q_label, vec_id, label, {_COS.format(a="embedding", b="q")} as distance from embeddings join asked on vec_id <> query_id),
 hits as (select * from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from sc) where rank <= 10),
 j as (select *, case when vec_id % 9 <> 0 then (label = q_label)::int end as rel from hits),
@@ -88,7 +89,7 @@ SQL = {
     "papers_topk_l2": f"select vec_id, rank, round(distance, 4) as distance from ({_topk(_L2, 3, 7)})",
     "papers_filter_precedence": f"select vec_id, label, rank, round(distance, 4) as distance from ({_topk(_L2, 3, 7, 'label = 0')})",
     "topk_per_query": f"""select query_id, vec_id, rank, round(distance, 4) as distance from (select query_id, vec_id, distance, row_number() over (partition by query_id order by distance, vec_id)::int as rank from
-      (select query_id, vec_id, {_COS.format(a="embedding", b="q")} as distance from embeddings, (select vec_id as query_id, embedding as q from embeddings where vec_id < 20) where vec_id <> query_id)) where rank <= 5""",
+      (select query_id, vec_id, {_COS.format(a="embedding", b="q")} as distance from embeddings, (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0) where vec_id <> query_id)) where rank <= 5""",
     "hash_embed_topk": f"with {_HASH} select item_id, doc_id, rank, score from he",
     "context_stitch": f"""select doc_id, chunk_index, md5(concat_ws(' ', nullif(lag(chunk) over w, ''), '[MATCH]' || chunk || '[/MATCH]', nullif(lead(chunk) over w, ''))) as context_md5 from ({_chunks()}) window w as (partition by doc_id order by chunk_index)""",
     "note_to_paper_drilldown": f"""with k as (select distinct label from ({_topk(_COS, 5, 0)}))
@@ -103,6 +104,10 @@ SQL = {
     "first_hit_gain": "select item_id, 1::bigint as gain, count(*) as hits from documents d join benchmark b on contains(d.text, b.text) group by item_id",
     "retrieval_metrics": f"with {_JUDGED} select query_id, hits, round(hits / n_relevant, 6) as recall, round(coalesce(1 / first, 0.0::double), 6) as mrr, round(dcg, 6) as dcg, judged from m join rel using (query_id)",
     "macro_average": f"with {_JUDGED} select round(avg(x), 6) as macro, count(*) as domains from (select domain, avg(coalesce(1 / first, 0.0::double)) as x from m join rel using (query_id) group by domain)",
+    "bootstrap_ci": f"""with p as (select user_id, avg(value) filter (event_type = 'purchase') as a, avg(value) filter (event_type = 'click') as b from events group by user_id having a is not null and b is not null),
+      w as (select sample, a - b as x, ('0x' || substring(md5(user_id || '|' || sample || '|7'), 1, 8))::bigint::double / 4294967296 as u from p, (select unnest(range(1000)) as sample)),
+      m as (select sum(k * x) / nullif(sum(k), 0) as m from (select sample, x, {" + ".join(f"(u >= {e!r})::int" for e in poisson_edges())} as k from w) group by sample)
+      select round(quantile_cont(m, 0.025), 6) as low, round(avg(m), 6) as mean, round(quantile_cont(m, 0.975), 6) as high from m""",
     "agreement_kappa": """with c as (select quality as a, toxic as b, count(*) as n from labels group by all), l as (select a, sum(n) as nx from c group by a), r as (select b, sum(n) as ny from c group by b)
       select round(1 - (select sum(abs(a - b) * n) from c)::double * (select sum(n) from c) / (select sum(abs(a - b) * nx * ny) from l, r), 6) as kappa, (select sum(n) from c)::bigint as n""",
     "fk_orphans": """select 'label_document' as rule, doc_id::varchar as id, count(*) as n from labels where doc_id not in (select doc_id from documents where doc_id % 11 <> 0) group by doc_id
@@ -117,13 +122,13 @@ SQL = {
       select s_suppkey, coalesce(e.k, l.k) as parent_key from a left join e using (s_suppkey) left join l using (s_suppkey)""",
     "attachment_since_or": "select o_orderstatus, count(*) as n from lineitem join orders on l_orderkey = o_orderkey where l_shipdate >= '1998-01-01' or o_orderdate >= '1998-01-01' group by o_orderstatus",
     "limit_before_anti": "select doc_id from (select doc_id from documents order by doc_id limit 100) where doc_id not in (select doc_id from labels)",
-    "route_model": """with x as (select doc_id, length(text) // 500 as p, ['article', 'review', 'textbook', 'letter'][doc_id % 4 + 1] as k from documents),
-      y as (select doc_id, case when p >= 30 then 'primary_pdf_pages >= 30' when p * 2 >= 60 then 'total_pdf_pages >= 60' when k in ('textbook', 'phd-dissertation', 'review', 'perspective', 'commentary') then 'document_type=' || k when doc_id % 10 = 3 then 'is_review_like=true' else 'default flash route' end as reason from x)
-      select doc_id, case when reason = 'default flash route' then 'flash' else 'pro' end as model, reason from y""",
-    "fallback_trigger": """with x as (select doc_id, case when doc_id % 3 = 0 then 0 else 1 end as hi, case when doc_id % 2 = 0 then 0 else 2 end as lo from documents)
-      select doc_id, case when hi + lo = 0 then 'candidate tags empty after deterministic prefill' when hi = 0 and hi + lo <= 1 then 'candidate tags remain very sparse after deterministic prefill'
-      when doc_id % 7 = 0 then 'generic fallback template may need semantic candidate supplementation' when doc_id % 5 = 0 then 'research_domain=other triggers edge-theme fallback'
-      when doc_id % 11 = 0 then 'scope_hint=other triggers fallback review' when doc_id % 4 = 0 and hi = 0 then 'signal_quality=weak with no high/medium candidates' else 'candidate tags already populated' end as reason from x""",
+    "route_model": """with x as (select doc_id, length(text) // 500 as p, ['article', 'review', 'textbook', 'letter'][doc_id % 4 + 1] as k, starts_with(text, 'The ') as o, starts_with(text, 'La') as r, contains(lower(source), 'a') and length(text) > 5000 as m from documents),
+      y as (select doc_id, case when o then 'manual override (--model)' when p >= 30 then 'primary_pdf_pages >= 30' when p * 2 >= 60 then 'total_pdf_pages >= 60' when k in ('textbook', 'phd-dissertation', 'review', 'perspective', 'commentary') then 'document_type=' || k when r then 'is_review_like=true' when m then 'is_multichapter_thesis=true' else 'default flash route' end as reason from x)
+      select doc_id, case when reason = 'default flash route' then 'flash' when reason like 'manual%' then 'given-model' else 'pro' end as model, reason from y""",
+    "fallback_trigger": """with x as (select doc_id, case when len(regexp_extract_all(text, '[A-Za-z]{13,}')) > 2 then 1 else 0 end as hi, case when len(regexp_extract_all(text, '[0-9]{4,}')) > 0 then 1 else 0 end as md, case when len(regexp_extract_all(text, '[A-Za-z]{11,12}')) > 1 then 2 else 0 end as lo, lang, text from documents)
+      select doc_id, case when hi + md + lo = 0 then 'candidate tags empty after deterministic prefill' when hi + md = 0 and hi + md + lo <= 1 then 'candidate tags remain very sparse after deterministic prefill'
+      when lower(substring(text, 1, 1)) = 't' then 'generic fallback template may need semantic candidate supplementation' when lang = 'de' then 'research_domain=other triggers edge-theme fallback'
+      when starts_with(text, 'La') then 'scope_hint=other triggers fallback review' when length(text) < 400 and hi + md = 0 then 'signal_quality=weak with no high/medium candidates' else 'candidate tags already populated' end as reason from x""",
     "split_plan": "select doc_id, greatest(1, ceil(strlen(text) / 2000), ceil(ceil(length(text) / 500) / 10))::bigint as parts from documents",
     "seed_term_grounding": r"""with w as (select doc_id, string_split_regex(text, '[ \n]+') as w, substring(text, 1, 40) as a from documents where length(text) > 0),
       c as (select doc_id, regexp_replace(lower(w[-1]), '[^\p{L}\p{N}]', '', 'g') as l, regexp_replace(lower(w[1]), '[^\p{L}\p{N}]', '', 'g') as f, regexp_replace(lower(a), '[^\p{L}\p{N}]', '', 'g') as a from w)

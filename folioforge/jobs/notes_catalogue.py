@@ -61,22 +61,40 @@ def section_injection(spark, d):
     return docs.select("doc_id", F.md5(notes.with_section(body, F.lit(f"{notes.ABSTRACT}\nabs"))).alias("body_md5"))
 
 
-@query("""with h as (select doc_id, text, 'combined_hash: ' || sha256(text) as h from documents)
-  select doc_id, md5(case doc_id % 4 when 0 then '---' || chr(10) || h || chr(10) || 'parent_key: K' || chr(10) || '---' || chr(10) when 1 then '---' || chr(10) || 'parent_key: K' || chr(10) || h || chr(10) || '---' || chr(10)
-  when 2 then '---' || chr(10) || 'pdf_0_path: a' || chr(10) || 'pdf_1_path: b' || chr(10) || h || chr(10) || '---' || chr(10) else '---' || chr(10) || 'year: 1' || chr(10) || h || chr(10) || '---' || chr(10) end) as content_md5 from h""")
+_FRONT = """'---' || chr(10) || 'title: ' || replace(substring(text, 1, 20), chr(10), ' ') || chr(10) || case when text like 'A%' or text like 'D%' then 'combined_hash: ' || md5(text) || chr(10) else '' end
+  || case when lang = 'en' then 'parent_key: ' || upper(substring(md5(text), 1, 8)) || chr(10) else '' end || case when lang in ('en', 'de') then 'pdf_0_path: a/' || source || '.pdf' || chr(10) || 'pdf_1_path: b/' || lang || '.pdf' || chr(10) else '' end
+  || 'year: ' || length(text) || chr(10) || '---' || chr(10) || replace(substring(text, 1, 40), chr(10), ' ')"""
+
+
+def _front(docs):
+    """Notes cut from texts: some with a hash, a key or paths of their own."""
+    line = lambda holds, *parts: F.when(holds, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("\n"))).otherwise("")
+    flat = lambda n: F.replace(F.substring("text", 1, n), F.lit("\n"), F.lit(" "))
+    two, text = F.col("lang").isin("en", "de"), F.col("text")
+    return F.concat(
+        F.lit("---\ntitle: "), flat(20), F.lit("\n"), line(text.startswith("A") | text.startswith("D"), "combined_hash: ", F.md5("text")), line(F.col("lang") == "en", "parent_key: ", F.upper(F.substring(F.md5("text"), 1, 8))),
+        line(two, "pdf_0_path: a/", F.col("source"), ".pdf"), line(two, "pdf_1_path: b/", F.col("lang"), ".pdf"), F.lit("year: "), F.length("text").cast("string"), F.lit("\n---\n"), flat(40),
+    )
+
+
+@query(rf"""with n as (select doc_id, {_FRONT} as c, 'combined_hash: ' || sha256(text) as h from documents where text is not null and lang is not null and source is not null)
+  select doc_id, md5(case when contains(c, chr(10) || 'combined_hash:') then regexp_replace(c, '\ncombined_hash:[^\n]*', chr(10) || h) when contains(c, chr(10) || 'parent_key:') then regexp_replace(c, '\n(parent_key:[^\n]*)', chr(10) || '\1' || chr(10) || h)
+    when contains(c, chr(10) || 'pdf_1_path:') then regexp_replace(c, '\n(pdf_1_path:[^\n]*)', chr(10) || '\1' || chr(10) || h) else replace(c, chr(10) || '---' || chr(10), chr(10) || h || chr(10) || '---' || chr(10)) end) as content_md5 from n""")
 def hash_backfill(spark, d):
-    docs = table(spark, d, "documents")
-    given = F.element_at(F.array(*[F.lit(x) for x in ("---\ncombined_hash: old\nparent_key: K\n---\n", "---\nparent_key: K\n---\n", "---\npdf_0_path: a\npdf_1_path: b\n---\n", "---\nyear: 1\n---\n")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    return docs.select("doc_id", F.md5(notes.with_hash(given, F.sha2("text", 256))).alias("content_md5"))
+    docs = table(spark, d, "documents").where("text is not null and lang is not null and source is not null")
+    return docs.select("doc_id", F.md5(notes.with_hash(_front(docs), F.sha2("text", 256))).alias("content_md5"))
 
 
-@query("""select doc_id, case doc_id % 3 when 0 then 'p' || doc_id || ',q,r' when 1 then 'p' || doc_id || ',r' else 'q' end as by_number, case doc_id % 3 when 0 then 'p' || doc_id || ',q,r' when 1 then 'p' || doc_id else '' end as until_gap from documents""")
+@query(r"""with w as (select doc_id, list_filter(list_transform(range(1, 13), lambda i: {'n': i - 1, 'p': string_split(substring(replace(text, chr(10), ' '), 1, 200), ' ')[i]}), lambda x: length(x.p) > 3 and regexp_matches(x.p, '^[A-Za-z]+$')) as f from documents where text is not null)
+  select doc_id, array_to_string(list_transform(f, lambda x: x.p), ',') as by_number, array_to_string(list_transform(list_filter(list_transform(range(1, len(f) + 1), lambda i: {'i': i - 1, 'x': f[i]}), lambda y: y.x.n = y.i), lambda y: y.x.p), ',') as until_gap from w""")
 def pdf_path_dialects(spark, d):
-    """All paths by number, and only those up to the first gap."""
-    i = F.col("doc_id").cast("string")
-    block = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("pdf_2_path: 'r'\npdf_0_path: p"), i, F.lit('\npdf_1_path: "q"'))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("pdf_2_path: r\npdf_0_path:  p"), i)).otherwise(F.lit("pdf_1_path: q"))
+    """Paths of the lines pdf_N_path, N the place of a longer word of the text: all by number, and only those up to the first gap. The lines stand in reverse order."""
+    docs = table(spark, d, "documents").where("text is not null")
+    words = F.slice(F.split(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 200), " "), 1, 12)
+    numbered = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (F.length(x["w"]) > 3) & x["w"].rlike("^[A-Za-z]+$"))
+    block = F.array_join(F.reverse(F.transform(numbered, lambda x: F.concat(F.lit("pdf_"), x["i"].cast("string"), F.when(x["i"] % 2 == 0, "_path: '").otherwise("_path:  "), x["w"], F.when(x["i"] % 2 == 0, "'").otherwise("")))), "\n")
     found = notes.pdf_paths(block)
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(found, lambda x: x["p"]), ",").alias("by_number"), F.array_join(notes.paths_until_gap(found), ",").alias("until_gap"))
+    return docs.select("doc_id", F.array_join(F.transform(found, lambda x: x["p"]), ",").alias("by_number"), F.array_join(notes.paths_until_gap(found), ",").alias("until_gap"))
 
 
 @query("""with p as (select l_orderkey, l_linenumber, lpad(l_orderkey::varchar, 8, '0') as k, case l_linenumber % 3 when 0 then 'storage:f' || l_partkey || '.pdf' when 1 then 'attachments:sub/f.pdf' else '/abs/storage/ABCD1234/g.pdf' end as path from lineitem)
@@ -90,18 +108,24 @@ def path_schemes(spark, d):
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.min("full").alias("least"), F.count_distinct("key").alias("keys"))
 
 
-@query("""select event_type, count(*) as n, case event_type when 'view' then '' when 'click' then 'tag_prefill' when 'purchase' then 'tag_prefill,index_note' else 'index_note' end as actions from events group by event_type""")
+@query("""with c as (select user_id, [coalesce(arg_min(event_type, event_id), ''), coalesce(arg_max(event_type, event_id), ''), case when max(value) > 90 then 'purchase' else 'view' end] as l from events group by user_id),
+  m as (select user_id, list_transform(l, lambda t: case t when 'view' then 'index_note' when 'click' then 'tag_prefill' when 'purchase' then 'index_note' when 'error' then 'none' when 'signup' then 'tag_prefill' else 'other' end) as a from c)
+  select user_id, case when list_contains(a, 'none') then '' else a[1] || case when a[2] <> a[1] then ',' || a[2] else '' end || case when a[3] <> a[1] and a[3] <> a[2] then ',' || a[3] else '' end end as actions from m""")
 def action_lists(spark, d):
-    raw = F.when(F.col("event_type") == "view", "index, none").when(F.col("event_type") == "click", "tag-prefill tag_prefill").when(F.col("event_type") == "purchase", "Tag-Prefill, index").otherwise("index")
-    listed = notes.actions(raw, {"tag_prefill": "tag_prefill", "index": "index_note", "index_note": "index_note"}, ["tag_prefill"])
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("actions", F.array_join(listed, ","))
+    """A user's first, last and kind of dearest event as a list of actions: dashes, commas, spaces and repeats; an error cancels all."""
+    by = table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first"), F.max_by("event_type", "event_id").alias("last"), F.max("value").alias("top"))
+    raw = F.concat(F.upper("first"), F.lit(", "), F.col("last"), F.lit("  "), F.when(F.col("top") > 90, "purchase").otherwise("view"))
+    listed = notes.actions(raw, {"view": "index_note", "purchase": "index_note", "click": "tag_prefill", "signup": "tag_prefill", "error": "none", "none": "none"}, ["tag_prefill"])
+    return by.select("user_id", F.array_join(listed, ",").alias("actions"))
 
 
-@query("""select p_brand, count(*) as n, case when p_brand like '%1' then 'P' when p_brand like '%2' then 'F' when p_brand like '%3' then 'F' when p_brand like '%4' then 'P' else 'gpt-' || p_brand end as model from part group by p_brand""")
+@query("""with n as (select p_partkey, case when p_name like '%widget' then 'gemini-' || p_type when p_name like '%ring' then '' when p_size < 10 then lower(substring(p_type, 1, 3)) else p_name end as asked from part)
+  select p_partkey, case when asked = '' then 'F' when lower(asked) like '%gemini%' and lower(asked) like '%pro%' then 'P' when lower(asked) like '%gemini%' and lower(asked) like '%flash%' then 'F' when lower(asked) = 'pro' then 'P' when lower(asked) in ('flash', 'mini', 'haiku') then 'F' else asked end as model from n""")
 def model_names(spark, d):
-    b = F.col("p_brand")
-    asked = F.when(b.endswith("1"), "gemini-2.5-pro").when(b.endswith("2"), "Gemini-flash").when(b.endswith("3"), F.lit(None).cast("string")).when(b.endswith("4"), "PRO").otherwise(F.concat(F.lit("gpt-"), b))
-    return table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).withColumn("model", notes.model_name(asked, "F", "P"))
+    """Names and types of parts as names of models: tiers are found by their words, other names stay."""
+    name = F.col("p_name")
+    asked = F.when(name.endswith("widget"), F.concat(F.lit("gemini-"), "p_type")).when(name.endswith("ring"), "").when(F.col("p_size") < 10, F.lower(F.substring("p_type", 1, 3))).otherwise(name)
+    return table(spark, d, "part").select("p_partkey", notes.model_name(asked, "F", "P").alias("model"))
 
 
 @query("""with m as (select source, case when doc_id % 7 = 0 then 'é' else '' end || 'n' || doc_id || '.md' as name, n_chars as mtime from documents),
@@ -171,14 +195,14 @@ def enum_template_difference(spark, d):
     return a.join(b, "value", "full").where("_a is null or _b is null").select("value", F.col("_a").isNotNull().alias("in_enum"))
 
 
-@query(f"""with h as (select q, vec_id, row_number() over (partition by q order by distance, vec_id) as rank from (select q, vec_id, {_COS.format(a="embedding", b="v")} as distance from embeddings, (select vec_id as q, embedding as v from embeddings where vec_id < 4)))
+@query(f"""with h as (select q, label, vec_id, row_number() over (partition by q order by distance, vec_id) as rank from (select q, label, vec_id, {_COS.format(a="embedding", b="v")} as distance from embeddings, (select vec_id as q, embedding as v, label from embeddings where vec_id % 100 = 0) asked (q, v, label_q)))
   select vec_id, min(rank)::int as best_rank, count(*) as angles, string_agg(q::varchar, ',' order by q) as runs from h where rank <= 10 group by vec_id""")
 def angle_pool(spark, d):
-    """Several angles of one question: their hits in one pool, each with its best rank and the runs that found it."""
+    """Every hundredth vector as an angle: the hits of all in one pool, each with its best rank and the angles that found it."""
     rows = table(spark, d, "embeddings")
-    asked = rows.where("vec_id < 4").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    scored = rows.join(F.broadcast(asked)).select("q", "vec_id", search.cosine_distance(F.col("embedding"), F.col("v")).alias("distance"))
-    hits = search.ranked(scored, "q", [F.col("distance"), F.col("vec_id")], 10)
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    score = lambda pairs: pairs.select("q", "vec_id", search.cosine_distance(F.col("embedding"), F.col("v")).alias("distance"))
+    hits = search.against_all(rows, asked, "q", score, 10, [F.col("distance"), F.col("vec_id")])
     return hits.groupBy("vec_id").agg(F.min("rank").alias("best_rank"), F.count("*").alias("angles"), F.array_join(F.array_sort(F.collect_set("q")), ",").alias("runs"))
 
 
@@ -232,11 +256,11 @@ def duplicate_ledger_lines(spark, d):
     return table(spark, d, "documents").groupBy(F.md5("text").alias("value")).agg(F.count("*").alias("n_lines")).where("n_lines > 1")
 
 
-@query("""select doc_id, case when doc_id % 5 = 0 then '' when doc_id % 5 = 1 then 'second' else 'first' end as effective from documents""")
+@query("""select doc_id, substring(case when trim(split_part(text, '.', 2), ' ' || chr(10)) = '' then text else trim(split_part(text, '.', 2), ' ' || chr(10)) end, 1, 40) as effective from documents where text <> ''""")
 def effective_query(spark, d):
-    """A second query overrides the first, an empty one does not."""
-    first, second = F.when(F.col("doc_id") % 5 == 0, "").otherwise("first"), F.when(F.col("doc_id") % 5 == 1, "second").otherwise("")
-    return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(second, F.lit("")), first).alias("effective"))
+    """The second sentence of a text overrides the first, an empty one does not."""
+    second = F.regexp_replace(F.split_part("text", F.lit("."), F.lit(2)), "^[ \n]+|[ \n]+$", "")
+    return table(spark, d, "documents").where("text <> ''").select("doc_id", F.substring(F.coalesce(F.nullif(second, F.lit("")), F.col("text")), 1, 40).alias("effective"))
 
 
 @query(f"""with t as (select doc_id, {_TOKENS} as t from documents), b as (select item_id, list_distinct({_TOKENS}) as q from benchmark),
@@ -245,7 +269,7 @@ def effective_query(spark, d):
 def evidence_token_overlap(spark, d):
     """Documents that hold nine tenths of a quote's tokens, by an inverted index of the quotes' tokens alone."""
     quotes = table(spark, d, "benchmark").select("item_id", F.array_distinct(search.tokens(F.col("text"))).alias("q"))
-    terms = F.broadcast(quotes.select("item_id", F.size("q").alias("n"), F.explode("q").alias("w")))
+    terms = quotes.select("item_id", F.size("q").alias("n"), F.explode("q").alias("w"))
     words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("w"))
     shared = words.join(terms, "w").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("both"))
     return shared.where("both >= 0.9 * n").select("item_id", "doc_id", F.round(F.col("both") / F.col("n"), 4).alias("overlap"))
@@ -262,7 +286,11 @@ def first_pages(spark, d):
     return table(spark, d, "conversations").where("turn < 3").groupBy("conv_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query("""select doc_id, not (regexp_matches(p, '^([A-Za-z]:)?[\\\\/]') or regexp_matches(p, '(^|[\\\\/])\\.\\.([\\\\/]|$)')) as safe from (select doc_id, case doc_id % 5 when 0 then '/a' when 1 then 'a/../b' when 2 then 'a..b/c' when 3 then '..' else 'a/b' end as p from documents)""")
+@query("""select doc_id, not (regexp_matches(p, '^([A-Za-z]:)?[\\\\/]') or regexp_matches(p, '(^|[\\\\/])\\.\\.([\\\\/]|$)')) as safe from
+  (select doc_id, replace(replace(replace(replace(substring(text, 1, 60), '.', '/..'), ' ', '/'), ',', '..'), chr(10), chr(92)) as p from documents)""")
 def artifact_paths(spark, d):
-    p = F.element_at(F.array(*[F.lit(x) for x in ("/a", "a/../b", "a..b/c", "..", "a/b")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    """Paths cut from texts: words are folders, commas and full stops become dots, line breaks backslashes."""
+    p = F.substring("text", 1, 60)
+    for old, new in ((".", "/.."), (" ", "/"), (",", ".."), ("\n", "\\")):
+        p = F.replace(p, F.lit(old), F.lit(new))
     return table(spark, d, "documents").select("doc_id", (~(p.rlike(r"^([A-Za-z]:)?[\\/]") | p.rlike(r"(^|[\\/])\.\.([\\/]|$)"))).alias("safe"))

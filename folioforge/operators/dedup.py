@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def keep_first(rows: DataFrame, signature: str, order: str) -> DataFrame:
-    """One row of each signature, that of the smallest `order`. An aggregate, so copies meet before the shuffle and not after."""
-    first = rows.groupBy(signature).agg(F.min(order).alias(order), F.count("*").alias("copies"))
-    return rows.drop(signature).join(first, order)
+    """One row of each signature, the first by `order` and then by the other columns, with the number of copies. One aggregate, so copies meet before
+    the shuffle and not after, and ties give one row."""
+    others = [c for c in rows.columns if c not in (signature, order)]
+    return rows.groupBy(signature).agg(F.min(F.struct(order, *others)).alias("_row"), F.count("*").alias("copies")).select("_row.*", "copies")
 
 
 def priority_lookup(groups: DataFrame, key: str, sources: list[tuple[str, DataFrame, str]]) -> DataFrame:

@@ -48,19 +48,25 @@ def first_gain(hits: DataFrame, query: str, evidence: str) -> DataFrame:
     return hits.withColumn("gain", F.when(F.row_number().over(w) == 1, 1).otherwise(0))
 
 
-def bootstrap_interval(scores: DataFrame, cluster: str, difference: str, samples: int = 1000, seed: int = 7) -> DataFrame:
-    """(low, mean, high): the 95 % interval of a mean difference, clusters resampled with Poisson(1) weights drawn from a hash.
+def bootstrap_interval(pairs: DataFrame, cluster: str, a: str, b: str, samples: int = 1000, seed: int = 7) -> DataFrame:
+    """(low, mean, high): the 95 % interval of the mean of the paired difference a - b, clusters resampled with Poisson(1) weights drawn from a hash.
 
     Weights depend on (cluster, sample) alone, so every row gets its own without a shuffle; each sample is one row after the partial sums.
     """
-    sums = scores.groupBy(cluster).agg(F.sum(difference).alias("s"), F.count("*").alias("n"))
+    sums = pairs.groupBy(cluster).agg(F.sum(F.col(a) - F.col(b)).alias("s"), F.count("*").alias("n"))
     drawn = sums.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = F.pmod(F.xxhash64(cluster, "sample", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    digest = F.md5(F.concat_ws("|", F.col(cluster).cast("string"), F.col("sample").cast("string"), F.lit(str(seed))))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    weight = sum(F.when(u >= e, 1).otherwise(0) for e in poisson_edges())
+    means = drawn.groupBy("sample").agg((F.sum(weight * F.col("s")) / F.nullif(F.sum(weight * F.col("n")), F.lit(0))).alias("m"))
+    return means.agg(F.percentile("m", 0.025).alias("low"), F.avg("m").alias("mean"), F.percentile("m", 0.975).alias("high"))
+
+
+def poisson_edges(most: int = 6) -> list[float]:
+    """P(X <= k) of a Poisson variable of mean 1."""
     edges, term, total = [], 0.36787944117144233, 0.0
-    for k in range(6):
+    for k in range(most):
         total += term
         edges.append(total)
         term /= k + 1
-    weight = sum(F.when(u >= e, 1).otherwise(0) for e in edges)
-    means = drawn.groupBy("sample").agg((F.sum(weight * F.col("s")) / F.nullif(F.sum(weight * F.col("n")), F.lit(0))).alias("m"))
-    return means.agg(F.percentile("m", 0.025).alias("low"), F.avg("m").alias("mean"), F.percentile("m", 0.975).alias("high"))
+    return edges

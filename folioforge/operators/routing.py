@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 LARGE_TYPES = ("textbook", "phd-dissertation", "review", "perspective", "commentary")
 
 
-def route(primary_pages: Column, total_pages: Column, kind: Column, review_like: Column, small: str = "flash", large: str = "pro", primary_least: int = 30, total_least: int = 60) -> tuple[Column, Column]:
+def route(primary_pages: Column, total_pages: Column, kind: Column, review_like: Column, multichapter: Column | None = None, override: Column | None = None, small: str = "flash", large: str = "pro", primary_least: int = 30, total_least: int = 60) -> tuple[Column, Column]:
     """(model, reason): the first rule that holds decides."""
     rules = [
         (primary_pages >= primary_least, F.lit(f"primary_pdf_pages >= {primary_least}")),
         (total_pages >= total_least, F.lit(f"total_pdf_pages >= {total_least}")),
         (kind.isin(*LARGE_TYPES), F.concat(F.lit("document_type="), kind)),
         (review_like, F.lit("is_review_like=true")),
+        (F.lit(False) if multichapter is None else multichapter, F.lit("is_multichapter_thesis=true")),
     ]
     reason = F.lit("default flash route")
     for holds, why in reversed(rules):
         reason = F.when(holds, why).otherwise(reason)
-    return F.when(reason == "default flash route", small).otherwise(large), reason
+    model = F.when(reason == "default flash route", small).otherwise(large)
+    if override is None:
+        return model, reason
+    given = F.coalesce(override, F.lit("")) != ""
+    return F.when(given, override).otherwise(model), F.when(given, "manual override (--model)").otherwise(reason)
 
 
 def fallback(high: Column, medium: Column, low: Column, template: Column, domain: Column, scope: Column, signal: Column) -> Column:

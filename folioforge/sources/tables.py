@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,11 +12,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session of one machine (tests) may do without and gets a temporary one."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the shared folder, for rows that several parts of a plan read."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+#: Folders of a vault that hold no live notes, by prefix of the relative path and by part of it.
+EXCLUDED_PREFIXES = tuple(f"progress/{x}/" for x in ("gate_backups", "gate_reports", "version_snapshots", "schema_migration", "taxonomy_discovery", "pipeline_logs", "pipeline_reports"))
+EXCLUDED_PARTS = (".claude", ".obsidian", "__pycache__", ".stfolder")
+
+
+def live_note(relative: Column) -> Column:
+    """Whether a path relative to the vault's root is that of a live note."""
+    parts = F.split(relative, "/")
+    hidden = F.exists(parts, lambda p: p.isin(*EXCLUDED_PARTS) | p.startswith(".tmp"))
+    prefixed = F.lit(False)
+    for x in EXCLUDED_PREFIXES:
+        prefixed = prefixed | relative.startswith(x)
+    return ~prefixed & ~hidden
+
+
 def notes(spark: SparkSession, root: str, recursive: bool = True, suffix: str = "_review_note.md") -> DataFrame:
-    """(path, content) of Markdown notes below root, without work folders and hidden temporary ones."""
+    """(path, content) of the live Markdown notes below root."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=f"*{suffix}")
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    return rows.where(~F.col("path").rlike(r"/(\.tmp[^/]*|\.git|node_modules|__pycache__)/"))
+    below = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
+    return rows.where(live_note(F.regexp_replace(below, "^\\Q" + root.removeprefix("file:").rstrip("/") + "\\E/", "")))
 
 
 def ledger_set(lines: DataFrame, column: str = "value") -> DataFrame:

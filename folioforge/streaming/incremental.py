@@ -9,17 +9,21 @@ from ..functions.text import chunk_rows
 
 
 def incremental_chunks(spark: SparkSession, source: str, schema, out: str, checkpoint: str) -> DataFrame:
-    """Runs over all that is there and not yet done (availableNow), appends the chunks to out and returns them.
+    """Runs over all that is there and not yet done (availableNow) and returns the chunks of each path's newest version.
 
-    The stream's checkpoint is the ledger of what is done; a batch that is run again overwrites its own folder.
+    The stream's checkpoint is the ledger of what is done; a batch that is run again overwrites its own folders. A path that comes again replaces what an
+    earlier batch had of it, even if no chunk is left of it.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        chunk_rows(batch.select("doc_id", "text")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows = batch.select("doc_id", "text")
+        chunk_rows(rows).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+        rows.select("doc_id").distinct().write.mode("overwrite").parquet(f"{out}/paths/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    newest = spark.read.parquet(f"{out}/paths").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/chunks").join(newest, ["doc_id", "batch"]).drop("batch")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:

@@ -112,7 +112,7 @@ def test_metrics(spark):
     relevant = spark.createDataFrame([(1, 2), (2, 1)], "q long, n_relevant long")
     got = {r.q: r for r in evaluation.retrieval_metrics(hits, relevant, "q").collect()}
     assert (got[1].recall, got[1].mrr, got[1].judged, got[2].mrr) == (0.5, 0.5, 2, 0.0)
-    low, mean, high = evaluation.bootstrap_interval(spark.range(50).select(F.col("id").alias("c"), (F.col("id") % 3 + 1.0).alias("d")), "c", "d", samples=300).first()
+    low, mean, high = evaluation.bootstrap_interval(spark.range(50).select(F.col("id").alias("c"), (F.col("id") % 3 + 2.0).alias("a"), F.lit(1.0).alias("b")), "c", "a", "b", samples=300).first()
     assert low < mean < high and abs(mean - 1.98) < 0.1
 
 
@@ -138,3 +138,26 @@ def test_containing(spark):
     quotes = spark.createDataFrame([(1, "one two three\nfour"), (2, "one two three four"), (3, "two"), (4, None), (5, "ne two three\nfour fi")], "item_id long, text string")
     got = {tuple(r) for r in search.containing(docs, quotes, "doc_id", "item_id").collect()}
     assert got == {(1, 1), (5, 1), (2, 6), (3, 1), (3, 2), (3, 3), (3, 6)}
+
+
+def test_a_path_that_comes_again_replaces_its_chunks(spark, tmp_path):
+    from folioforge.streaming.incremental import incremental_chunks
+
+    first = spark.createDataFrame([(1, "a" * 900), (2, "b" * 900), (3, "c" * 900)], "doc_id long, text string")
+    first.write.parquet(str(tmp_path / "in/one.parquet"))
+    run = lambda: {r.doc_id: r.n for r in incremental_chunks(spark, str(tmp_path / "in/*.parquet"), first.schema, str(tmp_path / "out"), str(tmp_path / "ledger")).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert run() == {1: 2, 2: 2, 3: 2}
+    spark.createDataFrame([(2, "b" * 300), (3, "short"), (4, "d" * 1700)], first.schema).write.parquet(str(tmp_path / "in/two.parquet"))
+    assert run() == {1: 2, 2: 1, 4: 3} == run()
+
+
+def test_live_notes(spark):
+    from folioforge.sources.tables import live_note
+
+    paths = ["a_review_note.md", "progress/x.md", "progress/gate_reports/x.md", ".claude/a.md", "b/.tmpfile/c.md", "b/.obsidian/c.md", "b/c.md", "x/progress/gate_reports/y.md"]
+    assert [r.live for r in spark.createDataFrame([(p,) for p in paths], "p string").select(live_note(F.col("p")).alias("live")).collect()] == [True, True, False, False, False, False, True, True]
+
+
+def test_keep_first_with_ties(spark):
+    rows = spark.createDataFrame([("s", 1, "b"), ("s", 1, "a"), ("t", 1, "c")], "sig string, at long, x string")
+    assert sorted(map(tuple, dedup.keep_first(rows, "sig", "at").collect())) == [(1, "a", 2), (1, "c", 1)]
