@@ -24,6 +24,27 @@ def chunk_rows(documents: DataFrame, text: str = "text", size: int = 800, step:
     return rows.withColumn("chunk", F.substring(at, F.col("chunk_start") + 1, F.lit(size))).drop(text)
 
 
+def packed_chunks(documents: DataFrame, text: str = "text", size: int = 800) -> DataFrame:
+    """Whole paragraphs packed into chunks of at most `size` characters (a longer paragraph is a chunk of its own): chunk_index, chunk. Blank lines are left out.
+
+    A fold over the paragraphs' lengths numbers their chunks; it holds two numbers and the list, so the paragraphs themselves are touched once.
+    """
+    paragraphs = F.filter(F.split(F.col(text), "\n"), lambda p: F.length(p) > 0)
+    first = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("of"))
+
+    def place(acc, p):
+        n = F.length(p)
+        fits = (acc["i"] >= 0) & (acc["held"] + 1 + n <= size)
+        i = F.when(fits, acc["i"]).otherwise(acc["i"] + 1)
+        return F.struct(i.alias("i"), F.when(fits, acc["held"] + 1 + n).otherwise(n).alias("held"), F.concat(acc["of"], F.array(i)).alias("of"))
+
+    rows = documents.withColumn("_p", paragraphs).withColumn("_of", F.aggregate("_p", first, place)["of"])
+    parts = rows.select(*[c for c in documents.columns if c != text], F.posexplode(F.arrays_zip(F.col("_of").alias("of"), F.col("_p").alias("p"))).alias("at", "x"))
+    keys = [c for c in documents.columns if c != text]
+    packed = parts.groupBy(*keys, F.col("x.of").alias("chunk_index")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("x.p").alias("p")))).alias("l"))
+    return packed.select(*keys, "chunk_index", F.array_join(F.transform("l", lambda x: x["p"]), "\n").alias("chunk"))
+
+
 def without_references(text: Column) -> Column:
     """The text up to the last of the non-overlapping headings (the whole text without one)."""
     matches, parts = F.regexp_extract_all(text, F.lit(HEADING), 0), F.split(text, HEADING, -1)

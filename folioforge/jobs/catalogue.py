@@ -401,7 +401,7 @@ def session_runs(spark, d):
 
 def pending_runs(spark, d):
     events = table(spark, d, "events")
-    filled = events.where("event_type = 'purchase'").select("user_id").distinct()
+    filled = events.where("event_type = 'purchase' and value > 120").select("user_id").distinct()
     newest = events.join(filled, "user_id", "left_anti").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("newest"))
     return newest
 

@@ -144,7 +144,7 @@ SQL = {
     "public_hits": f"select 'paper-' || vec_id as paper_id, rank, round(1 - distance, 4) as score from ({_topk(_COS, 5, 0)})",
     "query_log_idempotent": "select month, count(*) as n_logs, min(event_id) as first_event from (select user_id, event_type, strftime(ts, '%Y-%m') as month, min(event_id) as event_id from events group by all) group by month",
     "session_runs": "select conv_id, count(*) as n_turns, count(*) filter (role = 'user') as n_user, arg_max(role, turn) as last_role from conversations group by conv_id",
-    "pending_runs": "select user_id, arg_max(event_id, (ts, event_id)) as newest from events where user_id not in (select user_id from events where event_type = 'purchase') group by user_id",
+    "pending_runs": "select user_id, arg_max(event_id, (ts, event_id)) as newest from events where user_id not in (select user_id from events where event_type = 'purchase' and value > 120) group by user_id",
     "archive_rollup": "select user_id, count(*) as n, round(sum(value), 2) as total, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as latest from events group by user_id",
     "index_status": "select count(*) as n_rows, min(len(embedding))::int as min_dim, max(len(embedding))::int as max_dim, count(*) filter (len(embedding) <> 64) as n_wrong, coalesce(min(len(embedding)) = 64, false) as ready from embeddings",
     "stream_incremental_index": f"select doc_id, count(*) as n_chunks from ({_chunks()}) group by doc_id",

@@ -152,9 +152,9 @@ def preflight_sums(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.min_by(pages, "doc_id").alias("primary_pages"), F.sum(pages).alias("total_pages"), F.sum(size).alias("total_bytes"), F.min_by(size, "doc_id").alias("primary_bytes"))
 
 
-@query("""select user_id, latest, n from (select user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as latest, count(*) as n from events group by user_id having max(ts) <= timestamp '2024-01-20') order by latest, user_id limit 20""")
+@query("""select user_id, latest, n from (select user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as latest, count(*) as n from events group by user_id having max(ts) <= timestamp '2024-01-30') order by latest, user_id limit 20""")
 def archives_oldest_first(spark, d):
-    by = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("at"), F.count("*").alias("n")).where("at <= timestamp '2024-01-20'")
+    by = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("at"), F.count("*").alias("n")).where("at <= timestamp '2024-01-30'")
     return by.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("latest"), "n").orderBy("latest", "user_id").limit(20)
 
 
@@ -171,10 +171,10 @@ def quote_hash_check(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.sha2("text", 256).alias("quote_hash"), (F.sha2("text", 256) == claimed).alias("holds"))
 
 
-@query("""select user_id from (select user_id, list_sort(list_distinct(list(event_type))) as a, list_sort(list_distinct(list(event_type) filter (event_id % 3 <> 0))) as b from events group by user_id) where a is distinct from b""")
+@query("""select user_id from (select user_id, list_sort(list_distinct(list(event_type))) as a, list_sort(list_distinct(list(event_type) filter (value > 90))) as b from events group by user_id) where a is distinct from b""")
 def claim_set_mismatch(spark, d):
     """Users whose two sets of types differ: the check of expected claims on both sides of a key."""
-    by = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("a"), F.array_sort(F.collect_set(F.when(F.col("event_id") % 3 != 0, F.col("event_type")))).alias("b"))
+    by = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("a"), F.array_sort(F.collect_set(F.when(F.col("value") > 90, F.col("event_type")))).alias("b"))
     return by.where("a <> b").select("user_id")
 
 

@@ -1,7 +1,7 @@
 import pytest
 from oracle import compare, connect
 
-from folioforge.jobs import catalogue, catalogue_sql, notes_catalogue
+from folioforge.jobs import catalogue, catalogue_sql, library_catalogue, notes_catalogue  # noqa: F401
 
 QUERIES = catalogue.queries() | notes_catalogue.Q
 SQL = catalogue_sql.SQL | notes_catalogue.SQL

@@ -161,3 +161,42 @@ def test_live_notes(spark):
 def test_keep_first_with_ties(spark):
     rows = spark.createDataFrame([("s", 1, "b"), ("s", 1, "a"), ("t", 1, "c")], "sig string, at long, x string")
     assert sorted(map(tuple, dedup.keep_first(rows, "sig", "at").collect())) == [(1, "a", 2), (1, "c", 1)]
+
+
+def test_paragraphs_are_packed_as_by_a_loop(spark):
+    from folioforge.functions.text import packed_chunks
+
+    texts = ["a" * 500 + "\n" + "b" * 299 + "\n\n" + "c" * 10 + "\n" + "d" * 900 + "\ne", "", "\n\n", "x\n" * 600, None]
+    got = {}
+    for r in packed_chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.chunk_index] = r.chunk
+    for i, t in enumerate(texts):
+        want = []
+        for p in (t or "").split("\n"):
+            if p and want and len(want[-1]) + 1 + len(p) <= 800:
+                want[-1] += "\n" + p
+            elif p:
+                want.append(p)
+        assert [got.get(i, {})[k] for k in range(len(want))] == want and len(got.get(i, {})) == len(want)
+
+
+def test_one_line_abstracts(spark):
+    from folioforge.functions.notes import one_line_abstract
+
+    cases = {
+        "Abstract:\n\nThe first line\r\nand the next\n, then more.": "The first line and the next, then more.", "a well-\nknown case": "a well-known case", "Reduction of CO\n2\nto fuel": "Reduction of CO2 to fuel", "CO 2 and Na + ions at 5 cm -2": "CO2 and Na + ions at 5 cm-2",
+        "C - C bonds ( as shown ) .": "C-C bonds (as shown).", "ends.,  Next": "ends. Next", "": "", "no change": "no change", "wide\u00a0 \u2009 space": "wide space",
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", one_line_abstract(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in got} == cases
+
+
+def test_hash_migration_and_requests(spark):
+    from folioforge.operators import library
+
+    rows = [("a", None, None, "l", "s", 3, 0), ("b", "x", None, "l", "s", 1, 0), ("c", "x", "l", "l", "s", 2, 1), ("d", "x", "l", "l", "s", 2, 0), ("e", "x", "s", "l", "s", 2, 0), ("f", "x", None, "l", "s", 2, 0)]
+    told = library.hash_migration(spark.createDataFrame(rows, "note_id string, block string, current string, legacy string, stable string, n_paths int, n_missing int")).collect()
+    assert [r.status for r in told] == ["skipped_no_frontmatter", "skipped_single_pdf", "skipped_missing_pdf", "changed", "already_stable", "changed"]
+    assert [r.aliases for r in told] == [None, None, None, ["l", "s"], ["s", "l"], ["l", "s"]]
+    glued = spark.createDataFrame([("a" * 64 + "b" * 64,), (" " + "c" * 64,), ("",)], "value string")
+    assert sorted(r.value[0] for r in library.ledger_append(glued, spark.createDataFrame([("a" * 64,), ("d" * 64,)], "value string")).collect()) == ["a", "b", "c", "d"]
