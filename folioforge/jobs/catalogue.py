@@ -197,10 +197,9 @@ def topk_per_query(spark, d):
 
 def hash_embed_topk(spark, d):
     """All items against all documents."""
-    docs = search.hash_vectors(table(spark, d, "documents"), "doc_id", "text").withColumn("norm", F.sqrt(search.dot(F.col("vector"), F.col("vector"))))
-    items = search.hash_vectors(table(spark, d, "benchmark"), "item_id", "text").withColumnRenamed("vector", "asked")
-    score = lambda pairs: pairs.withColumn("dot", search.dot(F.col("vector"), F.col("asked"))).where("dot > 0").select("item_id", "doc_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    return search.against_all(docs, items, "item_id", score, 5, [F.desc("score"), F.col("doc_id")]).select("item_id", "doc_id", "rank", "score")
+    docs = search.hash_vectors(table(spark, d, "documents"), "doc_id", "text")
+    items = search.hash_vectors(table(spark, d, "benchmark"), "item_id", "text")
+    return search.dense_top_k(docs, "doc_id", items, "item_id", 5).select("item_id", "doc_id", "rank", "score")
 
 
 def context_stitch(spark, d):

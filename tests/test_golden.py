@@ -200,3 +200,23 @@ def test_hash_migration_and_requests(spark):
     assert [r.aliases for r in told] == [None, None, None, ["l", "s"], ["s", "l"], ["l", "s"]]
     glued = spark.createDataFrame([("a" * 64 + "b" * 64,), (" " + "c" * 64,), ("",)], "value string")
     assert sorted(r.value[0] for r in library.ledger_append(glued, spark.createDataFrame([("a" * 64,), ("d" * 64,)], "value string")).collect()) == ["a", "b", "c", "d"]
+
+
+def test_dense_top_k_keeps_ties_and_blocks(spark):
+    import numpy as np
+
+    from folioforge.operators import search
+
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(0, 3, (300, 6)).astype(float), rng.integers(0, 3, (25, 6)).astype(float)
+    x[0] = q[1] = 0
+    x[0, 0] = 1
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").where("id <> 299").repartition(5)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "q long, vector array<double>")
+    score = np.round(x @ q.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), 6)
+    keep = [i for i in range(299) if x[i].any()]
+    want = {(j, i, n + 1) for j in range(25) for n, i in enumerate([i for i in sorted(keep, key=lambda i: (-score[i, j], i)) if score[i, j] > 0][:4])}
+    index = index.where(F.exists("vector", lambda v: v > 0))
+    for block in (2000, 7):
+        assert {(r.q, r.id, r["rank"]) for r in search.dense_top_k(index, "id", asked, "q", 4, block=block).collect()} == want
+    assert search.dense_top_k(index, "id", asked.limit(0), "q", 4).count() == 0
