@@ -179,15 +179,110 @@ def near_duplicates(documents: DataFrame, max_bits: int = 4) -> DataFrame:
     return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head").alias("component_id"))
 
 
-def one_of_each(documents: DataFrame, max_bits: int = 4) -> DataFrame:
-    """The documents with one row of each component of fingerprints: that of the least doc_id, nulls last, then of the least digest of
-    the row. Rows are judged by their own fingerprint, so those without an id or with a repeated one stay if nothing is near them.
+#: Words of 64 bits of a wide fingerprint; its index holds SETS sets of three of its bytes, so 24 bits name a bucket.
+LANES, SETS = 16, 64
 
-    Texts are shuffled once, to meet the digests of the rows that stay.
+
+def wide_fingerprint(text: bytes | None, shingle: int = 5) -> bytes:
+    """1024 bits: each is set if it is in over half of the distinct shingles' hashes, the XXH64 of which is mixed anew for each 64 bits; zero without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return bytes(8 * LANES)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - shingle + 1)
+    view, hash_of = memoryview(joined), xxhash.xxh64_intdigest
+    h = np.unique(np.fromiter([hash_of(view[a:b]) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], np.uint64, n))
+    ones = np.zeros(64 * LANES, np.int64)
+    for k in range(0, len(h), 4096):
+        x = h[k : k + 4096, None] + np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(h)).tobytes()
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of wide fingerprints up to which two texts count as similar: a standard deviation above what shingle sets of that Jaccard similarity differ by."""
+    part = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(64 * LANES * part + (64 * LANES * part * (1 - part)) ** 0.5)
+
+
+def byte_sets(seed: int = 1) -> list[tuple[int, int, int]]:
+    """SETS sets of three byte positions, taken off shuffled positions so that each is used about as often."""
+    rng = np.random.default_rng(seed)
+    deck = np.concatenate([rng.permutation(8 * LANES) for _ in range(-(-3 * SETS // (8 * LANES)))])
+    return [tuple(int(p) for p in deck[3 * i : 3 * i + 3]) for i in range(SETS)]
+
+
+def similar(owners: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b) of owners (node, wide), one row for each wide fingerprint: links between similar ones.
+
+    The inverted index maps sets of positional bytes to nodes, and nodes alone in all their buckets go no further. In a bucket the positional bytes that
+    two share are tallied, pairs far below what similar texts share are dropped, and the bits of the rest are compared. Members of a large bucket are
+    compared with the first that is like none before it, in turn, so a group of near copies costs its size and not its square. Approximate: two texts meet
+    if a set of three bytes is equal in both.
+    """
+    spark = owners.sparkSession
+    importable(spark)
+    limit, octets = most_bits(similarity), 8 * LANES
+    least = octets // 16
+    keys = [f"xxhash64({k}, {', '.join(f'substring(wide, {p + 1}, 1)' for p in c)})" for k, c in enumerate(byte_sets())]
+    spread = owners.selectExpr("node", f"explode(array({', '.join(keys)})) as bucket")
+    sizes = checkpoint(spread.groupBy("bucket").count().where("count > 1"))
+    full = hot_join(spread, sizes, "bucket", F.col("count"), owners.count() * SETS)
+    full = full.withColumn("pieces", F.ceil(F.col("count") / TILE).cast("int")).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("bucket", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "node").join(owners, "node")
+    dealt = dealt.repartition(shuffle_tasks(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = (x == y).sum(axis=-1) >= least
+        ok[ok] = np.bitwise_count(np.ascontiguousarray((x ^ y)[ok]).view(np.uint64)).sum(axis=-1) <= limit
+        return ok
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _whole_groups(frames, 1 << 14):
+            x, node = np.frombuffer(b"".join(f.wide), np.uint8).reshape(-1, octets), f.node.to_numpy()
+            fresh = np.concatenate(([True], (np.diff(f.bucket.to_numpy()) != 0) | (np.diff(f.i.to_numpy()) != 0) | (np.diff(f.j.to_numpy()) != 0)))
+            begin = np.flatnonzero(fresh)
+            size = np.diff(np.append(begin, len(f)))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            two = begin[size == 2]
+            ok = alike(x[two], x[two + 1])
+            a.append(two[ok] + 1)
+            b.append(two[ok])
+            for s, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                left = np.arange(s, s + n)
+                while len(left) > 1:
+                    ok = alike(x[left[1:]], x[left[0]])
+                    a.append(left[1:][ok])
+                    b.append(np.full(int(ok.sum()), left[0]))
+                    left = left[1:][~ok]
+            yield pd.DataFrame({"a": node[np.concatenate(a)], "b": node[np.concatenate(b)]}).drop_duplicates()
+
+    return dealt.mapInPandas(compare, "a long, b long").distinct()
+
+
+def one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents with one row of each group that similar() links: that of the least doc_id, nulls last, then of the least digest of
+    the row. Rows are judged by their own text, so those without an id or with a repeated one stay if nothing is near them; texts without words are one group.
+
+    Similarity is that of the sets of shingles of `shingle` words, as 1024 bits estimate it. Texts are shuffled once, to meet the digests of the rows that stay.
     """
     others = [c for c in documents.columns if c != "text"]
     row = F.sha2(F.concat_ws("\n", F.coalesce(F.sha2("text", 256), F.lit("")), F.to_json(F.struct(*others), {"ignoreNullFields": "false"})), 256)
-    keyed = documents.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", row.alias("digest")))
-    fps = checkpoint(fingerprints(keyed.select(F.col("_row").alias("doc_id"), "text")))
-    kept = _heads(fps, max_bits).select(F.col("head.digest").alias("_digest")).distinct()
+    keyed = documents.select(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", row.alias("digest")).alias("row"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["row", "wide"])
+
+    wide = map_arrow(keyed, run, f"row {keyed.schema['row'].dataType.simpleString()}, wide binary")
+    owners = checkpoint(wide.groupBy("wide").agg(F.min("row").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    parts = connected_components(similar(owners.select("node", "wide"), similarity))
+    named = owners.select("node", "least").join(parts, owners.node == parts.id, "left").select("least", F.coalesce("component", "node").alias("component"))
+    heads = named.groupBy("component").agg(F.min("least").alias("least"))
+    kept = heads.select(F.col("least.digest").alias("_digest")).distinct()
     return documents.withColumn("_digest", row).join(kept, "_digest", "left_semi").dropDuplicates(["_digest"]).select(documents.columns)

@@ -317,6 +317,49 @@ def test_simhash_links(spark, monkeypatch):
     assert {r.id: r.component for r in got.collect()} == {k: v for k, v in want.items() if list(want.values()).count(v) > 1}
 
 
+def jaccard(a, b, n=5):
+    sets = [{" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in ((x or "").lower().split() for x in (a, b))]
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+@pytest.mark.parametrize("tile", [2048, 16])
+def test_similar_texts(spark, monkeypatch, tile):
+    """Pairs by similarity of five-word shingles: caught above 0.85, left alone below 0.7; a large group of near copies leaves one row."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng, rows, close, far = np.random.default_rng(19), [], [], []
+    for k in range(240):
+        w = prose(rng, 200).split()
+        at, n = int(rng.integers(0, 100)), int(rng.integers(2, 60))
+        v = w[:at] + prose(rng, n).split() + w[at + n :]
+        j = jaccard(" ".join(w), " ".join(v))
+        (close if j >= 0.85 else far if j < 0.7 else []).append(k)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    base = prose(rng, 300).split()
+    for k in range(300):
+        w = list(base)
+        w[int(rng.integers(0, 300))] = f"x{k}"
+        rows.append((10_000 + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert all(2 * k in kept for k in range(240)) and len(close) >= 30 and len(far) >= 60
+    assert np.mean([2 * k + 1 not in kept for k in close]) >= 0.9 and np.mean([2 * k + 1 in kept for k in far]) >= 0.98
+    assert {k for k in kept if k >= 10_000} == {10_000}
+
+
+def test_wide_fingerprints():
+    rng = np.random.default_rng(20)
+    w = [f"w{x}" for x in rng.integers(0, 10_000, 3000)]
+    for s in (0.8, 0.9):
+        n = int(3000 * (1 - s) / (1 + s))  # so many shingles differ if a stretch of that length does
+        v = w[:1000] + [f"y{x}" for x in range(n)] + w[1000 + n :]
+        a, b = (int.from_bytes(simhash.wide_fingerprint(" ".join(x).encode())) for x in (w, v))
+        part = float(np.arccos(2 * s / (1 + s)) / np.pi)
+        assert abs((a ^ b).bit_count() - 1024 * part) < 4 * (1024 * part * (1 - part)) ** 0.5
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(b" \n") == bytes(128)
+    sets = simhash.byte_sets()
+    assert len(set(sets)) == simhash.SETS and all(len(set(c)) == 3 for c in sets)
+
+
 def test_personal_data(documents, awkward):
     field = pii.train()
     for docs in both(documents, awkward):
@@ -591,7 +634,14 @@ def test_pipeline(spark, sf, documents):
     rows = corpus_pipeline.run(spark, sf).collect()
     docs = {r.doc_id: r.text for r in documents.collect()}
     live = {d: t for d, t in docs.items() if t and any(c.isalpha() for c in t)}
-    live = {d: live[d] for d, (_, c) in brute.near_duplicates(live.items()).items() if d == c}
+    # Of near copies one stays; what the plain version would keep is kept unless something similar is.
+    stay = {r.doc_id: r.text for r in corpus_pipeline.near_duplicates(spark, documents.where(documents.doc_id.isin(list(live))), sf).collect()}
+    ids = sorted(live)
+    near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if jaccard(live[a], live[b]) >= 0.7]
+    group = brute.components(ids, near)
+    assert all(stay[d] == live[d] for d in stay) and {group[d] for d in ids} == {group[d] for d in stay}
+    assert not any(a in stay and b in stay for a, b in near if jaccard(live[a], live[b]) >= 0.95)
+    live = {d: live[d] for d in stay}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     live = {d: live[d] for d, r in brute.contamination(live.items(), items).items() if not r[4]}
     field = pii.train()
