@@ -36,10 +36,6 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def small_batches(spark: SparkSession) -> None:
-    importable(spark)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only a session of one machine (tests) may do without and gets a temporary one."""
     if at := spark.conf.get("spark.checkpoint.dir", None):

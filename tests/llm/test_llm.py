@@ -42,6 +42,31 @@ def both(documents, awkward):
     return [documents, awkward, documents.limit(0)]
 
 
+def test_rows_without_an_id_or_with_a_repeated_one(spark, documents):
+    """Each row is judged by its own text, whatever its id; one text is over 300 KB."""
+    rng = np.random.default_rng(21)
+    mail = "write to a.b@example.org or +1 (212) 555-0199, token=abcdefgh12 deadbeefdeadbeefdeadbeef00"
+    texts = [prose(rng, 30), prose(rng, 40_000) + " " + mail, mail, None, "", prose(rng, 30) + " " + mail]
+    ids = [None, 7, 7, None, 7, 3]
+    docs = spark.createDataFrame([(i, t, "s", "x") for i, t in zip(ids, texts)], "doc_id long, text string, source string, rate string").repartition(3)
+    key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    same = lambda got, want: sorted(map(tuple, got), key=key) == sorted(zip(ids, want), key=key)
+    base = [brute.sha(brute.listed(brute.secrets(t))) for t in texts]
+    assert same(secrets.digest(secrets.find_secrets(docs, secrets.markov_table(documents))).select("doc_id", "base_sha256").collect(), base)
+    base = [brute.sha(brute.listed(brute.personal(t))) for t in texts]
+    assert same(pii.digest(pii.find(docs)).select("doc_id", "base_sha256").collect(), base)
+    model = language.train(documents)
+    alone = {t: r.lang_pred for t, r in zip(texts, language.predict(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), model).orderBy("doc_id").collect())}
+    assert same(language.predict(docs, model).select("doc_id", "lang_pred").collect(), [alone[t] for t in texts]) and alone[None] == alone[""] == "und"
+    item = spark.createDataFrame([(1, " ".join(texts[0].split()[3:20]))], "item_id long, text string")
+    hit = [r[1] for _, r in sorted(brute.contamination(list(enumerate(texts)), [tuple(x) for x in item.collect()]).items())]
+    assert same(decontaminate.digest(decontaminate.contamination(docs, item)).select("doc_id", "n_hit").collect(), hit) and hit[0] == 17
+    prints = [f"{brute.fingerprint(t):016x}" for t in texts]
+    assert same(simhash.near_duplicates(docs).select("doc_id", "fingerprint").collect(), prints)
+    assert same(mixing.shares(docs).select("doc_id", "size").collect(), [len(brute.SPACE.findall(t or "")) for t in texts])
+    assert same([(r.doc_id, r.n_words) for r in substrings.remove(docs).collect()], [len(brute.SPACE.findall(t or "")) for t in texts])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 299)]
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
