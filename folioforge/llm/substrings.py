@@ -237,7 +237,7 @@ def repeated_spans(documents: DataFrame, window: int = 20, gram: int = 5, words_
                 else:
                     least = min(at)
                     index.append((shard, piece, *least, None))
-                    told += [(x % shards, None, d, x, s, s + n) for d, x, s in at if (d, x, s) != least]
+                    told += [(xxhash.xxh64_intdigest(f"{d}:{s}") % shards, None, d, x, s, s + n) for d, x, s in at if (d, x, s) != least]
             for k in range(0, len(index) + len(told), 1 << 16):
                 part = (index + told)[k : k + (1 << 16)] if told else index[k : k + (1 << 16)]
                 types = [pa.int32(), pa.binary(), id_type, pa.int64(), pa.int32(), pa.int32()]
