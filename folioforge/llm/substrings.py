@@ -226,22 +226,23 @@ def repeated_spans(documents: DataFrame, window: int = 20, gram: int = 5, words_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hot = sent.value
         mask = np.uint64(bits - 1)
-        where: dict[bytes, tuple[int, int, set]] = {}
+        where: dict[bytes, list] = {}  # piece: shard, words, earliest occurrence
+        told: list[tuple] = []
         held, id_type = 0, None
 
+        def rows(part: list[tuple]) -> pa.RecordBatch:
+            types = [pa.int32(), pa.binary(), id_type, pa.int64(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], ["shard", "words", "doc_id", "digest", "start", "end"])
+
         def passed() -> Iterator[pa.RecordBatch]:
-            index, told = [], []
-            for piece, (shard, n, at) in where.items():
-                if len(at) == 1:
-                    index.append((shard, piece, *next(iter(at)), None))
-                else:
-                    least = min(at)
-                    index.append((shard, piece, *least, None))
-                    told += [(xxhash.xxh64_intdigest(f"{d}:{s}") % shards, None, d, x, s, s + n) for d, x, s in at if (d, x, s) != least]
-            for k in range(0, len(index) + len(told), 1 << 16):
-                part = (index + told)[k : k + (1 << 16)] if told else index[k : k + (1 << 16)]
-                types = [pa.int32(), pa.binary(), id_type, pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in enumerate(types)], ["shard", "words", "doc_id", "digest", "start", "end"])
+            part = []
+            for piece, (shard, _, least) in where.items():
+                part.append((shard, piece, *least, None))
+                if len(part) == 1 << 14:
+                    yield rows(part)
+                    part = []
+            if part:
+                yield rows(part)
 
         for b in batches:
             id_type = b.column(0).type
@@ -256,20 +257,25 @@ def repeated_spans(documents: DataFrame, window: int = 20, gram: int = 5, words_
                 start, count, key = start[ok], count[ok], key[ok]
                 alone = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
                 text = w.text[start]
-                rows = zip(w.first[start].tolist(), w.last[start + count + window - 2].tolist(), key.tolist(), alone.tolist(), numbers[text].tolist(), (start - w.begin[text]).tolist(), (count + window - 1).tolist(), strict=True)
-                for s, e, k, x, number, place, n in rows:
-                    piece = joined[s:e]
+                found = zip(w.first[start].tolist(), w.last[start + count + window - 2].tolist(), key.tolist(), alone.tolist(), numbers[text].tolist(), (start - w.begin[text]).tolist(), (count + window - 1).tolist(), strict=True)
+                for s, e, k, x, number, place, n in found:
+                    piece, here = joined[s:e], (docs[number], digests[number], place)
                     if (got := where.get(piece)) is None:
-                        where[piece] = got = ((xxhash.xxh64_intdigest(b" ".join(piece.split())) if x else k) % shards, n, set())
-                        held += len(piece)
-                    got[2].add((docs[number], digests[number], place))
-                    held += 100
+                        where[piece] = [(xxhash.xxh64_intdigest(b" ".join(piece.split())) if x else k) % shards, n, here]
+                        held += len(piece) + 300
+                    elif here != got[2]:
+                        late, got[2] = max(here, got[2]), min(here, got[2])
+                        told.append((xxhash.xxh64_intdigest(f"{late[0]}:{late[2]}") % shards, None, *late, late[2] + n))
+                if len(told) >= 1 << 14:
+                    yield rows(told)
+                    told = []
             if held > HELD:
                 yield from passed()
                 where.clear()
                 held = 0
-        if where:
-            yield from passed()
+        if told:
+            yield rows(told)
+        yield from passed()
 
     name = kind.simpleString()
     pieces = map_arrow(documents.select("doc_id", "digest", "text"), cut, f"shard int, words binary, doc_id {name}, digest long, start int, end int")
