@@ -197,7 +197,7 @@ def count_anchors(documents: DataFrame, window: int, gram: int) -> DataFrame:
     return map_arrow(documents.select("text"), count, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def repeated_spans(documents: DataFrame, window: int = 20, gram: int = 5, words_a_shard: int = 400_000) -> DataFrame:
+def repeated_spans(documents: DataFrame, window: int = 20, gram: int = 5, words_a_shard: int = 100_000) -> DataFrame:
     """(doc_id, digest, spans): for rows with words to remove, array of (start, end) in words, merged and in order.
 
     documents: (doc_id, digest, text). A word is removed if a window that covers it has a word sequence that also starts earlier: in a smaller doc_id, or earlier
