@@ -181,6 +181,8 @@ def near_duplicates(documents: DataFrame, max_bits: int = 4) -> DataFrame:
 
 #: Words of 64 bits of a wide fingerprint; its index holds SETS sets of three of its bytes, so 24 bits name a bucket.
 LANES, SETS = 16, 64
+#: Members of a bucket of which all pairs are compared at once.
+SMALL = 32
 
 
 def wide_fingerprint(text: bytes | None, shingle: int = 5) -> bytes:
@@ -221,9 +223,9 @@ def similar(owners: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(a, b) of owners (node, wide), one row for each wide fingerprint: links between similar ones.
 
     The inverted index maps sets of positional bytes to nodes, and nodes alone in all their buckets go no further. In a bucket the positional bytes that
-    two share are tallied, pairs far below what similar texts share are dropped, and the bits of the rest are compared. Members of a large bucket are
-    compared with the first that is like none before it, in turn, so a group of near copies costs its size and not its square. Approximate: two texts meet
-    if a set of three bytes is equal in both.
+    two share are tallied, pairs far below what similar texts share are dropped, and the bits of the rest are compared. In a large bucket a member is compared
+    with those that no link joins to it yet, so a group of near copies costs its size and not its square, and what is reachable stays the same. Only links
+    of a forest leave a task. Approximate: two texts meet if a set of three bytes is equal in both.
     """
     spark = owners.sparkSession
     importable(spark)
@@ -248,19 +250,29 @@ def similar(owners: DataFrame, similarity: float = 0.8) -> DataFrame:
             fresh = np.concatenate(([True], (np.diff(f.bucket.to_numpy()) != 0) | (np.diff(f.i.to_numpy()) != 0) | (np.diff(f.j.to_numpy()) != 0)))
             begin = np.flatnonzero(fresh)
             size = np.diff(np.append(begin, len(f)))
+            group, many = np.repeat(np.arange(len(begin)), size), size > SMALL
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            two = begin[size == 2]
-            ok = alike(x[two], x[two + 1])
-            a.append(two[ok] + 1)
-            b.append(two[ok])
-            for s, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                left = np.arange(s, s + n)
-                while len(left) > 1:
-                    ok = alike(x[left[1:]], x[left[0]])
-                    a.append(left[1:][ok])
-                    b.append(np.full(int(ok.sum()), left[0]))
-                    left = left[1:][~ok]
-            yield pd.DataFrame({"a": node[np.concatenate(a)], "b": node[np.concatenate(b)]}).drop_duplicates()
+            live = np.flatnonzero(~many[group])
+            for gap in range(1, SMALL):  # pairs at that distance in the sorted rows
+                live = live[live + gap < len(f)]
+                live = live[group[live] == group[live + gap]]
+                for part in np.array_split(live, len(live) // (1 << 14) + 1):
+                    ok = alike(x[part], x[part + gap])
+                    a.append(part[ok])
+                    b.append(part[ok] + gap)
+            for s, n in zip(begin[many].tolist(), size[many].tolist(), strict=True):
+                label = np.arange(s, s + n)
+                for row in range(n - 1):
+                    rest = np.flatnonzero(label[row + 1 :] != label[row]) + row + 1
+                    hit = rest[alike(x[s + rest], x[s + row])]
+                    a.append(np.full(len(hit), s + row))
+                    b.append(s + hit)
+                    label[np.isin(label, label[hit])] = label[row]
+                    if (label == label[0]).all():
+                        break
+            known = _forest(len(f), np.concatenate(a), np.concatenate(b))
+            own = np.flatnonzero(known != np.arange(len(f)))
+            yield pd.DataFrame({"a": node[own], "b": node[known[own]]}).drop_duplicates()
 
     return dealt.mapInPandas(compare, "a long, b long").distinct()
 

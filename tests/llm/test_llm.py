@@ -371,6 +371,29 @@ def test_similar_texts(spark, monkeypatch, tile):
     assert {k for k in kept if k >= 10_000} == {10_000}
 
 
+@pytest.mark.parametrize("small,tile", [(2, 2048), (32, 2048), (2, 16)])
+def test_wide_links_reach_as_all_pairs_do(spark, monkeypatch, small, tile):
+    """Chains, whose ends are unlike, in large and small buckets: what is reachable equals that by all pairs that share a set of bytes."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng, limit, wides = np.random.default_rng(5), simhash.most_bits(0.8), set()
+    for _ in range(5):
+        x = rng.integers(0, 2, 1024).astype(np.uint8)
+        for _ in range(14):
+            x = x.copy()
+            at = int(rng.integers(0, 800))
+            x[at : at + int(rng.integers(60, 220))] ^= 1
+            wides.add(np.packbits(x).tobytes())
+    wides = sorted(wides)
+    rows = [np.frombuffer(w, np.uint8) for w in wides]
+    meets = lambda a, b: any((a[list(k)] == b[list(k)]).all() for k in simhash.byte_sets())
+    n = len(rows)
+    links = [(i, j) for i in range(n) for j in range(i + 1, n) if int(np.bitwise_count(rows[i] ^ rows[j]).sum()) <= limit and meets(rows[i], rows[j])]
+    want = brute.components(list(range(n)), links)
+    got = components.connected_components(simhash.similar(spark.createDataFrame(list(enumerate(map(bytearray, wides))), "node long, wide binary"), 0.8))
+    assert {r.id: r.component for r in got.collect()} == {k: v for k, v in want.items() if list(want.values()).count(v) > 1}
+
+
 def test_wide_fingerprints():
     rng = np.random.default_rng(20)
     w = [f"w{x}" for x in rng.integers(0, 10_000, 3000)]
