@@ -180,7 +180,7 @@ def near_duplicates(documents: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 #: Words of 64 bits of a wide fingerprint; its index holds SETS sets of three of its bytes, so 24 bits name a bucket.
-LANES, SETS = 16, 64
+LANES, SETS = 16, 128
 #: Members of a bucket of which all pairs are compared at once.
 SMALL = 32
 
