@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, pii, secrets, simhash, substrings, urls, vectors
+from . import align, chat, decontaminate, exact, language, mixing, periods, pii, secrets, simhash, substrings, urls, vectors
 from .common import table
 
 #: The rules of the url query.
@@ -58,10 +58,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.find(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = [op1_secret_scan, op2_language_id, op3_url_filter, op4_decontamination, op5_substring_dedup, op6_simhash_dedup, op7_pii, op8_embedding_dedup, op9_mixing, op10_chat_format]
+    own = [op1_secret_scan, op2_language_id, op3_url_filter, op4_decontamination, op5_substring_dedup, op6_simhash_dedup, op7_pii, op8_embedding_dedup, op9_mixing, op10_chat_format, op11_exact_dedup, op12_periodic_runs, op13_tokenizer_alignment]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -97,6 +109,12 @@ select h.conv_id, (h.pos - 1) // 256 as part, any_value(k.n_turns)::bigint as n_
 from h join kept k using (conv_id) group by h.conv_id, (h.pos - 1) // 256
 """
 
+OP11_SQL = r"""
+with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size, row_number() over w = 1 as kept, text_sha256
+from d window w as (partition by text_sha256 order by doc_id nulls last)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op10_chat_format": OP10_SQL}
+    return {"op3_url_filter": OP3_SQL, "op10_chat_format": OP10_SQL, "op11_exact_dedup": OP11_SQL}
