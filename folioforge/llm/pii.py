@@ -6,8 +6,10 @@ The field is trained here from a small labelled table and decoded by Viterbi ove
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -205,7 +207,7 @@ def shape(word: str) -> str:
             return "x"
         if word[0].isupper() and word[1:].islower():
             return "Xx"
-    signs = "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:40])
+    signs = "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
     return re.sub(r"d+", lambda m: f"d{min(5, len(m[0]))}", re.sub(r"([Xx])\1*", r"\1", signs))
 
 
@@ -438,6 +440,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def clear_of(base: list[tuple[int, int, str]], more: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans of more that overlap none of base: a span is met if of the base spans that start before its end one reaches beyond its start. Each is looked up in the sorted base spans."""
+    own = sorted(base)
+    starts, reach = [s for s, _, _ in own], [0, *accumulate((e for _, e, _ in own), max)]
+    return [m for m in more if reach[bisect_left(starts, m[1])] <= m[0]]
+
+
 SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
@@ -456,7 +465,7 @@ def find(documents: DataFrame, field: Field | None = None) -> DataFrame:
             texts = [t or "" for t in b.column(1).to_pylist()]
             rows = []
             for base, more in zip(map(base_spans, texts), field_spans(shared.value, texts, cache), strict=True):
-                base = base + [m for m in more if not any(s < m[1] and m[0] < e for s, e, _ in base)]
+                base = base + clear_of(base, more)
                 rows.append([{"start": s, "end": e, "kind": k} for s, e, k in sorted(base, key=lambda x: (x[0], order[x[2]]))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
@@ -494,7 +503,7 @@ def mask(documents: DataFrame, field: Field | None = None) -> DataFrame:
             new = []
             for t, more in zip(texts, field_spans(shared.value, [t or "" for t in texts], cache), strict=True):
                 spans = base_spans(t or "")
-                new.append(t if t is None else masked(t, spans + [m for m in more if not any(s < m[1] and m[0] < e for s, e, _ in spans)]))
+                new.append(t if t is None else masked(t, spans + clear_of(spans, more)))
             columns = list(b.columns)
             columns[place] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
