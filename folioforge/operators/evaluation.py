@@ -70,3 +70,58 @@ def poisson_edges(most: int = 6) -> list[float]:
         edges.append(total)
         term /= k + 1
     return edges
+
+
+def krippendorff_alpha(ratings: DataFrame, unit: str, value: str) -> DataFrame:
+    """(alpha, n_values, n_units): agreement of any number of assessors on ordinal whole-number grades, from ratings (unit, value); gaps are rows that are not there or null.
+
+    Units of one value say nothing. Each unit adds its pairs of values, weighted by one over its values less one, to a coincidence matrix, whose size is the square of the number of grades and
+    no more; distances follow from its margins. alpha is null if all values are alike.
+    """
+    counts = ratings.where(F.col(unit).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(unit).alias("u"), F.col(value).cast("long").alias("v")).agg(F.count("*").alias("n"))
+    units = counts.groupBy("u").agg(F.sum("n").alias("m"), F.collect_list(F.struct("v", "n")).alias("x")).where("m > 1")  # a unit's grades, at most as many as there are
+    pairs = units.select("m", F.explode("x").alias("a"), "x").select("m", "a", F.explode("x").alias("b"))
+    share = F.col("a.n") * (F.col("b.n") - (F.col("a.v") == F.col("b.v")).cast("int")) / (F.col("m") - 1)
+    cells = pairs.groupBy(F.col("a.v").alias("c"), F.col("b.v").alias("k")).agg(F.sum(share).alias("o"))
+    margins = cells.groupBy("c").agg(F.sum("o").alias("n")).select("c", "n", F.sum("n").over(Window.orderBy("c")).alias("upto"))  # a row for each grade
+    left, right = (margins.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("upto").alias(f"t{x}")) for x in ("c", "k"))
+    between = F.abs(F.col("tk") - F.col("tc")) + F.when(F.col("k") >= F.col("c"), F.col("nc")).otherwise(F.col("nk")) - (F.col("nc") + F.col("nk")) / 2
+    far = F.when(F.col("c") != F.col("k"), between * between).otherwise(0.0)
+    # Grades are few: both margins are a handful of rows each.
+    grid = F.broadcast(left).join(F.broadcast(right)).join(cells, ["c", "k"], "left").agg(F.sum(F.coalesce("o", F.lit(0.0)) * far).alias("seen"), F.sum(F.col("nc") * F.col("nk") * far).alias("chance"))
+    size = units.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n_values"), F.count("*").alias("n_units"))
+    return grid.crossJoin(F.broadcast(size)).select((1 - (F.col("n_values") - 1) * F.col("seen") / F.nullif(F.col("chance"), F.lit(0.0))).alias("alpha"), "n_values", "n_units")
+
+
+def drawn_means(rows: DataFrame, experiment: str, domain: str, cluster: str, base: str, candidate: str, samples: int = 1000, seed: int = 7) -> DataFrame:
+    """(experiment, sample, delta, base): for each sample of clusters the mean over domains of the paired difference candidate - base, and of base.
+
+    Clusters (all queries of a paper or source) are drawn within their domain by Poisson(1) weights from a hash of cluster and sample, so the draw needs no shuffle of its own.
+    """
+    sums = rows.groupBy(experiment, domain, cluster).agg(F.sum(F.col(candidate) - F.col(base)).alias("d"), F.sum(base).alias("b"), F.count("*").alias("n"))
+    drawn = sums.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(cluster).cast("string"), F.col("sample").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    weight = sum(F.when(u >= e, 1).otherwise(0) for e in poisson_edges())
+    means = drawn.withColumn("w", weight).groupBy(experiment, domain, "sample").agg(*[(F.sum(F.col("w") * F.col(x)) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias(x) for x in ("d", "b")])
+    return means.groupBy(experiment, "sample").agg(F.avg("d").alias("delta"), F.avg("b").alias("base"))
+
+
+def release_gates(rows: DataFrame, experiment: str, domain: str, cluster: str, slice_of: str, samples: int = 1000, gain: float = 0.05, drop: float = 0.02, slower: float = 1.5) -> DataFrame:
+    """One row for each experiment: its figures, a pass or fail for each gate, and the decision. rows: (experiment, domain, cluster, slice, primary_base, primary_candidate,
+    guard_base, guard_candidate, ms_base, ms_candidate), one a query.
+
+    Gates: primary, a mean over domains that is up by `gain` of the base at least (by `gain` itself if the base is 0) with a 95 % interval of the paired difference above 0; guard, a mean that is down by
+    `drop` at most; slices, none down by more in the primary metric; latency, a p95 of `slower` times the base's at most. ship if all pass; owner if only slices or latency fail, which
+    someone must accept; else reject.
+    """
+    draws = drawn_means(rows, experiment, domain, cluster, "primary_base", "primary_candidate", samples)
+    interval = draws.groupBy(experiment).agg(F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"))
+    by_domain = rows.groupBy(experiment, domain).agg(F.avg("primary_base").alias("b"), F.avg(F.col("primary_candidate") - F.col("primary_base")).alias("d"), F.avg(F.col("guard_base") - F.col("guard_candidate")).alias("g"))
+    macro = by_domain.groupBy(experiment).agg(F.avg("b").alias("base"), F.avg("d").alias("delta"), F.avg("g").alias("guard_drop"))
+    slices = rows.groupBy(experiment, slice_of).agg(F.avg(F.col("primary_base") - F.col("primary_candidate")).alias("s")).groupBy(experiment).agg(F.max("s").alias("slice_drop"))
+    speed = rows.groupBy(experiment).agg(F.percentile("ms_base", 0.95).alias("p95_base"), F.percentile("ms_candidate", 0.95).alias("p95_candidate"))
+    told = interval.join(macro, experiment).join(slices, experiment).join(speed, experiment)
+    wanted = F.when(F.col("base") == 0, F.lit(gain)).otherwise(gain * F.col("base"))
+    told = told.withColumn("primary_ok", (F.col("delta") >= wanted) & (F.col("low") > 0)).withColumn("guard_ok", F.col("guard_drop") <= drop).withColumn("slices_ok", F.col("slice_drop") <= drop).withColumn("latency_ok", F.col("p95_candidate") <= slower * F.col("p95_base"))
+    decision = F.when(~(F.col("primary_ok") & F.col("guard_ok")), "reject").when(F.col("slices_ok") & F.col("latency_ok"), "ship").otherwise("owner")
+    return told.withColumn("decision", decision)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .search import ranked
 
 #: Marks of errors that another try can't mend, statuses of a logged query, and required fields of its record.
-NON_RETRYABLE = tuple(f"non_retryable_error[{x}]" for x in ("corrupt_pdf", "oversize_pdf", "missing_pdf"))
+NON_RETRYABLE = ("non_retryable_error[corrupt_pdf]", "non_retryable_error[oversize_pdf]", "non_retryable_error[missing_pdf]")
 REQUIRED = ("workflow_id", "workflow_name", "status", "query", "anchor_query", "final_response_snapshot", "idempotency_key")
 #: Papers, least queries and papers of each domain of a released suite.
 SUITES = {"s5": (5, 25, 1), "d20": (20, 100, 4), "v20": (20, 60, 4), "h60": (60, 140, 12), "s100": (100, 300, 20)}
