@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import identity, text
 from ..operators import dedup, evaluation, index, routing, search
-from ..sources.tables import ledger_last_wins, ledger_set, shared_folder, table
+from ..sources.tables import ledger_last_wins, ledger_set, shared_folder, table, whole
 from ..streaming.incremental import incremental_chunks, sessions
 
 
@@ -354,10 +354,10 @@ def split_plan(spark, d):
 
 
 def seed_term_grounding(spark, d):
-    docs = table(spark, d, "documents")
+    docs = whole(table(spark, d, "documents"), "text")
     words = F.split("text", r"[ \n]+")
     first, last = F.element_at(words, 1), F.element_at(words, -1)
-    return docs.where("length(text) > 0").select("doc_id", text.grounded(last, F.substring("text", 1, 40)).alias("last_grounded"), text.grounded(first, F.substring("text", 1, 40)).alias("first_grounded"))
+    return docs.select("doc_id", text.grounded(last, F.col("text")).alias("last_grounded"), text.grounded(first, F.col("text")).alias("first_grounded"))
 
 
 def slug_language_title(spark, d):

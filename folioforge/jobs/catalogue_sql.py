@@ -130,7 +130,7 @@ SQL = {
       when lower(substring(text, 1, 1)) = 't' then 'generic fallback template may need semantic candidate supplementation' when lang = 'de' then 'research_domain=other triggers edge-theme fallback'
       when starts_with(text, 'La') then 'scope_hint=other triggers fallback review' when length(text) < 400 and hi + md = 0 then 'signal_quality=weak with no high/medium candidates' else 'candidate tags already populated' end as reason from x""",
     "split_plan": "select doc_id, greatest(1, ceil(strlen(text) / 2000), ceil(ceil(length(text) / 500) / 10))::bigint as parts from documents",
-    "seed_term_grounding": r"""with w as (select doc_id, string_split_regex(text, '[ \n]+') as w, substring(text, 1, 40) as a from documents where length(text) > 0),
+    "seed_term_grounding": r"""with w as (select doc_id, string_split_regex(text, '[ \n]+') as w, text as a from (select doc_id, coalesce(text, '') as text from documents)),
       c as (select doc_id, regexp_replace(lower(w[-1]), '[^\p{L}\p{N}]', '', 'g') as l, regexp_replace(lower(w[1]), '[^\p{L}\p{N}]', '', 'g') as f, regexp_replace(lower(a), '[^\p{L}\p{N}]', '', 'g') as a from w)
       select doc_id, l <> '' and a <> '' and (l = a or (length(l) >= 6 and contains(a, l)) or (length(a) >= 6 and contains(l, a))) as last_grounded, f <> '' and a <> '' and (f = a or (length(f) >= 6 and contains(a, f)) or (length(a) >= 6 and contains(f, a))) as first_grounded from c""",
     "slug_language_title": rf"""with s as (select conv_id, turn, text, regexp_replace(substring({_SLUG0}, 1, 32), '[-_. ]+$', '') as s, trim(regexp_replace(coalesce(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], 'query'), '\s+', ' ', 'g')) as t from conversations)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import notes
 from ..operators import search
-from ..sources.tables import json_lines, table
+from ..sources.tables import json_lines, table, whole
 from .catalogue import _query_vector
 from .catalogue_sql import _COS, _L2, _TOKENS, _topk
 
@@ -24,12 +24,12 @@ def query(sql: str | None = None):
     return keep
 
 
-_RAW = "'draft/' || substring(replace(text, chr(10), ' '), 1, 40) || case doc_id % 4 when 0 then ' — v2.pdf' when 1 then '-review_note.md' when 2 then '  -  x__y' else '' end"
+_RAW = "'draft/' || replace(coalesce(text, ''), chr(10), ' ') || case doc_id % 4 when 0 then ' — v2.pdf' when 1 then '-review_note.md' when 2 then '  -  x__y' else '' end"
 
 
 def _raw(docs):
     tail = F.when(F.col("doc_id") % 4 == 0, " — v2.pdf").when(F.col("doc_id") % 4 == 1, "-review_note.md").when(F.col("doc_id") % 4 == 2, "  -  x__y").otherwise("")
-    return F.concat(F.lit("draft/"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 40), tail)
+    return F.concat(F.lit("draft/"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), tail)
 
 
 _NAME = _RAW
@@ -61,36 +61,35 @@ def section_injection(spark, d):
     return docs.select("doc_id", F.md5(notes.with_section(body, F.lit(f"{notes.ABSTRACT}\nabs"))).alias("body_md5"))
 
 
-_FRONT = """'---' || chr(10) || 'title: ' || replace(substring(text, 1, 20), chr(10), ' ') || chr(10) || case when text like 'A%' or text like 'D%' then 'combined_hash: ' || md5(text) || chr(10) else '' end
+_FRONT = """'---' || chr(10) || 'title: ' || split_part(text, chr(10), 1) || chr(10) || case when text like 'A%' or text like 'D%' then 'combined_hash: ' || md5(text) || chr(10) else '' end
   || case when lang = 'en' then 'parent_key: ' || upper(substring(md5(text), 1, 8)) || chr(10) else '' end || case when lang in ('en', 'de') then 'pdf_0_path: a/' || source || '.pdf' || chr(10) || 'pdf_1_path: b/' || lang || '.pdf' || chr(10) else '' end
-  || 'year: ' || length(text) || chr(10) || '---' || chr(10) || replace(substring(text, 1, 40), chr(10), ' ')"""
+  || 'year: ' || length(text) || chr(10) || '---' || chr(10) || replace(text, chr(10), ' ')"""
 
 
 def _front(docs):
     """Notes cut from texts: some with a hash, a key or paths of their own."""
     line = lambda holds, *parts: F.when(holds, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("\n"))).otherwise("")
-    flat = lambda n: F.replace(F.substring("text", 1, n), F.lit("\n"), F.lit(" "))
     two, text = F.col("lang").isin("en", "de"), F.col("text")
     return F.concat(
-        F.lit("---\ntitle: "), flat(20), F.lit("\n"), line(text.startswith("A") | text.startswith("D"), "combined_hash: ", F.md5("text")), line(F.col("lang") == "en", "parent_key: ", F.upper(F.substring(F.md5("text"), 1, 8))),
-        line(two, "pdf_0_path: a/", F.col("source"), ".pdf"), line(two, "pdf_1_path: b/", F.col("lang"), ".pdf"), F.lit("year: "), F.length("text").cast("string"), F.lit("\n---\n"), flat(40),
+        F.lit("---\ntitle: "), F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("\n"), line(text.startswith("A") | text.startswith("D"), "combined_hash: ", F.md5("text")), line(F.col("lang") == "en", "parent_key: ", F.upper(F.substring(F.md5("text"), 1, 8))),
+        line(two, "pdf_0_path: a/", F.col("source"), ".pdf"), line(two, "pdf_1_path: b/", F.col("lang"), ".pdf"), F.lit("year: "), F.length("text").cast("string"), F.lit("\n---\n"), F.replace("text", F.lit("\n"), F.lit(" ")),
     )
 
 
-@query(rf"""with n as (select doc_id, {_FRONT} as c, 'combined_hash: ' || sha256(text) as h from documents where text is not null and lang is not null and source is not null)
+@query(rf"""with n as (select doc_id, {_FRONT} as c, 'combined_hash: ' || sha256(text) as h from (select * replace (coalesce(text, '') as text, coalesce(lang, 'und') as lang, coalesce(source, 'none') as source) from documents))
   select doc_id, md5(case when contains(c, chr(10) || 'combined_hash:') then regexp_replace(c, '\ncombined_hash:[^\n]*', chr(10) || h) when contains(c, chr(10) || 'parent_key:') then regexp_replace(c, '\n(parent_key:[^\n]*)', chr(10) || '\1' || chr(10) || h)
     when contains(c, chr(10) || 'pdf_1_path:') then regexp_replace(c, '\n(pdf_1_path:[^\n]*)', chr(10) || '\1' || chr(10) || h) else replace(c, chr(10) || '---' || chr(10), chr(10) || h || chr(10) || '---' || chr(10)) end) as content_md5 from n""")
 def hash_backfill(spark, d):
-    docs = table(spark, d, "documents").where("text is not null and lang is not null and source is not null")
+    docs = whole(table(spark, d, "documents"))
     return docs.select("doc_id", F.md5(notes.with_hash(_front(docs), F.sha2("text", 256))).alias("content_md5"))
 
 
-@query(r"""with w as (select doc_id, list_filter(list_transform(range(1, 13), lambda i: {'n': i - 1, 'p': string_split(substring(replace(text, chr(10), ' '), 1, 200), ' ')[i]}), lambda x: length(x.p) > 3 and regexp_matches(x.p, '^[A-Za-z]+$')) as f from documents where text is not null)
+@query(r"""with w as (select doc_id, list_filter(list_transform(w, lambda x, i: {'n': i - 1, 'p': x}), lambda x: length(x.p) > 3 and regexp_matches(x.p, '^[A-Za-z]+$')) as f from (select doc_id, string_split(replace(coalesce(text, ''), chr(10), ' '), ' ') as w from documents))
   select doc_id, array_to_string(list_transform(f, lambda x: x.p), ',') as by_number, array_to_string(list_transform(list_filter(list_transform(range(1, len(f) + 1), lambda i: {'i': i - 1, 'x': f[i]}), lambda y: y.x.n = y.i), lambda y: y.x.p), ',') as until_gap from w""")
 def pdf_path_dialects(spark, d):
     """Paths of the lines pdf_N_path, N the place of a longer word of the text: all by number, and only those up to the first gap. The lines stand in reverse order."""
-    docs = table(spark, d, "documents").where("text is not null")
-    words = F.slice(F.split(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 200), " "), 1, 12)
+    docs = whole(table(spark, d, "documents"), "text")
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     numbered = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (F.length(x["w"]) > 3) & x["w"].rlike("^[A-Za-z]+$"))
     block = F.array_join(F.reverse(F.transform(numbered, lambda x: F.concat(F.lit("pdf_"), x["i"].cast("string"), F.when(x["i"] % 2 == 0, "_path: '").otherwise("_path:  "), x["w"], F.when(x["i"] % 2 == 0, "'").otherwise("")))), "\n")
     found = notes.pdf_paths(block)
@@ -256,11 +255,11 @@ def duplicate_ledger_lines(spark, d):
     return table(spark, d, "documents").groupBy(F.md5("text").alias("value")).agg(F.count("*").alias("n_lines")).where("n_lines > 1")
 
 
-@query("""select doc_id, substring(case when trim(split_part(text, '.', 2), ' ' || chr(10)) = '' then text else trim(split_part(text, '.', 2), ' ' || chr(10)) end, 1, 40) as effective from documents where text <> ''""")
+@query("""select doc_id, md5(case when trim(split_part(t, '.', 2), ' ' || chr(10)) = '' then t else trim(split_part(t, '.', 2), ' ' || chr(10)) end) as effective from (select doc_id, coalesce(text, '') as t from documents)""")
 def effective_query(spark, d):
     """The second sentence of a text overrides the first, an empty one does not."""
     second = F.regexp_replace(F.split_part("text", F.lit("."), F.lit(2)), "^[ \n]+|[ \n]+$", "")
-    return table(spark, d, "documents").where("text <> ''").select("doc_id", F.substring(F.coalesce(F.nullif(second, F.lit("")), F.col("text")), 1, 40).alias("effective"))
+    return whole(table(spark, d, "documents"), "text").select("doc_id", F.md5(F.coalesce(F.nullif(second, F.lit("")), F.col("text"))).alias("effective"))
 
 
 @query(f"""with t as (select doc_id, {_TOKENS} as t from documents), b as (select item_id, list_distinct({_TOKENS}) as q from benchmark),
@@ -287,10 +286,10 @@ def first_pages(spark, d):
 
 
 @query("""select doc_id, not (regexp_matches(p, '^([A-Za-z]:)?[\\\\/]') or regexp_matches(p, '(^|[\\\\/])\\.\\.([\\\\/]|$)')) as safe from
-  (select doc_id, replace(replace(replace(replace(substring(text, 1, 60), '.', '/..'), ' ', '/'), ',', '..'), chr(10), chr(92)) as p from documents)""")
+  (select doc_id, replace(replace(replace(replace(text, '.', '/..'), ' ', '/'), ',', '..'), chr(10), chr(92)) as p from documents)""")
 def artifact_paths(spark, d):
     """Paths cut from texts: words are folders, commas and full stops become dots, line breaks backslashes."""
-    p = F.substring("text", 1, 60)
+    p = F.col("text")
     for old, new in ((".", "/.."), (" ", "/"), (",", ".."), ("\n", "\\")):
         p = F.replace(p, F.lit(old), F.lit(new))
     return table(spark, d, "documents").select("doc_id", (~(p.rlike(r"^([A-Za-z]:)?[\\/]") | p.rlike(r"(^|[\\/])\.\.([\\/]|$)"))).alias("safe"))

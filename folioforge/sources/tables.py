@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows with null text and url empty, lang und and source none (or only the named of these): what lacks is judged like what is empty, and no row is left out."""
+    empty = {"text": "", "url": "", "lang": "und", "source": "none"}
+    return rows.fillna({c: v for c, v in empty.items() if c in (columns or rows.columns)})
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only a session of one machine (tests) may do without and gets a temporary one."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
@@ -30,7 +36,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 #: Folders of a vault that hold no live notes, by prefix of the relative path and by part of it.
-EXCLUDED_PREFIXES = tuple(f"progress/{x}/" for x in ("gate_backups", "gate_reports", "version_snapshots", "schema_migration", "taxonomy_discovery", "pipeline_logs", "pipeline_reports"))
+EXCLUDED_PREFIXES = (
+    "progress/gate_backups/",
+    "progress/gate_reports/",
+    "progress/version_snapshots/",
+    "progress/schema_migration/",
+    "progress/taxonomy_discovery/",
+    "progress/pipeline_logs/",
+    "progress/pipeline_reports/",
+)
 EXCLUDED_PARTS = (".claude", ".obsidian", "__pycache__", ".stfolder")
 
 

@@ -185,12 +185,39 @@ def test_one_line_abstracts(spark):
 
     cases = {
         "Abstract:\n\nThe first line\r\nand the next\n, then more.": "The first line and the next, then more.", "a well-\nknown case": "a well-known case", "Reduction of CO\n2\nto fuel": "Reduction of CO2 to fuel", "CO 2 and Na + ions at 5 cm -2": "CO2 and Na + ions at 5 cm-2",
-        "C - C bonds ( as shown ) .": "C-C bonds (as shown).", "ends.,  Next": "ends. Next", "": "", "no change": "no change", "wide\u00a0 \u2009 space": "wide space",
+        "C - C bonds ( as shown ) .": "C-C bonds (as shown).", "CO 2 RR on Cu +2 or C2 + x; C–C": "CO2RR on Cu+2 or C2 + x; C-C", "from 3\n-\nand 4+\n) of co 2": "from 3-and 4+) of co2", "abstract\n\u2028\x0b go  on": "go on", "Abstract in line": "Abstract in line", "pre‐\nÄrger but pre‐\närger": "pre‐ Ärger but pre‐ärger",
+        "\n \n": "", "10 mA -2 and 5 mol −1, 7 %": "10 mA-2 and 5 mol−1, 7%", "H\n+\nH 2 O": "H+ H2 O", "ends.,  Next": "ends. Next", "": "", "no change": "no change", "wide\u00a0 \u2009 space": "wide space",
     }
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", one_line_abstract(F.col("t")).alias("c")).collect()
     assert {r.t: r.c for r in got} == cases
 
 
+def plain_abstract(raw):
+    """The rules of one_line_abstract() one after the other, over a list of words and line breaks."""
+    import regex
+
+    lines = [x for x in (" ".join(line.split()) for line in (raw or "").splitlines()) if x]
+    if lines and lines[0].lower() in ("abstract", "abstract:", "abstract."):
+        lines = lines[1:]
+    text = ""
+    for line in lines:
+        sign = line.strip("0123456789")
+        number = sign in ("", *notes.SIGNS) and line.count(sign or "x") <= 1 and (not sign or sign in (line[0], line[-1]))
+        glued = number or line[0] in ",.;:)" or (text[-1:] in ("-", "‐", "‑", "‒", "–") and line[0].islower())
+        text += line if glued or not text else " " + line
+    for before, after in notes.GAPS:
+        text = regex.sub(rf"({before})\s+(?={after})", r"\1", text)
+    text = regex.sub(r"(?<=[a-z0-9)])\.,\s+(?=[A-Z])", ". ", regex.sub(r"\bC ?[–-] ?C\b", "C-C", text))
+    return regex.sub(r"\s+([,.;:%)])", r"\1", text).replace("( ", "(").strip()
+
+
+def test_abstracts_of_all_documents(spark, sf):
+    from folioforge.functions.notes import one_line_abstract
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", one_line_abstract(F.col("text")).alias("c")).collect()
+    assert all(r.c == plain_abstract(r.text) for r in docs)
+
+
 def test_hash_migration_and_requests(spark):
     from folioforge.operators import library
 
