@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import checkpoint, hot_join, shuffle_tasks
 
 #: Turns of a conversation that one task orders, and that one rendered part holds at most.
 PART = 256
@@ -15,14 +15,22 @@ PART = 256
 def numbered(turns: DataFrame) -> DataFrame:
     """(conv_id, pos, role, text): rows without a conversation are left out, pos is 1, 2, ... by turn (nulls first), role, text.
 
-    A conversation of any length is ordered in parts of PART turn numbers, each ranked on its own; the parts' counts give what comes before.
+    Rows are counted first, then put in order as ranges of all conversations, so that neither a conversation of any length nor very many turns of one number, null or equal, meet in one
+    task; a range ranks its rows, and the ranges' counts give what comes before.
     """
-    rows = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text").withColumn("part", F.floor(F.col("turn") / PART))
-    before = Window.partitionBy("conv_id").orderBy(F.col("part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("conv_id", "part").count().select("conv_id", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"))
-    inner = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()))
-    ranked = rows.withColumn("inner", inner).alias("r").join(offsets.alias("o"), F.expr("r.conv_id = o.conv_id and r.part <=> o.part"))
-    return ranked.select("r.conv_id", (F.col("inner") + F.col("earlier")).alias("pos"), "role", "text")
+    order = [F.col("conv_id"), *[F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]]
+    counted = turns.where("conv_id is not null").groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
+    ranges = counted.repartitionByRange(shuffle_tasks(turns.sparkSession), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ranges = checkpoint(ranges.withColumn("range", F.shiftright("at", 33)))
+    sums = ranges.groupBy("conv_id", "range").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task that holds some of a conversation
+    offsets = sums.select("conv_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    inner = F.sum("n").over(Window.partitionBy("conv_id", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranges.withColumn("last", inner).join(offsets, ["conv_id", "range"]).withColumn("last", F.col("last") + F.col("earlier"))
+    # equal turns in stretches of PART, each then by itself
+    stretch = F.explode(F.sequence(F.col("last") - F.col("n") + 1, F.col("last"), F.lit(PART).cast("long")))
+    stretches = placed.withColumn("from", stretch)
+    return stretches.select("conv_id", F.explode(F.sequence("from", F.least(F.col("from") + PART - 1, F.col("last")))).alias("pos"), "role", "text")
 
 
 def _rolling(pos: DataFrame) -> DataFrame:
@@ -44,10 +52,10 @@ def maximal(pos: DataFrame) -> DataFrame:
     a first turn that a third of all conversations share is one row there.
     """
     rolled = checkpoint(_rolling(pos))
-    lengths = pos.groupBy("conv_id").agg(F.max("pos").alias("n_turns"))
-    ends = rolled.join(lengths, (rolled.conv_id == lengths.conv_id) & (rolled.pos == lengths.n_turns)).select(rolled.conv_id, "n_turns", "h1", "h2")
-    single = ends.groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_same"))
-    inside = rolled.join(lengths, "conv_id").where(F.col("pos") < F.col("n_turns")).select(F.col("pos").alias("n_turns"), "h1", "h2").distinct()
+    lengths = checkpoint(rolled.groupBy("conv_id").agg(F.max("pos").alias("n_turns")))
+    told = hot_join(rolled, lengths, "conv_id", F.col("n_turns"), rolled.count())
+    single = told.where("pos = n_turns").groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_same"))
+    inside = told.where("pos < n_turns").select(F.col("pos").alias("n_turns"), "h1", "h2").distinct()
     return single.join(inside, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", "n_turns", "n_same")
 
 
@@ -58,8 +66,8 @@ def render(turns: DataFrame) -> DataFrame:
     text, and equal turns stay, each at its own place; rows without a conversation are left out, and an empty table gives none.
     """
     pos = checkpoint(numbered(turns))
-    kept = maximal(pos)
+    kept = checkpoint(maximal(pos))
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
-    rows = pos.join(kept, "conv_id").withColumn("part", F.floor((F.col("pos") - 1) / PART).cast("long"))
+    rows = hot_join(pos, kept, "conv_id", F.col("n_turns"), pos.count()).withColumn("part", F.floor((F.col("pos") - 1) / PART).cast("long"))
     listed = rows.groupBy("conv_id", "part", "n_turns", "n_same").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
     return listed.select("conv_id", "part", F.col("n_turns").cast("long").alias("n_turns"), "n_same", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("text"))

@@ -67,3 +67,10 @@ def hot_join(rows: DataFrame, facts: DataFrame, key: str, count: Column, total:
     marked = rows.join(F.broadcast(facts.where(hot).select(F.col(key).alias("_hot"))), F.col(key) == F.col("_hot"), "left")
     warm = marked.where("_hot is not null").drop("_hot").join(F.broadcast(facts.where(hot)), key)
     return warm.unionByName(marked.where("_hot is null").drop("_hot").join(facts.where(~hot), key))
+
+
+def counted_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """hot_join() where facts (one row for each key) lacks the number of rows: they are counted by key first, which combines before its shuffle. Only keys of facts count."""
+    counts = checkpoint(rows.groupBy(key).agg(F.count("*").alias("_rows")).join(facts.select(key), key, "left_semi"))
+    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    return hot_join(rows, facts.join(counts, key), key, F.col("_rows"), total).drop("_rows")

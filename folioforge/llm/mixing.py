@@ -6,15 +6,22 @@ more and those that are not come from these, and the rows learn their number of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, hot_join, shuffle_tasks
+from .common import checkpoint, hot_join, map_arrow, shuffle_tasks
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Classes (source, size class) up to which their table is broadcast; about a thousand of a source.
 MOST_SENT = 200_000
+#: Octaves of size, each 64 of the classes.
+OCTAVES = 32
 RESULTS = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
@@ -24,7 +31,7 @@ def word_count(text: str = "text") -> Column:
 
 
 def size_class(size: Column) -> Column:
-    """64 classes of size to an octave."""
+    """64 classes of size to an octave, which is the class shifted right by 6."""
     return F.floor(F.log2(size + F.lit(1)) * 64).cast("int")
 
 
@@ -66,21 +73,94 @@ def targets(own: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     return rows.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).cast("double").alias("target"))
 
 
-def balance(goals: DataFrame, tolerance: float = 1e-12, max_steps: int = 60) -> DataFrame:
-    """goals (source, source_size, target) with rate: each document of a source is to be taken exp(multiplier) times, the least change (in relative
-    entropy by word) that meets the goals.
+def _cells(classes: DataFrame) -> DataFrame:
+    """(key, words) of (key, class, words): a source's words by octave of size, OCTAVES numbers."""
+    octaves = classes.groupBy("key", F.shiftright("class", 6).alias("octave")).agg(F.sum("words").alias("words"))
+    listed = octaves.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("octave", "words"))).alias("m"))
+    return listed.select("key", F.transform(F.sequence(F.lit(0), F.lit(OCTAVES - 1)), lambda o: F.coalesce(F.try_element_at("m", o), F.lit(0)).cast("double")).alias("words"))
+
+
+def tilted(words: np.ndarray, target: np.ndarray, mu: np.ndarray) -> np.ndarray:
+    """Rates by source (rows) and octave: 2 / (1 + exp(-l[source] - mu[octave])), with the l of each source that meets its target, found by halving. Where the target is all that a source can
+    give, or nothing, its rates are 2 or 0."""
+    low, high = (np.full(len(words), x) for x in (-80.0, 80.0))
+    rate = lambda x: 2 / (1 + np.exp(-np.clip(x[:, None] + mu, -700, 700)))
+    for _ in range(64):
+        middle = (low + high) / 2
+        less = (words * rate(middle)).sum(axis=1) < target
+        low, high = np.where(less, middle, low), np.where(less, high, middle)
+    most, out = 2 * words.sum(axis=1), rate((low + high) / 2)
+    out[target >= most * (1 - 1e-12)] = 2.0
+    out[target <= 0] = 0.0
+    return out
+
+
+class Balance(NamedTuple):
+    """mu: the multipliers of the octaves; gap: the largest of the dual's gradient as a part of all targets; steps: Newton steps taken."""
+
+    mu: np.ndarray
+    gap: float
+    steps: int
 
-    The dual, sum over documents of size * exp(l[source]) - sum over sources of target * l, is convex, and its gradient and Hessian are
-    source_size * exp(l), less the target, and source_size * exp(l): sums over documents that Spark has combined by source. All sources take their
-    Newton steps side by side. A step from l = 0 is at most 1, so none overshoots to infinity.
+
+def solve(rows: DataFrame, soft: float = 1e-3, tolerance: float = 1e-10, max_steps: int = 40) -> Balance:
+    """The multipliers of the octaves for rows (key, words, target), one a source.
+
+    Entropy balancing under two sets of constraints over the same documents: each source gives its target, and each octave of size keeps its share of the words, so
+    that a mix doesn't trade long documents for short ones. The least change, in the entropy of rates between 0 and 2 that is 0 at rate 1, tilts each document by exp(l[source] + mu[octave]). The first set holds
+    exactly; the second may contradict it, so it is bought with `soft`, a square penalty on mu. Each Newton step on the convex dual is one aggregate over the sources: they take their own l for the current mu, and tasks send the
+    gradient and Hessian that are left for mu (OCTAVES numbers and their square), which Spark adds up and the driver solves.
     """
+    n = OCTAVES
+    words, total, wanted = np.zeros(n), 0.0, 0.0
+    for r in rows.select(F.posexplode("words").alias("at", "w"), "target").groupBy("at").agg(F.sum("w").alias("w"), F.sum("target").alias("t")).collect():
+        words[r["at"]], wanted = r.w, r.t
+    total = words.sum()
+    if not total or not wanted:
+        return Balance(np.zeros(n), 0.0, 0)
+    mu, goal, weight, gap = np.zeros(n), words / total * wanted, soft * wanted, 0.0
+    find = tilted
+
+    for step in range(max_steps):
+
+        def sums(batches: Iterator[pa.RecordBatch], mu=mu) -> Iterator[pa.RecordBatch]:
+            gradient, hessian = np.zeros(n), np.zeros((n, n))
+            for b in batches:
+                if len(b):
+                    w, target = np.stack(b.column(0).to_numpy(zero_copy_only=False)), b.column(1).to_numpy(zero_copy_only=False)
+                    rate = find(w, target, mu)
+                    gradient += (w * rate).sum(axis=0)
+                    d = w * rate * (1 - rate / 2)
+                    open_ = d.sum(axis=1) > 0
+                    d = d[open_]
+                    hessian += np.diag(d.sum(axis=0)) - (d / d.sum(axis=1, keepdims=True)).T @ d
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((gradient, hessian.ravel()))], pa.list_(pa.float64()))], ["x"])
+
+        found = np.zeros(n + n * n)
+        for r in map_arrow(rows.select("words", "target"), sums, "x array<double>").select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect():
+            found[r["at"]] = r.v
+        gradient = found[:n] - goal + weight * mu
+        gap = float(np.abs(gradient).max() / wanted)
+        if gap < tolerance:
+            break
+        move = np.linalg.solve(found[n:].reshape(n, n) + weight * np.eye(n), gradient)
+        mu = mu - move * min(1.0, 2.0 / max(1e-300, np.abs(move).max()))
+    return Balance(np.round(mu, 9), gap, step)
+
+
+def balance(classes: DataFrame, goals: DataFrame) -> DataFrame:
+    """(key, source_size, target, rates) of classes (key, class, words) and goals (source, source_size, target): how often a document of a source is to be taken, by octave of its size."""
+    named = goals.withColumn("key", source_key(F.col("source"))).select("key", "source_size", "target")
+    rows = checkpoint(_cells(classes).join(named, "key"))
+    mu, find = solve(rows).mu, tilted
 
-    def newton(l, _):  # noqa: E741
-        gap = F.col("target") / (F.col("source_size") * F.exp(l)) - 1
-        return F.when(F.abs(gap) < tolerance, l).otherwise(l + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap)))
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                found = find(np.stack(b.column(1).to_numpy(zero_copy_only=False)), b.column(3).to_numpy(zero_copy_only=False), mu)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(list(np.round(found, 8)), pa.list_(pa.float64()))], ["key", "source_size", "target", "rates"])
 
-    multiplier = F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), F.lit(0.0), newton)
-    return goals.withColumn("rate", F.when(F.col("target") > 0, F.round(F.exp(multiplier), 8)).otherwise(0.0))
+    return map_arrow(rows.select("key", "words", "source_size", "target"), rates, "key string, source_size long, target double, rates array<double>")
 
 
 def _extras(counted: DataFrame) -> DataFrame:
@@ -108,9 +188,9 @@ def plan(sized: DataFrame) -> DataFrame:
     """
     units = checkpoint(sized.groupBy(source_key(F.col("source")).alias("key"), "source", size_class(F.col("size")).alias("class"), "u").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     classes = checkpoint(units.groupBy("key", "source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
-    goals = balance(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size"))))
-    rates = checkpoint(goals.withColumn("key", source_key(F.col("source"))).drop("source"))
-    counted = classes.join(rates, "key").select("key", "class", "n", "words", "source_size", "target", "rate", (F.col("rate") - F.floor("rate")).alias("part"))
+    rates = checkpoint(balance(classes, targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))))
+    own = classes.join(rates, "key").withColumn("rate", F.element_at("rates", F.shiftright("class", 6) + 1))
+    counted = own.select("key", "class", "n", "words", "source_size", "target", "rate", (F.col("rate") - F.floor("rate")).alias("part"))
     wanted = checkpoint(counted.drop("part").join(_extras(counted), ["key", "class"]))
     some = wanted.where("extra > 0 and extra < n").select("key", "class", "extra")
     largest = classes.agg(F.max("n")).first()[0] or 1

@@ -17,6 +17,8 @@ from .components import connected_components
 
 #: Fingerprints of a bucket that are compared in one piece; a larger bucket is dealt out in pairs of pieces.
 TILE = 2048
+#: Distinct fingerprints up to which sets of three byte positions (24 bits) name a bucket; beyond, all 70 sets of four (32 bits) do.
+MOST_THREE = 1 << 24
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
@@ -82,24 +84,24 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) within max_bits bits, as a spanning forest of each piece of a bucket.
 
-    An inverted index maps sets of positional bytes to fingerprints. In a bucket the matching positional bytes of each pair are
+    An inverted index maps sets of positional bytes to fingerprints: sets of three, or of four beyond MOST_THREE fingerprints, so that buckets stay small; either holds all pairs, with the same result. In a bucket the matching positional bytes of each pair are
     counted, pairs below the guaranteed number are dropped, and the rest are verified bit by bit. Only links of a
     forest leave a task, so a group of n copies gives about n rows and not n * n; what is reachable stays the same.
     """
     least = 8 - max_bits
-    keys = index_keys(max_bits)
     spark = fps.sparkSession
     importable(spark)
+    distinct = checkpoint(fps.select("fp").distinct())
+    keys = index_keys(max_bits, 3 if distinct.count() <= MOST_THREE else 4)
 
     def key(i: int, positions: tuple[int, ...]) -> str:
         mask = sum(255 << 8 * p for p in positions)
         mask = mask - (1 << 64) if mask >> 63 else mask
         return f"struct({i} as k, fp & {mask}L as v)"
 
-    distinct = checkpoint(fps.select("fp").distinct())
     spread = distinct.selectExpr("fp", f"explode(array({', '.join(key(i, c) for i, c in enumerate(keys))})) as e").selectExpr("fp", "xxhash64(e.k, e.v) as bucket")
-    sizes = spread.groupBy("bucket").count().where("count > 1")
-    full = spread.join(sizes, "bucket").withColumn("pieces", F.ceil(F.col("count") / TILE).cast("int")).withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    sizes = checkpoint(spread.groupBy("bucket").count().where("count > 1"))
+    full = hot_join(spread, sizes, "bucket", F.col("count"), distinct.count() * len(keys)).withColumn("pieces", F.ceil(F.col("count") / TILE).cast("int")).withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
     dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("bucket", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "fp")
     dealt = dealt.repartition(shuffle_tasks(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
@@ -296,5 +298,7 @@ def one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8)
     parts = connected_components(similar(owners.select("node", "wide"), similarity))
     named = owners.select("node", "least").join(parts, owners.node == parts.id, "left").select("least", F.coalesce("component", "node").alias("component"))
     heads = named.groupBy("component").agg(F.min("least").alias("least"))
-    kept = heads.select(F.col("least.digest").alias("_digest")).distinct()
-    return documents.withColumn("_digest", row).join(kept, "_digest", "left_semi").dropDuplicates(["_digest"]).select(documents.columns)
+    kept = heads.select(F.col("least.digest").alias("digest")).distinct()
+    # equal rows become one before the join, by the same key; all columns go as one, so none can clash
+    once = documents.select(F.struct(*documents.columns).alias("own"), row.alias("digest")).groupBy("digest").agg(F.first("own").alias("own"))
+    return once.join(kept, "digest", "left_semi").select("own.*")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint, counted_join, hot_join
+
 #: Largest filter that is broadcast, in 256-bit blocks (32 MB); a larger one is joined by a shuffle on the block.
 MAX_BLOCKS = 1 << 20
 
@@ -53,22 +55,25 @@ def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id") -> Dat
     starts = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>"), lambda p: p.isNotNull())
     tried = distinct.withColumn("suffix", F.explode(suffixes)).withColumn("start", F.explode(starts)).select("host", "path", F.concat("suffix", "start").alias("key"), F.length("suffix").alias("host_length"))
     tried = tried.withColumn("h", F.xxhash64("key")).withColumn("block", F.expr(f"pmod(h, {number}L)"))
-    passing = tried.join(F.broadcast(filled) if number <= MAX_BLOCKS else filled, "block")
+    passing = tried.join(F.broadcast(filled), "block") if number <= MAX_BLOCKS else counted_join(tried, filled, "block")
     for k, mask in enumerate(_bits(F.col("h"))):
         passing = passing.where(F.col(f"w{k}").bitwiseAND(mask) != 0)
-    fits = passing.select("host", "path", "key", "host_length").join(listed.drop("path_length"), ["key", "host_length"])
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"), F.col("verdict"))).alias("best"))
+    # a short entry (a whole top-level domain) is met by a large part of all addresses
+    entry = F.struct("key", "host_length").alias("entry")
+    fits = counted_join(passing.select("host", "path", entry), listed.select(entry, "verdict"), "entry")
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("entry.key").alias("n"), F.col("entry.key").alias("key"), F.col("verdict"))).alias("best"))
     return urls.join(best, ["host", "path"], "left").select(id_column, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
 def mirror_list(pages: DataFrame) -> DataFrame:
     """A block list that grows with the crawl: the addresses of pages whose body another address, smaller by code point, serves too.
 
-    (host, path, verdict); empty hosts and bodies are left out.
+    (host, path, verdict); empty hosts and bodies are left out. A body that very many addresses serve, such as an error page, is joined by broadcast.
     """
     served = with_host_path(pages.select("url", "html")).where("host <> '' and html <> ''").select("host", "path", F.xxhash64("html").alias("a"), F.sha2("html", 256).alias("body")).groupBy("body", "host", "path").count()
+    served = checkpoint(served.select("body", "host", "path"))
     least = served.groupBy("body").agg(F.min(F.concat("host", "path")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    return served.join(least, "body").where(F.concat("host", "path") != F.col("least")).select("host", "path").distinct().withColumn("verdict", F.lit("block"))
+    return hot_join(served, least, "body", F.col("n"), served.count()).where(F.concat("host", "path") != F.col("least")).select("host", "path").distinct().withColumn("verdict", F.lit("block"))
 
 
 def block_listed(judged: DataFrame, listed: DataFrame) -> DataFrame:
@@ -80,7 +85,7 @@ def block_listed(judged: DataFrame, listed: DataFrame) -> DataFrame:
     entries = listed.select("host", "path").distinct().withColumn("key", F.concat("host", "path"))
     filled, number = blocked_bloom(entries)
     asked = judged.where("rule is null").select("host", "path").distinct().withColumn("h", F.xxhash64(F.concat("host", "path"))).withColumn("block", F.expr(f"pmod(h, {number}L)"))
-    passing = asked.join(F.broadcast(filled) if number <= MAX_BLOCKS else filled, "block")
+    passing = asked.join(F.broadcast(filled), "block") if number <= MAX_BLOCKS else counted_join(asked, filled, "block")
     for k, mask in enumerate(_bits(F.col("h"))):
         passing = passing.where(F.col(f"w{k}").bitwiseAND(mask) != 0)
     hits = passing.select("host", "path").join(entries, ["host", "path"], "left_semi").withColumn("hit", F.lit(True))

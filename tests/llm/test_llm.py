@@ -654,8 +654,11 @@ def test_targets_against_rounds(spark):
         sizes = {(f"é{i}" if i % 3 else f"Z{i}"): int(x) for i, x in enumerate(rng.integers(0, 1000, n))} | {None: 7}
         own = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
         goals = brute.targets(sizes)
-        for r in mixing.balance(mixing.targets(own)).collect():
-            assert np.isclose(r.target, goals[r.source]) and (r.source_size == 0 or np.isclose(r.rate * r.source_size, r.target, atol=1e-4))
+        for r in mixing.targets(own).collect():
+            assert np.isclose(r.target, goals[r.source])
+        classes = own.select(mixing.source_key(F.col("source")).alias("key"), F.lit(5 << 6).alias("class"), F.col("source_size").alias("words"))
+        for r in mixing.balance(classes, mixing.targets(own)).collect():
+            assert r.source_size == 0 or np.isclose(r.rates[5] * r.source_size, r.target, atol=1e-4)
 
 
 def test_chat(spark, monkeypatch):
