@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from folioforge.llm import decontaminate, language, mixing, pii, simhash
 from folioforge.llm.common import shared_folder, table
 
+#: What the last stage adds, and what the mix works with.
+ADDED = (*mixing.RESULTS, "copy")
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, with lang predicted; und goes: null texts and those without a letter."""
@@ -33,9 +36,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy that the mix takes: copy is 1 up to copies; documents with none go."""
-    mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns, "size", "source_size", "target", "copies", "copy")
+    """One row for each copy that the mix takes: copy is 1 up to copies; documents with none go. A column of docs that has the name of one of ADDED, in any case, becomes own_<name>."""
+    names = {c: f"own_{c}" if c.lower() in ADDED else c for c in docs.columns}
+    mixed = mixing.mix(docs.withColumnsRenamed(names)).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names.values(), *(c for c in ADDED if c not in ("rate", "taken")))
 
 
 STAGES = [
