@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,24 +28,35 @@ def chunk_rows(documents: DataFrame, text: str = "text", size: int = 800, step:
 
 
 def packed_chunks(documents: DataFrame, text: str = "text", size: int = 800) -> DataFrame:
-    """Whole paragraphs packed into chunks of at most `size` characters (a longer paragraph is a chunk of its own): chunk_index, chunk. Blank lines are left out.
+    """Whole paragraphs packed into chunks of at most `size` characters (a longer paragraph is a chunk of its own): chunk_index, chunk. Blank lines are left out; null and empty texts have none.
 
-    A fold over the paragraphs' lengths numbers their chunks; it holds two numbers and the list, so the paragraphs themselves are touched once.
+    Where a chunk ends depends on where the last one did, so a text is gone through once, in the task that read it; nothing is shuffled.
     """
-    paragraphs = F.filter(F.split(F.col(text), "\n"), lambda p: F.length(p) > 0)
-    first = F.struct(F.lit(-1).alias("i"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("of"))
-
-    def place(acc, p):
-        n = F.length(p)
-        fits = (acc["i"] >= 0) & (acc["held"] + 1 + n <= size)
-        i = F.when(fits, acc["i"]).otherwise(acc["i"] + 1)
-        return F.struct(i.alias("i"), F.when(fits, acc["held"] + 1 + n).otherwise(n).alias("held"), F.concat(acc["of"], F.array(i)).alias("of"))
-
-    rows = documents.withColumn("_p", paragraphs).withColumn("_of", F.aggregate("_p", first, place)["of"])
-    parts = rows.select(*[c for c in documents.columns if c != text], F.posexplode(F.arrays_zip(F.col("_of").alias("of"), F.col("_p").alias("p"))).alias("at", "x"))
     keys = [c for c in documents.columns if c != text]
-    packed = parts.groupBy(*keys, F.col("x.of").alias("chunk_index")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("x.p").alias("p")))).alias("l"))
-    return packed.select(*keys, "chunk_index", F.array_join(F.transform("l", lambda x: x["p"]), "\n").alias("chunk"))
+    rows = documents.select(F.struct(F.lit(0).alias("_"), *keys).alias("own"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, index, chunk = [], [], []
+            for k, t in enumerate(b.column(1)):
+                held, chars, n = [], 0, 0
+                for p in (t.as_py() or "").split("\n"):
+                    if held and p and chars + 1 + len(p) > size:
+                        row.append(k)
+                        index.append(n)
+                        chunk.append("\n".join(held))
+                        held, chars, n = [], 0, n + 1
+                    if p:
+                        chars += len(p) + bool(held)
+                        held.append(p)
+                if held:
+                    row.append(k)
+                    index.append(n)
+                    chunk.append("\n".join(held))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(index, pa.int32()), pa.array(chunk, pa.string())], ["own", "chunk_index", "chunk"])
+
+    cut = rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, chunk_index int, chunk string")
+    return cut.select(*[F.col("own")[c].alias(c) for c in keys], "chunk_index", "chunk")
 
 
 def without_references(text: Column) -> Column:

@@ -266,12 +266,9 @@ def effective_query(spark, d):
   p as (select item_id, doc_id, count(*) as n_both from (select doc_id, unnest(list_distinct(t)) as w from t) a join (select item_id, unnest(q) as w, len(q) as n from b) c using (w) group by item_id, doc_id)
   select item_id, doc_id, round(n_both / len(q), 4) as overlap from p join b using (item_id) where n_both >= 0.9 * len(q)""")
 def evidence_token_overlap(spark, d):
-    """Documents that hold nine tenths of a quote's tokens, by an inverted index of the quotes' tokens alone."""
-    quotes = table(spark, d, "benchmark").select("item_id", F.array_distinct(search.tokens(F.col("text"))).alias("q"))
-    terms = quotes.select("item_id", F.size("q").alias("n"), F.explode("q").alias("w"))
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("w"))
-    shared = words.join(terms, "w").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("both"))
-    return shared.where("both >= 0.9 * n").select("item_id", "doc_id", F.round(F.col("both") / F.col("n"), 4).alias("overlap"))
+    """Documents that hold nine tenths of a quote's tokens; only its rarest tokens look for them."""
+    found = search.token_overlap(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"), "doc_id", "item_id")
+    return found.select("item_id", "doc_id", F.round(F.col("both") / F.col("n"), 4).alias("overlap"))
 
 
 @query("""select doc_id, length(substring(trim(text, ' '), 1, 2000))::int as chars, length(trim(text, ' ')) > 2000 as truncated from documents""")

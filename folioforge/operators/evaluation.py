@@ -99,10 +99,13 @@ def drawn_means(rows: DataFrame, experiment: str, domain: str, cluster: str, bas
     Clusters (all queries of a paper or source) are drawn within their domain by Poisson(1) weights from a hash of cluster and sample, so the draw needs no shuffle of its own.
     """
     sums = rows.groupBy(experiment, domain, cluster).agg(F.sum(F.col(candidate) - F.col(base)).alias("d"), F.sum(base).alias("b"), F.count("*").alias("n"))
-    drawn = sums.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(cluster).cast("string"), F.col("sample").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    weight = sum(F.when(u >= e, 1).otherwise(0) for e in poisson_edges())
-    means = drawn.withColumn("w", weight).groupBy(experiment, domain, "sample").agg(*[(F.sum(F.col("w") * F.col(x)) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias(x) for x in ("d", "b")])
+    draw = lambda sample: F.conv(F.substring(F.md5(F.concat_ws("|", F.col(cluster).cast("string"), sample.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    weight = lambda u: sum(F.when(u >= e, 1).otherwise(0) for e in poisson_edges())
+    # a cluster's weights are worked out once, for all its experiments and domains
+    weights = sums.select(cluster).distinct().select(cluster, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), draw)).alias("sample", "u")).select(cluster, "sample", weight(F.col("u")).alias("w")).where("w > 0")
+    listed = weights.groupBy(cluster).agg(F.collect_list(F.struct("sample", "w")).alias("x"))
+    drawn = sums.join(listed, cluster).select(experiment, domain, "d", "b", "n", F.inline("x"))
+    means = drawn.groupBy(experiment, domain, "sample").agg(*[(F.sum(F.col("w") * F.col(x)) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias(x) for x in ("d", "b")])
     return means.groupBy(experiment, "sample").agg(F.avg("d").alias("delta"), F.avg("b").alias("base"))
 
 

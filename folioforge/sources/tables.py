@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,8 +63,9 @@ def notes(spark: SparkSession, root: str, recursive: bool = True, suffix: str =
     """(path, content) of the live Markdown notes below root."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=f"*{suffix}")
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    below = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    return rows.where(live_note(F.regexp_replace(below, "^\\Q" + root.removeprefix("file:").rstrip("/") + "\\E/", "")))
+    bare = "^[a-z]+:/*"  # a scheme, which paths have and root may have
+    below = F.regexp_replace(F.col("path"), bare, "/")
+    return rows.where(live_note(F.regexp_replace(below, "^\\Q" + re.sub(bare, "/", root).rstrip("/") + "\\E/", "")))
 
 
 def ledger_set(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from oracle import compare, connect
 
-from folioforge.jobs import catalogue, catalogue_sql, contract_catalogue, library_catalogue, notes_catalogue, retrieval_catalogue  # noqa: F401
+from folioforge.jobs import catalogue, catalogue_sql, contract_catalogue, library_catalogue, notes_catalogue, records_catalogue, retrieval_catalogue  # noqa: F401
 
 QUERIES = catalogue.queries() | notes_catalogue.Q
 SQL = catalogue_sql.SQL | notes_catalogue.SQL

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from folioforge.operators import cells, lexical
+from folioforge.operators import cells, lexical, search
 
 
 def plain_bm25(docs, queries, k, grams=lambda t: [t[i : i + 3] for i in range(len(t) - 2)]):
@@ -91,3 +91,22 @@ def test_cells_of_awkward_vectors(spark, tmp_path):
     cells.write(df, "vec_id", str(tmp_path / "a"))
     got = [tuple(r)[:3] for r in cells.search(spark, str(tmp_path / "a"), df.select(F.col("vec_id").alias("q"), "embedding"), "q", 2, 1, True).orderBy("q", "rank").collect()]
     assert got == [(1, 1, 1.0), (1, 5, 1.0), (5, 1, 1.0), (5, 5, 1.0), (6, 6, 1.0), (6, 1, 0.707107)]
+
+
+def test_token_overlap_by_rare_tokens(spark):
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"w{k}" for k in np.unique(rng.zipf(1.3, 60) % 80))) for i in range(200)] + [(900, None), (901, "")]
+    quotes = [(i, docs[i * 3][1].rsplit(" ", int(rng.integers(1, 4)))[0] + " rare" * (i % 2)) for i in range(30)] + [(77, ""), (78, None), (79, "w1"), (80, "absent words")]
+    bag = lambda t: set((t or "").split())
+    want = sorted((q, d, len(bag(a) & bag(b)), len(bag(a))) for q, a in quotes for d, b in docs if bag(a) and len(bag(a) & bag(b)) >= 0.9 * len(bag(a)))
+    got = search.token_overlap(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(quotes, "item_id long, text string"), "doc_id", "item_id")
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 20
+
+
+def test_word_index_agrees_with_all_postings(spark, sf, tmp_path):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    lexical.write(docs, "doc_id", str(tmp_path), lexical.word_counts)
+    got = lexical.search(lexical.load(spark, str(tmp_path)), items, "item_id", 5, lexical.word_counts)
+    whole = search.bm25(docs, items, "doc_id", "item_id").withColumn("score", F.round("score", 4))
+    want = search.ranked(whole, "item_id", [F.desc("score"), F.col("doc_id")], 5).select("item_id", "doc_id", "score", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
