@@ -137,21 +137,22 @@ def members(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
 
 def _probing(asked: DataFrame, numbers: list[int], cells: Cells, probes: int) -> DataFrame:
     """(q, x, cell, floor) of asked (q, x, floor): with a null floor the nearest `probes` cells, else those beyond them that may hold a member of a cosine of floor or more."""
+    centers, width, known = cells.centers, cells.width, np.array(numbers, np.int64)  # plain arrays: workers need nothing of this package
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b) or not len(numbers):
+            if not len(b) or not len(known):
                 continue
             x = np.stack(b.column(1).to_numpy(zero_copy_only=False))
-            cosine = x @ cells.centers.T / np.linalg.norm(x, axis=1, keepdims=True)
+            cosine = x @ centers.T / np.linalg.norm(x, axis=1, keepdims=True)
             order = np.argsort(-cosine, axis=1, kind="stable")
             near = np.zeros(cosine.shape, bool)
             np.put_along_axis(near, order[:, :probes], True, axis=1)
             floor = b.column(2).to_numpy(zero_copy_only=False).astype(float)
-            least = np.arccos(np.clip(cosine, -1, 1)) - cells.width - NEAR
+            least = np.arccos(np.clip(cosine, -1, 1)) - width - NEAR
             row, cell = np.nonzero(np.where(np.isnan(floor)[:, None], near, ~near & (least <= np.arccos(np.clip(floor, -1, 1))[:, None])))
             taken = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), pa.array(np.array(numbers)[cell]), b.column(2).take(taken)], ["q", "x", "cell", "floor"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), pa.array(known[cell]), b.column(2).take(taken)], ["q", "x", "cell", "floor"])
 
     return asked.select("q", "x", "floor").mapInArrow(run, f"q {asked.schema['q'].dataType.simpleString()}, x array<double>, cell long, floor double")
 
