@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, hot_join, map_arrow, shuffle_tasks
+from .common import TASK_ROWS, checkpoint, fitted, hot_join, map_arrow, shuffle_tasks
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Classes (source, size class) up to which their table is broadcast; about a thousand of a source.
@@ -45,10 +45,11 @@ def sizes(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text", F.lit(9)).alias("u"))
 
 
-def _placed(own: DataFrame) -> DataFrame:
-    """own with place, its rank from 0 by source, null last: ranks in ranges of sources and the ranges' counts, so that no task orders all sources."""
-    ranges = own.repartitionByRange(shuffle_tasks(own.sparkSession), F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
-    ranges = checkpoint(ranges.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.expr("_at & 8589934591L")))
+def _placed(own: DataFrame, number: int) -> DataFrame:
+    """own (of number rows) with place, its rank from 0 by source, null last: ranks in ranges of sources and the ranges' counts, so that no task orders more than TASK_ROWS or a range."""
+    ranges = own if number <= TASK_ROWS else own.repartitionByRange(shuffle_tasks(own.sparkSession), F.col("source").asc_nulls_last())
+    ranges = ranges.sortWithinPartitions(F.col("source").asc_nulls_last())
+    ranges = fitted(checkpoint(ranges.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.expr("_at & 8589934591L"))), number)
     before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = ranges.groupBy("_range").count().select("_range", before.alias("_before"))  # a row for each task
     return ranges.join(F.broadcast(offsets), "_range").withColumn("place", F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
@@ -61,7 +62,10 @@ def targets(own: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     size; the excess is shared again by weight until none is above. Each round is one sum over the sources that are still open.
     """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    rows = checkpoint(_placed(own).select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap")))
+    own = checkpoint(own)
+    sources = own.count()
+    placed = _placed(fitted(own, sources), sources)
+    rows = fitted(checkpoint(placed.select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap"))), sources)
     full = F.col("cap") <= 0
     level, number = 0.0, -1
     while True:
@@ -152,6 +156,7 @@ def balance(classes: DataFrame, goals: DataFrame) -> DataFrame:
     """(key, source_size, target, rates) of classes (key, class, words) and goals (source, source_size, target): how often a document of a source is to be taken, by octave of its size."""
     named = goals.withColumn("key", source_key(F.col("source"))).select("key", "source_size", "target")
     rows = checkpoint(_cells(classes).join(named, "key"))
+    rows = fitted(rows, rows.count())
     mu, find = solve(rows).mu, tilted
 
     def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,24 +191,27 @@ def plan(sized: DataFrame) -> DataFrame:
     square root of the largest class, from counts of equal u, so neither a large source, nor very many documents of one size, nor very many equal rows meet in one task.
     Rows of equal u are taken all or none, whichever comes nearer.
     """
-    units = checkpoint(sized.groupBy(source_key(F.col("source")).alias("key"), "source", size_class(F.col("size")).alias("class"), "u").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
-    classes = checkpoint(units.groupBy("key", "source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
+    by = [source_key(F.col("source")).alias("key"), "source", size_class(F.col("size")).alias("class")]
+    units = checkpoint(sized.groupBy(*by, "u").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    classes = checkpoint(sized.groupBy(*by).agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    number, largest = classes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(1))).first()
+    classes = fitted(classes, number)
+    sent = F.broadcast if number <= MOST_SENT else lambda df: df
     rates = checkpoint(balance(classes, targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))))
-    own = classes.join(rates, "key").withColumn("rate", F.element_at("rates", F.shiftright("class", 6) + 1))
-    counted = own.select("key", "class", "n", "words", "source_size", "target", "rate", (F.col("rate") - F.floor("rate")).alias("part"))
-    wanted = checkpoint(counted.drop("part").join(_extras(counted), ["key", "class"]))
+    own = classes.join(fitted(rates, rates.count()), "key").withColumn("rate", F.element_at("rates", F.shiftright("class", 6) + 1))
+    counted = fitted(checkpoint(own.select("key", "class", "n", "words", "source_size", "target", "rate", (F.col("rate") - F.floor("rate")).alias("part"))), number)
+    wanted = fitted(checkpoint(counted.drop("part").join(_extras(counted), ["key", "class"])), number)
     some = wanted.where("extra > 0 and extra < n").select("key", "class", "extra")
-    largest = classes.agg(F.max("n")).first()[0] or 1
     in_range = F.shiftright("u", 64 - max(1, (int(largest).bit_length() + 1) // 2)).alias("range")
-    cells = units.groupBy("key", "class", in_range).agg(F.sum("n").alias("here")).join(some, ["key", "class"])
+    cells = units.groupBy("key", "class", in_range).agg(F.sum("n").alias("here")).join(sent(some), ["key", "class"])
     upto = F.sum("here").over(Window.partitionBy("key", "class").orderBy("range"))
     reached = cells.withColumn("upto", upto).where("upto >= extra and upto - here < extra").select("key", "class", "range", (F.col("extra") - F.col("upto") + F.col("here")).alias("need"))
-    inside = units.select("key", "class", in_range, "u", "n").join(reached, ["key", "class", "range"])
+    inside = units.select("key", "class", in_range, "u", "n").join(sent(reached), ["key", "class", "range"])
     upto = F.sum("n").over(Window.partitionBy("key", "class").orderBy("u"))
     last = inside.withColumn("upto", upto).where("upto >= need and upto - n < need")
     cuts = last.select("key", "class", F.when(2 * (F.col("upto") - F.col("need")) <= F.col("n"), F.col("u")).otherwise(F.col("u") - 1).alias("cut"))
     cut = F.when(F.col("extra") <= 0, F.lit(None).cast("long")).when(F.col("extra") >= F.col("n"), F.lit((1 << 63) - 1)).otherwise(F.col("cut"))
-    return checkpoint(wanted.join(cuts, ["key", "class"], "left").select("key", "class", "n", "source_size", "target", "rate", cut.alias("cut")))
+    return fitted(checkpoint(wanted.join(sent(cuts), ["key", "class"], "left").select("key", "class", "n", "source_size", "target", "rate", cut.alias("cut"))), number)
 
 
 def _with_plan(rows: DataFrame, classes: DataFrame) -> DataFrame:

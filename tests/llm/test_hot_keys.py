@@ -97,3 +97,30 @@ def test_multipliers_differ_by_class_and_the_gradient_vanishes(spark):
     assert kept[0] < 0.9 * free[0]
     rates = {(r.source, r["size"].bit_length()): r.rate for r in mixing.mix(docs).collect()}
     assert any(len({v for (s, _), v in rates.items() if s == source}) > 1 for source in "abc")
+
+
+def test_mixing_deals_small_tables_to_few_tasks(spark, monkeypatch):
+    """With many shuffle partitions, sources and classes take a task each step, not as many as there are partitions; the result is that of few partitions, and of tables too large for a task."""
+    rows = [(i, "w " * (1 + i * 7 % 300), f"s{i % 5}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    tracker, got = spark.sparkContext.statusTracker(), []
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (4, 97):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.sparkContext.setJobGroup(f"mixing{n}", "")
+            got.append(sorted(map(tuple, mixing.shares(docs).collect())))
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.sparkContext.setJobGroup("mixing", "")
+        for module in (common, mixing):
+            monkeypatch.setattr(module, "TASK_ROWS", 2)
+        got.append(sorted(map(tuple, mixing.shares(docs).collect())))
+        stages = {s for j in tracker.getJobIdsForGroup("mixing97") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    ran = [i for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks]
+    assert sum(i.numCompletedTasks for i in ran) < 20 * 97
