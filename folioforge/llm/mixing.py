@@ -168,26 +168,31 @@ def balance(classes: DataFrame, goals: DataFrame) -> DataFrame:
     return map_arrow(rows.select("key", "words", "source_size", "target"), rates, "key string, source_size long, target double, rates array<double>")
 
 
-def _extras(counted: DataFrame) -> DataFrame:
-    """(key, class, extra) of (key, class, n, words, part): how many rows of each size class of one source get one copy more, from the largest class down: what a class
-    misses or exceeds of its words is carried to the smaller ones. A source has a thousand classes or so, so one row holds them."""
-    row = F.struct((-F.col("class")).alias("c"), "n", F.col("words").cast("double").alias("w"), "part")
-    listed = counted.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    first = F.struct(F.lit(0.0).alias("carried"), F.array().cast("array<struct<class:int,extra:bigint>>").alias("done"))
+def _dealt(counted: DataFrame) -> DataFrame:
+    """(key, class, base, extra) of (key, class, n, words, source_size, target, rate): all rows of a size class of one source get base copies and extra of them one more. From the largest class down, what
+    a class misses or exceeds of its words is carried to the smaller ones. A row gets 0 to 2 copies, so these can take up no more than 0 to twice their words: where that is too little, a class
+    gets the number nearest to its own that leaves them what they can. A source has a thousand classes or so, so one row holds them."""
+    row = F.struct((-F.col("class")).alias("c"), "n", F.col("words").cast("double").alias("w"), "rate")
+    listed = counted.groupBy("key").agg(F.max("target").alias("target"), F.max("source_size").cast("double").alias("size"), F.array_sort(F.collect_list(row)).alias("rows"))
+    first = F.struct(F.lit(0.0).alias("carried"), F.col("target").alias("left"), F.col("size").alias("rest"), F.array().cast("array<struct<class:int,copies:bigint,n:bigint>>").alias("done"))
 
     def step(acc, x):
-        wanted, mean = x["part"] * x["w"] + acc["carried"], x["w"] / x["n"]
-        n = F.when(mean > 0, F.round(wanted / F.nullif(mean, F.lit(0.0)))).otherwise(F.round(x["part"] * x["n"])).cast("bigint")
-        n = F.least(x["n"], F.greatest(n, F.lit(0).cast("bigint")))
-        return F.struct((wanted - n * mean).alias("carried"), F.concat(acc["done"], F.array(F.struct((-x["c"]).alias("class"), n.alias("extra")))).alias("done"))
+        mean, rest, left = x["w"] / x["n"], acc["rest"] - x["w"], acc["left"]
+        by, wanted = F.nullif(mean, F.lit(0.0)), x["rate"] * x["w"] + acc["carried"]
+        low, high = F.ceil((left - 2 * rest) / by - 1e-6), F.floor(left / by + 1e-6)  # high + 1 at most
+        n = F.when(low <= high, F.greatest(low, F.least(high, F.round(wanted / by)))).when(left - high * mean - 2 * rest <= low * mean - left, high).otherwise(low)
+        n = F.coalesce(n, F.round(x["rate"] * x["n"])).cast("bigint")
+        n = F.least(2 * x["n"], F.greatest(n, F.lit(0).cast("bigint")))
+        done = F.struct((-x["c"]).alias("class"), n.alias("copies"), x["n"].alias("n"))
+        return F.struct((wanted - n * mean).alias("carried"), (left - n * mean).alias("left"), rest.alias("rest"), F.concat(acc["done"], F.array(done)).alias("done"))
 
-    return listed.select("key", F.inline(F.aggregate("rows", first, step)["done"]))
+    return listed.select("key", F.inline(F.aggregate("rows", first, step)["done"])).select("key", "class", F.expr("copies div n").alias("base"), F.expr("copies % n").alias("extra"))
 
 
 def plan(sized: DataFrame) -> DataFrame:
-    """(key, class, n, source_size, target, rate, cut) of sizes(): rows of a class are taken floor(rate) times, and once more if u <= cut.
+    """(key, class, n, source_size, target, rate, base, cut) of sizes(): rows of a class are taken base times, and once more if u <= cut.
 
-    The cut of a class leaves as many of the smallest u on its side as _extras() says. It is found in two steps, among ranges of u and then inside one, both about the
+    The cut of a class leaves as many of the smallest u on its side as _dealt() says. It is found in two steps, among ranges of u and then inside one, both about the
     square root of the largest class, from counts of equal u, so neither a large source, nor very many documents of one size, nor very many equal rows meet in one task.
     Rows of equal u are taken all or none, whichever comes nearer.
     """
@@ -199,8 +204,8 @@ def plan(sized: DataFrame) -> DataFrame:
     sent = F.broadcast if number <= MOST_SENT else lambda df: df
     rates = checkpoint(balance(classes, targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))))
     own = classes.join(fitted(rates, rates.count()), "key").withColumn("rate", F.element_at("rates", F.shiftright("class", 6) + 1))
-    counted = fitted(checkpoint(own.select("key", "class", "n", "words", "source_size", "target", "rate", (F.col("rate") - F.floor("rate")).alias("part"))), number)
-    wanted = fitted(checkpoint(counted.drop("part").join(_extras(counted), ["key", "class"])), number)
+    counted = fitted(checkpoint(own.select("key", "class", "n", "words", "source_size", "target", "rate")), number)
+    wanted = fitted(checkpoint(counted.join(_dealt(counted), ["key", "class"])), number)
     some = wanted.where("extra > 0 and extra < n").select("key", "class", "extra")
     in_range = F.shiftright("u", 64 - max(1, (int(largest).bit_length() + 1) // 2)).alias("range")
     cells = units.groupBy("key", "class", in_range).agg(F.sum("n").alias("here")).join(sent(some), ["key", "class"])
@@ -211,12 +216,12 @@ def plan(sized: DataFrame) -> DataFrame:
     last = inside.withColumn("upto", upto).where("upto >= need and upto - n < need")
     cuts = last.select("key", "class", F.when(2 * (F.col("upto") - F.col("need")) <= F.col("n"), F.col("u")).otherwise(F.col("u") - 1).alias("cut"))
     cut = F.when(F.col("extra") <= 0, F.lit(None).cast("long")).when(F.col("extra") >= F.col("n"), F.lit((1 << 63) - 1)).otherwise(F.col("cut"))
-    return fitted(checkpoint(wanted.join(sent(cuts), ["key", "class"], "left").select("key", "class", "n", "source_size", "target", "rate", cut.alias("cut"))), number)
+    return fitted(checkpoint(wanted.join(sent(cuts), ["key", "class"], "left").select("key", "class", "n", "source_size", "target", "rate", "base", cut.alias("cut"))), number)
 
 
 def _with_plan(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """rows with the column _class, a struct (key, class), and their class's plan: its columns follow."""
-    facts = classes.select(F.struct("key", "class").alias("_class"), F.struct("n", "source_size", "target", "rate", "cut").alias("_plan"))
+    facts = classes.select(F.struct("key", "class").alias("_class"), F.struct("n", "source_size", "target", "rate", "base", "cut").alias("_plan"))
     number = classes.count()
     if number <= MOST_SENT:
         return rows.join(F.broadcast(facts), "_class")
@@ -224,7 +229,7 @@ def _with_plan(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _copies(u: Column) -> Column:
-    return (F.floor("_plan.rate") + F.coalesce((u <= F.col("_plan.cut")).cast("long"), F.lit(0))).cast("long")
+    return (F.col("_plan.base") + F.coalesce((u <= F.col("_plan.cut")).cast("long"), F.lit(0))).cast("long")
 
 
 def shares(documents: DataFrame) -> DataFrame:

@@ -124,3 +124,21 @@ def test_mixing_deals_small_tables_to_few_tasks(spark, monkeypatch):
     assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
     ran = [i for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks]
     assert sum(i.numCompletedTasks for i in ran) < 20 * 97
+
+
+def test_few_documents_of_unlike_sizes_meet_their_targets(spark):
+    """A source of five to eight documents takes about as near its target as any numbers of copies could."""
+    rng = np.random.default_rng(21)
+    sizes = {f"s{i:02}": [int(x) for x in np.exp(rng.uniform(3, 7.5, rng.integers(5, 9)))] for i in range(24)} | {"t0": [4000, 30, 20, 10], "t1": [3000, 2000, 900, 900]}
+    rows = [(100 * k + i, "w " * n, s) for k, (s, own) in enumerate(sizes.items()) for i, n in enumerate(own)]
+    taken, goal = dict.fromkeys(sizes, 0), {}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in mixing.shares(docs).join(docs.select("doc_id", "source"), "doc_id").collect():
+        assert 0 <= r.copies <= 2 and r.taken == r.copies * r["size"]
+        taken[r.source], goal[r.source] = taken[r.source] + r.taken, r.target
+    for s, own in sizes.items():
+        reached = {0}
+        for n in own:
+            reached = {x + c * n for x in reached for c in (0, 1, 2)}
+        best = min(abs(x - goal[s]) for x in reached)
+        assert abs(taken[s] - goal[s]) <= best + max(0.03 * goal[s], min(own)), (s, own, goal[s], taken[s], best)
