@@ -142,3 +142,10 @@ def test_few_documents_of_unlike_sizes_meet_their_targets(spark):
             reached = {x + c * n for x in reached for c in (0, 1, 2)}
         best = min(abs(x - goal[s]) for x in reached)
         assert abs(taken[s] - goal[s]) <= best + max(0.03 * goal[s], min(own)), (s, own, goal[s], taken[s], best)
+
+
+def test_no_document_is_taken_more_than_twice(spark):
+    """What a large document misses doesn't make a third copy of small ones that have two."""
+    rows = [("a", 638, 1, 1000, 1020, 1440.0, 1.4), ("a", 221, 2, 20, 1020, 1440.0, 2.0), ("b", 600, 1, 700, 700, 700.0, 1.0), ("b", 0, 4, 0, 700, 700.0, 0.5)]
+    counted = spark.createDataFrame(rows, "key string, class int, n long, words long, source_size long, target double, rate double")
+    assert sorted(map(tuple, mixing._dealt(counted).collect())) == [("a", 221, 2, 0), ("a", 638, 1, 0), ("b", 0, 0, 2), ("b", 600, 1, 0)]
