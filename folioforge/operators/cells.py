@@ -131,8 +131,8 @@ def load(spark: SparkSession, path: str) -> tuple[list[int], Cells]:
 
 
 def members(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
-    """The members of the wanted cells; only their folders are read."""
-    return spark.read.parquet(f"{path}/members").where(F.col("cell").isin(wanted))
+    """The members of the wanted cells; only their folders are read. The folders' names are read as int, and as such cell would hash to other partitions than a long."""
+    return spark.read.parquet(f"{path}/members").where(F.col("cell").isin(wanted)).withColumn("cell", F.col("cell").cast("long"))
 
 
 def _probing(asked: DataFrame, numbers: list[int], cells: Cells, probes: int) -> DataFrame:
@@ -172,7 +172,8 @@ def _scored(spark: SparkSession, path: str, numbers: list[int], cells: Cells, pr
         if not len(a) or not len(b):
             return pa.Table.from_arrays([b.column("q").slice(0, 0), a.column("id").slice(0, 0), pa.array([], pa.float64())], names)
         x, y = (np.stack(t.column("x").combine_chunks().to_numpy(zero_copy_only=False)) for t in (a, b))
-        score = np.round(y @ x.T / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)[:, None], digits)
+        score = y @ x.T / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)[:, None]
+        score = np.trunc(score * 10.0**digits + np.copysign(0.5, score)) / 10.0**digits  # halves away from zero, as SQL rounds
         least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else score.min(axis=1)
         row, col = np.nonzero(score >= least[:, None])  # ties stay
         return pa.Table.from_arrays([b.column("q").take(pa.array(row)), a.column("id").take(pa.array(col)), pa.array(score[row, col])], names)

@@ -93,6 +93,22 @@ def test_cells_of_awkward_vectors(spark, tmp_path):
     assert got == [(1, 1, 1.0), (1, 5, 1.0), (5, 1, 1.0), (5, 5, 1.0), (6, 6, 1.0), (6, 1, 0.707107)]
 
 
+def test_cells_in_several_partitions_lose_no_member(spark, tmp_path):
+    """The members' cells and the queries' meet in the same partition when there are several."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    cells.write(rows, "vec_id", str(tmp_path), cells=30)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = cells.search(spark, str(tmp_path), rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "q"), "q", 5, 1, True).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = [(q, i, r + 1) for q in range(0, 900, 50) for r, i in enumerate(sorted(range(900), key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))[:5])]
+    assert sorted((r.q, r.id, r["rank"]) for r in got) == sorted(want)
+
+
 def test_token_overlap_by_rare_tokens(spark):
     rng = np.random.default_rng(9)
     docs = [(i, " ".join(f"w{k}" for k in np.unique(rng.zipf(1.3, 60) % 80))) for i in range(200)] + [(900, None), (901, "")]
