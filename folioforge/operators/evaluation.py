@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,16 +100,47 @@ def krippendorff_alpha(ratings: DataFrame, unit: str, value: str) -> DataFrame:
 def drawn_means(rows: DataFrame, experiment: str, domain: str, cluster: str, base: str, candidate: str, samples: int = 1000, seed: int = 7) -> DataFrame:
     """(experiment, sample, delta, base): for each sample of clusters the mean over domains of the paired difference candidate - base, and of base.
 
-    Clusters (all queries of a paper or source) are drawn within their domain by Poisson(1) weights from a hash of cluster and sample, so the draw needs no shuffle of its own.
+    Clusters (all queries of a paper or source) are drawn within their domain by Poisson(1) weights from a hash of cluster and sample. A cluster's weights are worked out once, in the one row that
+    lists its sums by experiment and domain; there a task multiplies them, and it sends a row for each experiment, domain and sample. Rows without a cluster are left out.
     """
-    sums = rows.groupBy(experiment, domain, cluster).agg(F.sum(F.col(candidate) - F.col(base)).alias("d"), F.sum(base).alias("b"), F.count("*").alias("n"))
+    sums = rows.where(F.col(cluster).isNotNull()).groupBy(experiment, domain, cluster).agg(F.sum(F.col(candidate) - F.col(base)).cast("double").alias("d"), F.sum(base).cast("double").alias("b"), F.count("*").cast("double").alias("n"))
     draw = lambda sample: F.conv(F.substring(F.md5(F.concat_ws("|", F.col(cluster).cast("string"), sample.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    weight = lambda u: sum(F.when(u >= e, 1).otherwise(0) for e in poisson_edges())
-    # a cluster's weights are worked out once, for all its experiments and domains
-    weights = sums.select(cluster).distinct().select(cluster, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), draw)).alias("sample", "u")).select(cluster, "sample", weight(F.col("u")).alias("w")).where("w > 0")
-    listed = weights.groupBy(cluster).agg(F.collect_list(F.struct("sample", "w")).alias("x"))
-    drawn = sums.join(listed, cluster).select(experiment, domain, "d", "b", "n", F.inline("x"))
-    means = drawn.groupBy(experiment, domain, "sample").agg(*[(F.sum(F.col("w") * F.col(x)) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias(x) for x in ("d", "b")])
+    weight = lambda u: sum(F.when(u >= e, 1).otherwise(0) for e in poisson_edges()).cast("byte")
+    listed = sums.groupBy(cluster).agg(F.collect_list(F.struct(F.col(experiment).alias("e"), F.col(domain).alias("m"), "d", "b", "n")).alias("x"))
+    weighted = listed.select("x", F.transform(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), draw), weight).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
+        totals, seen, kinds = {}, {}, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, total in totals.items():
+                lists = [pa.array([k] * samples, kind) for k, kind in zip(key, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array(np.arange(samples, dtype=np.int32)), *(pa.array(t) if s else pa.nulls(samples, pa.float64()) for t, s in zip(total, seen[key], strict=True))], [experiment, domain, "sample", "d", "b", "n"])
+            totals.clear()
+
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                b = whole.slice(at, 512)
+                e, m, *values = b.column(0).flatten().flatten()
+                kinds = (e.type, m.type)
+                w = b.column(1).flatten().to_numpy().reshape(len(b), samples).astype(float)
+                values = np.array([v.to_numpy(zero_copy_only=False) for v in values]), np.array([v.is_valid().to_numpy(zero_copy_only=False) for v in values])
+                values = np.where(values[1], values[0], 0.0), values[1]  # sums leave nulls out
+                parent, of = np.repeat(np.arange(len(b)), b.column(0).value_lengths().to_numpy()), {}
+                for i, key in enumerate(zip(e.to_pylist(), m.to_pylist(), strict=True)):
+                    of.setdefault(key, []).append(i)
+                for key, own in of.items():
+                    part = values[0][:, own] @ w[parent[own]]
+                    there = values[1][:, own].any(axis=1)
+                    seen[key] = seen[key] | there if key in totals else there
+                    totals[key] = totals[key] + part if key in totals else part
+                if len(totals) > most:
+                    yield from out()
+        yield from out()
+
+    kind = lambda c: sums.schema[c].dataType.simpleString()
+    drawn = weighted.mapInArrow(run, f"{experiment} {kind(experiment)}, {domain} {kind(domain)}, sample int, d double, b double, n double")
+    means = drawn.groupBy(experiment, domain, "sample").agg(*[(F.sum(x) / F.nullif(F.sum("n"), F.lit(0.0))).alias(x) for x in ("d", "b")])
     return means.groupBy(experiment, "sample").agg(F.avg("d").alias("delta"), F.avg("b").alias("base"))
 
 

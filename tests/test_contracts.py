@@ -130,6 +130,35 @@ def test_each_gate_fails_for_its_own_reason(spark, sf):
     assert flags[6][2] is False and flags[7] == (True, True, True, False) and got[7].decision == "owner"
 
 
+def test_draws_of_many_clusters_are_not_sent_whole(spark):
+    """The weights of all clusters, a thousand each, stay in their tasks; the means are those of plain sums, with nulls left out."""
+    import hashlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(int(e), f"d{c % 2}", int(c), float(x), None if c == 5 else float(x + y)) for e, c, x, y in zip(rng.integers(0, 3, 3000), rng.integers(0, 1500, 3000), rng.random(3000), rng.random(3000), strict=True)]
+    rows += [(1, "d2", 7, 0.5, None), (1, "d0", None, 9.0, 9.0), (None, None, 8, 1.0, 2.0)]
+    df = evaluation.drawn_means(spark.createDataFrame(rows, "experiment int, domain string, cluster long, a double, b double"), "experiment", "domain", "cluster", "a", "b", samples=50)
+    got = {(r.experiment, r.sample): (r.delta, r.base) for r in df.collect()}
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    u = lambda c, k: int(hashlib.md5(f"{c}|{k}|7".encode()).hexdigest()[:8], 16) / (1 << 32)
+    edges = evaluation.poisson_edges()
+    weight = {(c, k): sum(u(c, k) >= x for x in edges) for c in {r[2] for r in rows if r[2] is not None} for k in range(50)}
+    for (e, k), told in got.items():
+        of = {}
+        for x, m, c, a, b in rows:
+            if x == e and c is not None:
+                s = of.setdefault(m, [0, 0, 0, 0])
+                s[0] += weight[c, k] * (b - a if b is not None else 0)
+                s[1] += weight[c, k] * a
+                s[2] += weight[c, k]
+                s[3] += b is not None
+        d, base = ([s[i] / s[2] for s in of.values() if s[2] and (i or s[3])] for i in (0, 1))
+        assert np.allclose([np.mean(d) if d else np.nan, np.mean(base) if base else np.nan], [np.nan if v is None else v for v in told], equal_nan=True)
+    assert len(got) == 200
+
+
 def test_contexts_are_made_once(spark, tmp_path):
     chunks = spark.createDataFrame([("d1", "a"), ("d1", "a"), ("d1", "b"), ("d2", "a"), ("d2", None)], "document_hash string, chunk string")
     made = []
