@@ -13,6 +13,7 @@ from folioforge.operators import search
 #: Queries that make no row a pair.
 TILED = [
     "topk_per_query",
+    "track_metrics",
 ]
 
 
