@@ -14,6 +14,7 @@ from folioforge.operators import search
 TILED = [
     "topk_per_query",
     "track_metrics",
+    "retrieval_metrics",
 ]
 
 
