@@ -15,6 +15,7 @@ TILED = [
     "topk_per_query",
     "track_metrics",
     "retrieval_metrics",
+    "retrieval_timeline",
 ]
 
 
