@@ -16,6 +16,7 @@ TILED = [
     "track_metrics",
     "retrieval_metrics",
     "retrieval_timeline",
+    "known_paper",
 ]
 
 
