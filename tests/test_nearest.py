@@ -17,6 +17,7 @@ TILED = [
     "retrieval_metrics",
     "retrieval_timeline",
     "known_paper",
+    "full_read",
 ]
 
 
