@@ -18,6 +18,7 @@ TILED = [
     "retrieval_timeline",
     "known_paper",
     "full_read",
+    "collected_keys",
 ]
 
 
