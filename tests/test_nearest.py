@@ -19,6 +19,7 @@ TILED = [
     "known_paper",
     "full_read",
     "collected_keys",
+    "pool_coverage",
 ]
 
 
