@@ -20,6 +20,7 @@ TILED = [
     "full_read",
     "collected_keys",
     "pool_coverage",
+    "macro_average",
 ]
 
 
