@@ -21,6 +21,7 @@ TILED = [
     "collected_keys",
     "pool_coverage",
     "macro_average",
+    "retrieval_methods",
 ]
 
 
