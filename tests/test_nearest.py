@@ -22,6 +22,7 @@ TILED = [
     "pool_coverage",
     "macro_average",
     "retrieval_methods",
+    "angle_pool",
 ]
 
 
