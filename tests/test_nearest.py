@@ -23,6 +23,7 @@ TILED = [
     "macro_average",
     "retrieval_methods",
     "angle_pool",
+    "rerank",
 ]
 
 
