@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import records
 from folioforge.jobs import records_catalogue
 from folioforge.operators import plans
+from folioforge.sources import tables
 
 
 def plain_session(s):
@@ -87,3 +88,15 @@ def test_seed_terms(spark):
     df = spark.createDataFrame(rows, "s array<string>, t array<string>, k array<string>, o array<string>")
     got = [r.x for r in df.select(records.seed_terms(F.col("s"), F.col("t"), F.col("k"), F.col("o")).alias("x")).collect()]
     assert got == [["Graphene oxide", "copper"], ["a", "b", *[f"t{i}" for i in range(8)]], [], [], []]
+
+
+def test_notes_are_files_of_few_tasks(spark, tmp_path):
+    """One file a note, whatever it holds; a task reads thousands of them."""
+    texts = [None if i == 3 else "" if i == 4 else f"näme {i}\n\nline\r\n" for i in range(1500)]
+    rows = [("domain/notes" if i % 3 else ".tmp-drafts" if i % 2 else "progress/gate_reports", t or "") for i, t in enumerate(texts)]
+    for root in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        tables.write_notes(spark.createDataFrame(rows, "folder string, text string"), root)
+        assert len(list((tmp_path / root[-1]).rglob("*.txt"))) == 1500
+        found = tables.notes(spark, root, suffix=".txt")
+        assert sorted(r.content for r in found.collect()) == sorted(t + "\n" for f, t in rows if f == "domain/notes")
+        assert found.rdd.getNumPartitions() <= 8
