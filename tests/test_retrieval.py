@@ -52,7 +52,7 @@ def test_scan_gives_what_the_index_does_and_writes_nothing(spark, sf, monkeypatc
     for few in (small.limit(0), small):
         assert lexical.scan(few, asks.where("item_id > 2"), "doc_id", "item_id", 3).count() == 0
     monkeypatch.delattr(lexical, "write")
-    assert retrieval_catalogue.trigram_search(spark, sf).count() > 0
+    assert retrieval_catalogue.trigram_search(spark, sf).count() > 0 and retrieval_catalogue.trigram_hybrid(spark, sf).count() > 0
 
 
 def test_pruned_search_is_exact_and_leaves_postings_unread(spark, sf, tmp_path):
